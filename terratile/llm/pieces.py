@@ -1,8 +1,7 @@
 """SentencePiece sampling and lossless decoding over the piece lattice.
 
 A text is prefixed by a blank, blanks become the piece mark, and it falls into
-units (marks and the characters behind them; line feeds stand alone) that no
-piece crosses.  In a unit's lattice an edge is a piece, or the bytes of a
+units (at marks and line feeds) whose borders no piece crosses.  In a unit's lattice an edge is a piece, or the bytes of a
 character that is no piece.  The model's ranks give the weights: a piece with
 id i has log probability -alpha * ln(i).  Forward filtering sums the weight of
 all paths to each place; backward sampling then draws the last edge, the one
@@ -23,10 +22,10 @@ An empty table gives no row.
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 
 MARK, HIDDEN = "▁", "\udc81"  # a literal mark is hidden, so that it is spelled in bytes
 UNIT = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
-UNITS = 200_000
+UNITS, SHORT = 200_000, 48
 ALPHA, SEED = 1.0, 1
 
 
@@ -62,9 +61,9 @@ class Lattice:
         n = sp.get_piece_size()
         skip = [sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) for i in range(n)]
         self.byte_id = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
-        self.weight = [-alpha * math.log(i + 1) for i in range(n)]
+        self.weight = -alpha * np.log(np.arange(n) + 1.0)
         self.piece = {sp.id_to_piece(i): i for i in range(n) if not skip[i] and not sp.is_byte(i)}
-        self.prefix = {p[:k] for p in self.piece for k in range(1, len(p) + 1)}
+        self.longest = max(map(len, self.piece))
         raw = [b"" if skip[i] else sp.id_to_piece(i).replace(MARK, " ").encode() for i in range(n)]
         for b, i in self.byte_id.items():
             raw[i] = bytes([b])
@@ -72,75 +71,146 @@ class Lattice:
         self.raw_size = np.array([len(x) for x in raw], np.int64)
         self.raw_at = np.cumsum(self.raw_size) - self.raw_size
         self.seed = np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))
+        self._trie()
         self.clear()
 
-    def clear(self) -> None:
-        self.unit: dict[str, int] = {}  # -> its first node
-        self.nodes = 0
-        self.last: dict[str, int] = {}
-        self.keys, self.back, self.ids_at, self.ids_n, self.ids = (np.zeros(0), *(np.zeros(0, np.int64) for _ in range(4)))
+    def _trie(self) -> None:
+        """Dense moves over ASCII and Latin-1 letters that are pieces themselves; units with others take the plain way."""
+        chars = [c for c in [MARK, *map(chr, range(33, 127)), *map(chr, range(0xC0, 0x100))] if c in self.piece]
+        self.plain = re.compile(f"[{re.escape(''.join(chars))}]{{1,{SHORT}}}")
+        self.symbol = np.zeros(0x110000, np.uint8)
+        self.symbol[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        known, node = set(chars), {"": 0}
+        for p in self.piece:
+            if known.issuperset(p):
+                for k in range(1, len(p) + 1):
+                    node.setdefault(p[:k], len(node))
+        dead = len(node)
+        self.move = np.full((dead + 1, len(chars) + 1), dead, np.int32)
+        self.ends = np.full(dead + 1, -1, np.int32)
+        for prefix, k in node.items():
+            if prefix:
+                self.move[node[prefix[:-1]], self.symbol[ord(prefix[-1])]] = k
+            self.ends[k] = self.piece.get(prefix, -1)
 
-    def _spelled(self, c: str) -> list[int]:
-        return [self.byte_id[b] for b in (MARK if c == HIDDEN else c).encode()]
+    def clear(self) -> None:
+        self.unit: dict[str, int] = {}  # -> its number
+        self.first, self.last = np.zeros(0, np.int64), np.zeros(0, np.int64)  # nodes of each unit
+        self.enter = np.zeros(0, np.int64)  # first edge into each node
+        self.up_to, self.back, self.what = np.zeros(0, np.float32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.waiting: dict[str, list] = {x: [] for x in ("first", "last", "enter", "up_to", "back", "what")}
+        self.n_nodes = self.n_edges = 0
+        self.spelled: dict[str, int] = {}
+        self.spelling: list[list[int]] = []
 
     def learn(self, units: list[str]) -> None:
-        """Forward filtering of new units; their edges join the tables, sorted by the node they enter."""
-        keys, back, ids, ids_n = [], [], [], []
-        piece, prefix, weight = self.piece, self.prefix, self.weight
+        """Forward filtering of new units; short ones of common characters all at once."""
+        plain = [u for u in units if self.plain.fullmatch(u)]
+        some = set(plain)
+        if plain:
+            self._filter(plain)
         for u in units:
-            n, base = len(u), self.nodes
-            enter: list[list] = [[] for _ in range(n + 1)]
-            for i in range(n):
-                single = False
-                for j in range(i + 1, n + 1):
-                    s = u[i:j]
-                    if s not in prefix:
-                        break
-                    if (p := piece.get(s)) is not None:
-                        enter[j].append((i, weight[p], (p,)))
-                        single = single or j == i + 1
-                if not single:
-                    spelled = self._spelled(u[i])
-                    enter[i + 1].append((i, sum(weight[b] for b in spelled), spelled))
-            total = [0.0] * (n + 1)
-            for j in range(1, n + 1):
-                logs = [total[i] + w for i, w, _ in enter[j]]
-                top = max(logs)
-                parts = [math.exp(x - top) for x in logs]
-                whole, run = sum(parts), 0.0
-                total[j] = top + math.log(whole)
-                for k, (i, _, run_ids) in enumerate(enter[j]):
-                    run += parts[k] / whole
-                    keys.append(base + j + (1.0 if k == len(logs) - 1 else min(run, 1.0)))
-                    back.append(base + i)
-                    ids.extend(run_ids)
-                    ids_n.append(len(run_ids))
-            self.unit[u], self.last[u] = base, base + n
-            self.nodes += n + 1
-        added = np.array(ids_n, np.int64)
-        self.ids_at = np.concatenate([self.ids_at, len(self.ids) + np.cumsum(added) - added])
-        self.ids_n = np.concatenate([self.ids_n, added])
-        self.ids = np.concatenate([self.ids, np.array(ids, np.int64)])
-        self.keys = np.concatenate([self.keys, np.array(keys, np.float64)])
-        self.back = np.concatenate([self.back, np.array(back, np.int64)])
+            if u not in some:
+                self._filter_one(u)
+        self._join()
+
+    def _filter(self, units: list[str]) -> None:
+        """Place by place over all units; rows of ``piece`` and ``odds`` are edge lengths, columns the nodes they leave."""
+        size = np.array([len(u) for u in units], np.int64)
+        n_nodes = int((size + 1).sum())
+        first = np.cumsum(size + 1) - size - 1
+        symbol = np.zeros(n_nodes + self.longest, np.uint8)  # a zero behind each unit ends every walk
+        symbol[_ranges(first, size)] = self.symbol[np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)]
+        piece, odds, state = [], [], np.zeros(n_nodes, np.int32)
+        by_piece = np.append(np.exp(self.weight), 0.0)  # piece -1, none, weighs nothing
+        for k in range(self.longest):
+            state = self.move[state, symbol[k : k + n_nodes]]
+            piece.append(self.ends[state])
+            odds.append(by_piece[piece[-1]])
+        forward = np.zeros(n_nodes)
+        forward[first] = 1.0
+        order = np.argsort(-size, kind="stable")
+        start, left = first[order], np.searchsorted(-size[order], -np.arange(int(size.max()) + 2), "right")
+        for j in range(1, int(size.max()) + 1):
+            to = start[: left[j]] + j
+            forward[to] = sum(forward[to - k] * odds[k - 1][to - k] for k in range(1, min(j, self.longest) + 1))
+        # Edges by the node they enter, longest first: counted, then put in their places.
+        here = [np.flatnonzero(p >= 0) for p in piece]
+        count = np.zeros(n_nodes, np.int64)
+        for k, at in enumerate(here, 1):
+            count[at + k] += 1
+        to_come, total = np.cumsum(count) - count, int(count.sum())
+        node, back, what, up_to, run = np.repeat(np.arange(n_nodes), count), *(np.zeros(total, t) for t in (np.int64, np.int64, float)), np.zeros(n_nodes)
+        for k in range(self.longest, 0, -1):
+            at = here[k - 1]
+            to, spot = at + k, to_come[at + k]
+            run[to] += forward[at] * odds[k - 1][at]
+            back[spot], what[spot], up_to[spot] = at, piece[k - 1][at], run[to] / forward[to]
+            to_come[to] += 1
+        self._add(units, first, size, node, back, what, up_to)
+
+    def _filter_one(self, u: str) -> None:
+        """The same for one unit of any length and any characters, in logarithms."""
+        n = len(u)
+        total, node, back, what, run = np.zeros(n + 1), [], [], [], []
+        for j in range(1, n + 1):
+            edges = [(i, p) for i in range(max(0, j - self.longest), j) if (p := self.piece.get(u[i:j])) is not None]
+            if u[j - 1] not in self.piece:
+                c = u[j - 1]
+                if c not in self.spelled:
+                    self.spelled[c] = len(self.spelling)
+                    self.spelling.append([self.byte_id[b] for b in (MARK if c == HIDDEN else c).encode()])
+                edges.append((j - 1, -1 - self.spelled[c]))
+            logs = np.array([total[i] + (self.weight[p] if p >= 0 else self.weight[self.spelling[-1 - p]].sum()) for i, p in edges])
+            parts = np.exp(logs - logs.max())
+            total[j] = logs.max() + np.log(parts.sum())
+            node += [j] * len(edges)
+            back += [i for i, _ in edges]
+            what += [p for _, p in edges]
+            run += (np.cumsum(parts) / parts.sum()).tolist()
+        self._add([u], np.zeros(1, np.int64), np.array([n]), np.array(node), np.array(back), np.array(what), np.array(run))
+
+    def _add(self, units, first, size, node, back, what, up_to) -> None:
+        """Edges sorted by the node they enter; each has the chance of itself and those before it."""
+        starts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        up_to = up_to.astype(np.float32)
+        up_to[np.append(starts[1:], len(node)) - 1] = 2.0
+        n_nodes = int((size + 1).sum())
+        enter = np.full(n_nodes, -1, np.int64)
+        enter[node[starts]] = starts + self.n_edges
+        self.unit |= zip(units, range(len(self.unit), len(self.unit) + len(units)), strict=True)
+        new = {"first": first + self.n_nodes, "last": first + size + self.n_nodes, "enter": enter, "up_to": up_to, "back": back + self.n_nodes, "what": what}
+        for name, x in new.items():
+            self.waiting[name].append(x.astype(getattr(self, name).dtype))
+        self.n_nodes, self.n_edges = self.n_nodes + n_nodes, self.n_edges + len(node)
+
+    def _join(self) -> None:
+        for name, parts in self.waiting.items():
+            if parts:
+                setattr(self, name, np.concatenate([getattr(self, name), *parts]))
+                parts.clear()
 
     def sample(self, texts: list[str], row_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids of each text)."""
         parts = [UNIT.findall((" " + t).replace(MARK, HIDDEN).replace(" ", MARK)) if t else [] for t in texts]
-        units = [u for p in parts for u in p]
+        units = list(chain.from_iterable(parts))
         if len(self.unit) > UNITS:
             self.clear()
         self.learn([u for u in dict.fromkeys(units) if u not in self.unit])
         count = np.array([len(p) for p in parts], np.int64)
-        first = np.fromiter(map(self.unit.__getitem__, units), np.int64, len(units))
-        node = np.fromiter(map(self.last.__getitem__, units), np.int64, len(units))
+        number = np.fromiter(map(self.unit.__getitem__, units), np.int64, len(units))
+        first, node = self.first[number], self.last[number]
         ordinal = _ranges(np.zeros(len(count), np.int64), count).astype(np.uint64)
         stream = _mixed(np.repeat(row_keys, count) + self.seed) + ordinal * np.uint64(0xD1342543DE82EF95)
         open_, steps, drawn = np.arange(len(units)), 0, []
         length = np.zeros(len(units), np.int64)
         while len(open_):
-            draw = _mixed(stream[open_] + np.uint64(steps * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(40)
-            edge = np.searchsorted(self.keys, node[open_] + draw.astype(np.float64) / (1 << 24), "right")
+            draw = (_mixed(stream[open_] + np.uint64(steps * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(40)).astype(np.float32) / (1 << 24)
+            edge = self.enter[node[open_]]
+            over = np.flatnonzero(draw >= self.up_to[edge])
+            while len(over):  # the longest piece stands first and is mostly the likeliest, so few go on
+                edge[over] += 1
+                over = over[draw[over] >= self.up_to[edge[over]]]
             drawn.append((open_, edge))
             length[open_] += 1
             node[open_] = self.back[edge]
@@ -150,8 +220,14 @@ class Lattice:
         end = np.cumsum(length)
         for k, (who, edge) in enumerate(drawn):  # the k-th draw is the k-th piece from the unit's end
             edges[end[who] - 1 - k] = edge
-        sizes = self.ids_n[edges]
-        ids = self.ids[_ranges(self.ids_at[edges], sizes)]
+        ids = self.what[edges].astype(np.int64)
+        sizes = np.ones(len(ids), np.int64)
+        if len(odd := np.flatnonzero(ids < 0)):
+            sizes[odd] = [len(self.spelling[-1 - k]) for k in ids[odd].tolist()]
+            at = np.cumsum(sizes) - sizes
+            spread = np.repeat(ids, sizes)
+            spread[_ranges(at[odd], sizes[odd])] = list(chain.from_iterable(self.spelling[-1 - k] for k in ids[odd].tolist()))
+            ids = spread
         by_edge = np.concatenate([[0], np.cumsum(sizes)])
         by_unit = by_edge[np.concatenate([[0], end])]
         return ids, np.diff(by_unit[np.concatenate([[0], np.cumsum(count)])])
@@ -183,8 +259,8 @@ def sampled_pieces(docs: DataFrame, model_path: str, alpha: float = ALPHA, seed:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice = _lattice(model_path, alpha, seed)
         for rows in batches:
-            for at in range(0, len(rows), 1000):
-                part = rows.iloc[at : at + 1000]
+            for at in range(0, len(rows), 500):
+                part = rows.iloc[at : at + 500]
                 keys = [None if pd.isna(k) else k for k in part["doc_id"]]
                 texts = part["text"].tolist()
                 ids, sizes = lattice.sample(texts, np.array([row_key(k) for k in keys], np.uint64))
