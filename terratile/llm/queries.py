@@ -93,8 +93,8 @@ FROM p LEFT JOIN big ON p.d = big.d
 DECONTAMINATION_SQL = f"""
 WITH d AS (SELECT doc_id, {_words("text")} AS w FROM documents),
 i AS (SELECT item_id, {_words("text")} AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, array_to_string(w[at:at + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS at FROM d WHERE len(w) > 0)),
-si AS (SELECT DISTINCT item_id, array_to_string(w[at:at + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS at FROM i WHERE len(w) > 0)),
+ds AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, k, k + 4), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM d WHERE len(w) > 0)),
+si AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, k, k + 4), ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM i WHERE len(w) > 0)),
 n AS (SELECT item_id, count(*) AS n_item FROM si GROUP BY item_id)
 SELECT doc_id, si.item_id, count(*) AS n_shared, any_value(n_item) AS n_item, count(*) / any_value(n_item) AS containment
 FROM ds JOIN si ON ds.s = si.s JOIN n ON n.item_id IS NOT DISTINCT FROM si.item_id
