@@ -9,8 +9,8 @@ before it, and so on, each with its exact conditional probability.  Draws come
 from a hash of row key, seed, unit and step, so a row is cut the same way
 wherever and whenever it runs.
 
-Forward sums are made once for each distinct unit and kept by the worker
-process (it starts anew at ``UNITS`` units).  Sampling steps all units of many
+Forward sums are made once for each distinct unit and kept within a task (which
+starts anew at ``UNITS`` units).  Sampling steps all units of many
 texts at once.  Decoding joins the bytes of the pieces and drops the leading
 blank; it gives back every text exactly, also those with piece marks, control
 characters or runs of blanks.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 MARK, HIDDEN = "▁", "\udc81"  # a literal mark is hidden, so that it is spelled in bytes
 UNIT = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
-UNITS, SHORT = 200_000, 48
+UNITS, SHORT, SOME = 120_000, 48, 4096
 ALPHA, SEED = 1.0, 1
 
 
@@ -96,8 +96,8 @@ class Lattice:
     def clear(self) -> None:
         self.unit: dict[str, int] = {}  # -> its number
         self.first, self.last = np.zeros(0, np.int64), np.zeros(0, np.int64)  # nodes of each unit
-        self.enter = np.zeros(0, np.int64)  # first edge into each node
-        self.up_to, self.back, self.what = np.zeros(0, np.float32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.enter = np.zeros(0, np.int32)  # first edge into each node
+        self.up_to, self.back, self.what = np.zeros(0, np.float32), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.waiting: dict[str, list] = {x: [] for x in ("first", "last", "enter", "up_to", "back", "what")}
         self.n_nodes = self.n_edges = 0
         self.spelled: dict[str, int] = {}
@@ -107,8 +107,8 @@ class Lattice:
         """Forward filtering of new units; short ones of common characters all at once."""
         plain = [u for u in units if self.plain.fullmatch(u)]
         some = set(plain)
-        if plain:
-            self._filter(plain)
+        for at in range(0, len(plain), SOME):
+            self._filter(plain[at : at + SOME])
         for u in units:
             if u not in some:
                 self._filter_one(u)
@@ -239,16 +239,6 @@ class Lattice:
         return [data[a:b].decode()[1:] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-_lattices: dict[tuple, Lattice] = {}
-
-
-def _lattice(*key) -> Lattice:
-    if key not in _lattices:
-        _lattices.clear()
-        _lattices[key] = Lattice(*key)
-    return _lattices[key]
-
-
 def row_key(key: str | None) -> int:
     return xxhash.xxh64_intdigest(b"\0" if key is None else key.encode())
 
@@ -257,10 +247,10 @@ def sampled_pieces(docs: DataFrame, model_path: str, alpha: float = ALPHA, seed:
     """doc_id, n_pieces, ids, ids_crc32, decoded text and whether it equals the text, of each row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lattice = _lattice(model_path, alpha, seed)
+        lattice = Lattice(model_path, alpha, seed)  # gone with the task, so that idle workers hold nothing
         for rows in batches:
-            for at in range(0, len(rows), 500):
-                part = rows.iloc[at : at + 500]
+            for at in range(0, len(rows), 250):
+                part = rows.iloc[at : at + 250]
                 keys = [None if pd.isna(k) else k for k in part["doc_id"]]
                 texts = part["text"].tolist()
                 ids, sizes = lattice.sample(texts, np.array([row_key(k) for k in keys], np.uint64))
