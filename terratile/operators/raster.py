@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terratile.functions.columns import normalised_difference
+from terratile.functions.columns import clip, normalised_difference
 from terratile.operators.graph import connected_components
 
 #: Scene classes that count as clear ground (fixed values).
@@ -64,3 +64,55 @@ def component_shapes(labelled: DataFrame, min_px: int = 1) -> DataFrame:
     )
     box = (F.col("y1") - F.col("y0") + 1) * (F.col("x1") - F.col("x0") + 1)
     return rows.where(F.col("area_px") >= min_px).withColumn("fill", F.round(F.col("area_px") / box, 6))
+
+
+def range_summary(rows: DataFrame, value: str, *group: str) -> DataFrame:
+    """Per group: least, 2nd percentile, mean, median, 98th percentile and greatest of the values there are."""
+    cut = {"p2": 0.02, "median": 0.5, "p98": 0.98}
+    return rows.groupBy(*group).agg(
+        F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), *[F.percentile(value, q).alias(k) for k, q in cut.items()]
+    )
+
+
+def band_reliability(rows: DataFrame, pairs: list[tuple[str, str]], *group: str) -> DataFrame:
+    """Per group the worst correlation of the band pairs, and the reliability that follows: clip((c - 0.55) / 0.35, 0.5, 1)."""
+    worst = [F.corr(a, b) for a, b in pairs]
+    out = rows.groupBy(*group).agg((F.least(*worst) if len(worst) > 1 else worst[0]).alias("min_corr"))
+    return out.withColumn("reliability", clip((F.col("min_corr") - 0.55) / 0.35, 0.5, 1.0))
+
+
+def stretched_difference(rows: DataFrame, a: str, b: str, *group: str, least: float = 0.1) -> DataFrame:
+    """Per group, of two bands each stretched between its 2nd and 98th percentile: mean absolute difference, share above ``least``, correlation."""
+    cut = rows.groupBy(*group).agg(*[F.percentile(c, q).alias(f"_{c}_{n}") for c in (a, b) for n, q in (("low", 0.02), ("high", 0.98))])
+    met = rows.join(cut, list(group))
+    low, high = (lambda c, n=n: F.col(f"_{c}_{n}") for n in ("low", "high"))
+    stretch = lambda c: F.when(high(c) > low(c), clip((F.col(c) - low(c)) / (high(c) - low(c)), 0.0, 1.0)).otherwise(0.0)
+    met = met.select(*group, stretch(a).alias("a"), stretch(b).alias("b"))
+    gap = F.abs(F.col("a") - F.col("b"))
+    return met.groupBy(*group).agg(F.avg(gap).alias("mean_abs"), F.avg((gap > least).cast("double")).alias("share_above"), F.corr("a", "b").alias("corr"))
+
+
+def component_features(labelled: DataFrame, prob: DataFrame, min_px: int = 50) -> DataFrame:
+    """Per component of at least ``min_px``: area, box, centre, mean and largest probability, elongation and fill.
+
+    Elongation is the square root of the ratio of the eigenvalues (1e-6 at least) of the
+    sample covariance of the pixels' places; 1 below three pixels.
+    """
+    vy, vx, cov = F.var_samp("y"), F.var_samp("x"), F.covar_samp("y", "x")
+    half, root = (vy + vx) / 2, F.sqrt(F.pow((vy - vx) / 2, 2) + cov * cov)
+    high, low = F.greatest(half + root, F.lit(1e-6)), F.greatest(half - root, F.lit(1e-6))
+    rows = labelled.join(prob, ["observation_id", "y", "x"]).groupBy("observation_id", "label").agg(
+        F.count("*").alias("area_px"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.avg("y").alias("cy"), F.avg("x").alias("cx"),
+        F.avg("prob").alias("mean_prob"), F.max("prob").alias("max_prob"), F.when(F.count("*") < 3, 1.0).otherwise(F.sqrt(high / low)).alias("elongation"),
+    )
+    box = (F.col("y1") - F.col("y0") + 1) * (F.col("x1") - F.col("x0") + 1)
+    return rows.where(F.col("area_px") >= min_px).withColumn("fill", F.col("area_px") / box)
+
+
+def window_plan(images: DataFrame, size: int = 1024, stride: int = 824) -> DataFrame:
+    """(image_id, x0, y0): window origins that cover each image; the last of a row or column ends at the edge."""
+    origins = lambda d: F.when(d <= size, F.array(F.lit(0).cast("long"))).otherwise(
+        F.array_union(F.sequence(F.lit(0).cast("long"), F.greatest(d - size, F.lit(0)).cast("long"), F.lit(stride).cast("long")), F.array((d - size).cast("long")))
+    )
+    rows = images.select("image_id", F.explode(origins(F.col("height"))).alias("y0"), origins(F.col("width")).alias("xs"))
+    return rows.select("image_id", F.explode("xs").alias("x0"), "y0")

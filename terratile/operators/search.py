@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terratile.functions.columns import inner_product
+from terratile.operators import scan
 
 
 def top_k(vectors: DataFrame, seeds: DataFrame, k: int, keep_self: bool = False) -> DataFrame:
@@ -34,7 +35,9 @@ def stratified_sample(rows: DataFrame, group: str, key: str, n: int, floor: int)
     take = F.least("size", F.lit(floor) + F.floor(spare * F.col("size") / F.col("total")))
     alloc = sizes.crossJoin(F.broadcast(total)).select(group, take.alias("take"))  # total is one row
     order = Window.partitionBy(group).orderBy(F.crc32(F.col(key).cast("string").cast("binary")), key)
-    return rows.withColumn("rank", F.row_number().over(order)).join(alloc, group).where(F.col("rank") <= F.col("take")).select(group, key, "rank")
+    # no group gives more than this, so Spark cuts each partition's rows before the shuffle
+    ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(n, floor))
+    return ranked.join(alloc, group).where(F.col("rank") <= F.col("take")).select(group, key, "rank")
 
 
 def ranking_metrics(ranked: DataFrame, k: int) -> DataFrame:
@@ -62,13 +65,37 @@ def confusion(rows: DataFrame, truth: str, guess: str) -> DataFrame:
     )
 
 
+def ranked_hits(detections: DataFrame) -> DataFrame:
+    """Detections with running hits ``tp`` and position ``n`` in their class, best score first, and the class's hits ``n_true``."""
+    hit = F.col("hit").cast("int")
+    rows = scan.running(detections, ["class_id"], [F.desc("score"), F.col("det_id")], {"tp": hit, "n": F.lit(1)})
+    return rows.join(detections.groupBy("class_id").agg(F.sum(hit).alias("n_true")), "class_id")
+
+
 def average_precision(detections: DataFrame) -> DataFrame:
     """Per class the all-point average precision of scored hits (area under the precision envelope)."""
-    order = Window.partitionBy("class_id").orderBy(F.desc("score"), "det_id")
-    whole = Window.partitionBy("class_id")
-    hit = F.col("hit").cast("int")
-    rows = detections.withColumn("tp", F.sum(hit).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("precision", F.col("tp") / F.row_number().over(order)).withColumn("all", F.sum(hit).over(whole))
-    later = Window.partitionBy("class_id").orderBy("score", F.desc("det_id")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("envelope", F.max("precision").over(later)).where("hit")
-    return rows.groupBy("class_id").agg(F.count("*").alias("n_true"), F.round(F.sum(F.col("envelope") / F.col("all")), 6).alias("ap"))
+    rows = ranked_hits(detections).withColumn("precision", F.col("tp") / F.col("n"))
+    rows = scan.running(rows, ["class_id"], [F.col("score"), F.desc("det_id")], maxima={"envelope": F.col("precision")}).where("hit")
+    return rows.groupBy("class_id").agg(F.count("*").alias("n_true"), F.round(F.sum(F.col("envelope") / F.col("n_true")), 6).alias("ap"))
+
+
+def prefix_above(ranked: DataFrame, least: float) -> DataFrame:
+    """Per query the ranks before the first score below ``least`` (a later rise does not count)."""
+    cut = ranked.groupBy("query_id").agg(F.min(F.when(F.col("score") < least, F.col("rank"))).alias("cut"))
+    return ranked.join(cut, "query_id").where(F.col("cut").isNull() | (F.col("rank") < F.col("cut"))).drop("cut")
+
+
+def collapse_near(ranked: DataFrame, vectors: DataFrame, least: float = 0.97) -> DataFrame:
+    """In rank order, ``kept`` is false for a row whose inner product with a kept row of the query reaches ``least``.
+
+    A query's list is as long as the k it was cut at; it is folded in place.
+    """
+    lists = ranked.join(vectors.select("vec_id", "embedding"), "vec_id").groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "vec_id", "embedding"))).alias("items")
+    )
+    none = F.expr("cast(array() as array<struct<rank:int,vec_id:bigint,embedding:array<float>>>)")
+    kept = F.aggregate(
+        "items", none, lambda acc, x: F.when(F.exists(acc, lambda y: inner_product(y["embedding"], x["embedding"]) >= least), acc).otherwise(F.array_append(acc, x))
+    )
+    rows = lists.select("query_id", F.transform(kept, lambda x: x["vec_id"]).alias("ids"), F.explode("items").alias("i"))
+    return rows.select("query_id", "i.rank", "i.vec_id", F.array_contains("ids", F.col("i.vec_id")).alias("kept"))

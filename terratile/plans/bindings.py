@@ -16,7 +16,7 @@ BINDINGS: dict[str, tuple[str, list[str], str]] = {
         [
             "c_custkey AS observation_id", "c_nationkey AS scene_id", "c_mktsegment AS aoi_name", "c_custkey % 40 AS place",
             "concat('20', lpad(CAST(c_custkey % 7 + 18 AS STRING), 2, '0'), '-', lpad(CAST(c_custkey % 12 + 1 AS STRING), 2, '0'), '-15') AS acquired_at",
-            "(c_custkey % 61) / 100.0 AS mean_cloud", "(c_custkey % 5) * 0.5 + 0.5 AS gsd_m",
+            "(c_custkey % 61) / 100.0e0 AS mean_cloud", "(c_custkey % 5) * 0.5e0 + 0.5e0 AS gsd_m",
         ],
         "true",
     ),
@@ -24,9 +24,9 @@ BINDINGS: dict[str, tuple[str, list[str], str]] = {
         "orders",
         [
             "o_orderkey AS tile_id", "o_custkey AS observation_id", "o_orderkey % 64 AS row_no", "o_orderkey % 97 AS col_no",
-            "(o_orderkey % 3000) * 0.1 - 150.0 AS west", "(o_custkey % 1400) * 0.1 - 70.0 AS south",
-            "(o_orderkey % 3000) * 0.1 - 149.95 AS east", "(o_custkey % 1400) * 0.1 - 69.95 AS north",
-            "(o_orderkey % 101) / 100.0 AS cloud", "CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey END AS vec_id",
+            "(o_orderkey % 3000) * 0.1e0 - 150.0e0 AS west", "(o_custkey % 1400) * 0.1e0 - 70.0e0 AS south",
+            "(o_orderkey % 3000) * 0.1e0 - 149.95e0 AS east", "(o_custkey % 1400) * 0.1e0 - 69.95e0 AS north",
+            "(o_orderkey % 101) / 100.0e0 AS cloud", "CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey END AS vec_id",
         ],
         "true",
     ),
@@ -35,11 +35,11 @@ BINDINGS: dict[str, tuple[str, list[str], str]] = {
         "lineitem",
         [
             "l_orderkey * 10 + l_linenumber AS candidate_id", "l_orderkey % 8 AS pair_id", "CAST(floor(l_quantity) AS BIGINT) * 12 AS area_px",
-            "((l_partkey % 41) - 20) / 50.0 AS d_ndvi", "((l_suppkey % 31) - 15) / 50.0 AS d_ndbi", "((l_orderkey % 37) - 18) / 40.0 AS d_ndwi",
-            "(l_partkey % 25) / 250.0 AS bad_earlier", "(l_suppkey % 20) / 200.0 AS bad_later", "1.0 - (l_orderkey % 11) / 40.0 AS valid_fraction",
-            "1.0 + (l_partkey % 13) / 3.0 AS elongation", "0.5 + (l_orderkey % 50) / 100.0 AS mean_prob", "(l_suppkey % 100) / 100.0 AS reliability",
-            "((l_orderkey * 37 + l_partkey) % 3600) / 10.0 - 180.0 AS lon", "((l_orderkey * 53 + l_suppkey) % 1600) / 10.0 - 80.0 AS lat", "((l_partkey + l_orderkey) % 97) / 96.0 AS confidence",
-            "(l_orderkey % 89) / 88.0 AS significance", "(l_orderkey % 71) / 10.0 - 3.5 AS dvv_db", "(l_partkey % 71) / 10.0 - 3.5 AS dvh_db",
+            "((l_partkey % 41) - 20) / 50.0e0 AS d_ndvi", "((l_suppkey % 31) - 15) / 50.0e0 AS d_ndbi", "((l_orderkey % 37) - 18) / 40.0e0 AS d_ndwi",
+            "(l_partkey % 25) / 250.0e0 AS bad_earlier", "(l_suppkey % 20) / 200.0e0 AS bad_later", "1.0e0 - (l_orderkey % 11) / 40.0e0 AS valid_fraction",
+            "1.0e0 + (l_partkey % 13) / 3.0e0 AS elongation", "0.5e0 + (l_orderkey % 50) / 100.0e0 AS mean_prob", "(l_suppkey % 100) / 100.0e0 AS reliability",
+            "((l_orderkey * 37 + l_partkey) % 3600) / 10.0e0 - 180.0e0 AS lon", "((l_orderkey * 53 + l_suppkey) % 1600) / 10.0e0 - 80.0e0 AS lat", "((l_partkey + l_orderkey) % 97) / 96.0e0 AS confidence",
+            "(l_orderkey % 89) / 88.0e0 AS significance", "(l_orderkey % 71) / 10.0e0 - 3.5e0 AS dvv_db", "(l_partkey % 71) / 10.0e0 - 3.5e0 AS dvh_db",
             "l_shipdate AS seen_at",
         ],
         "true",
@@ -63,15 +63,67 @@ BINDINGS: dict[str, tuple[str, list[str], str]] = {
     ),
     "watches": (
         "supplier",
-        ["s_suppkey AS watch_id", "(s_suppkey % 36) * 10.0 - 180.0 AS west", "(s_suppkey % 16) * 10.0 - 80.0 AS south", "(s_suppkey % 50) / 50.0 AS min_confidence", "s_suppkey % 3 <> 0 AS active"],
+        ["s_suppkey AS watch_id", "(s_suppkey % 36) * 10.0e0 - 180.0e0 AS west", "(s_suppkey % 16) * 10.0e0 - 80.0e0 AS south", "(s_suppkey % 50) / 50.0e0 AS min_confidence", "s_suppkey % 3 <> 0 AS active"],
         "true",
     ),
     "judged": ("labels", ["doc_id", "quality", "toxic"], "quality IS NOT NULL AND toxic IS NOT NULL"),
     "detections": (
         "lineitem",
-        ["((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS det_id", "l_partkey % 200 AS image_id", "l_suppkey % 5 AS class_id", "(l_orderkey % 997) / 997.0 AS score", "l_orderkey % 3 = 0 AS hit"],
+        ["((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS det_id", "l_partkey % 200 AS image_id", "l_suppkey % 5 AS class_id", "(l_orderkey % 997) / 997.0e0 AS score", "l_orderkey % 3 = 0 AS hit"],
         "true",
     ),
+    "sites": (
+        "customer",
+        [
+            "c_custkey AS observation_id",
+            "concat(lower(c_mktsegment), CASE c_custkey % 6 WHEN 0 THEN '_43RGP_diverse' WHEN 1 THEN '_44RPQ_scaled_82km' WHEN 2 THEN '-82km' WHEN 3 THEN '_backwaters_44RKU' WHEN 4 THEN '_scaled' ELSE '' END) AS aoi_name",
+        ],
+        "true",
+    ),
+    "zones": (
+        "nation",
+        [
+            "n_name AS zone", "(n_nationkey % 5) * 60e0 - 150e0 AS west", "(n_nationkey % 5) * 60e0 - 70e0 AS east",
+            "(n_nationkey % 7) * 20e0 - 75e0 AS south", "(n_nationkey % 7) * 20e0 - 40e0 AS north",
+        ],
+        "true",
+    ),
+    "scenes_at": (
+        "customer",
+        [
+            "c_custkey AS observation_id", "c_custkey % 40 AS place", "c_custkey % 3 AS collection_id", "concat('s', CAST(c_custkey % 4 AS STRING)) AS sensor",
+            "concat('20', lpad(CAST(c_custkey % 7 + 18 AS STRING), 2, '0'), '-', lpad(CAST(c_custkey % 12 + 1 AS STRING), 2, '0'), '-15') AS acquired_at",
+            "(c_custkey % 2) * 0.5e0 + 0.5e0 AS gsd_m", "(c_custkey % 61) / 200e0 AS mean_cloud", "(c_custkey % 5) / 10e0 AS shift_px", "c_nationkey % 2 AS reference",
+            "(c_custkey % 17) / 10e0 AS west", "(c_custkey % 13) / 10e0 AS south", "(c_custkey % 17) / 10e0 + 1e0 AS east", "(c_custkey % 13) / 10e0 + 1e0 AS north",
+        ],
+        "true",
+    ),
+    "grid": (
+        "orders",
+        [
+            "CAST(floor(o_orderkey / 1500) AS BIGINT) AS observation_id", "CAST(floor(o_orderkey / 50) AS BIGINT) % 30 AS y", "o_orderkey % 50 AS x",
+            "(o_orderkey * 7 + o_custkey * 3) % 60 AS z", "(o_custkey * 13 + o_orderkey) % 300 AS amp1", "(o_custkey * 29 + o_orderkey * 5) % 300 AS amp2",
+            "(o_custkey * 11) % 3000 + 1 AS b1", "(o_custkey * 11 + o_orderkey % 400) % 3300 + 1 AS b2", "(o_custkey % 100) / 100e0 AS prob", "o_orderkey % 12 AS scl",
+        ],
+        "true",
+    ),
+    "chips": ("lineitem", ["l_orderkey AS chip_id", "l_suppkey * l_suppkey % 97 % 6 AS class_id"], "true"),
+    "images": ("part", ["p_partkey AS image_id", "p_partkey * 37 % 4000 + 200 AS width", "p_partkey * 91 % 3000 + 200 AS height"], "true"),
+    "boxes": (
+        "lineitem",
+        [
+            "((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS box_id", "l_partkey % 200 AS image_id", "l_suppkey % 5 AS class_id", "l_orderkey % 4 AS chip_id",
+            "(l_orderkey % 997) / 997e0 AS score", "(l_orderkey * 7 + l_suppkey * 3) % 120 * 1e0 AS x0", "(l_partkey * 3 + l_orderkey) % 120 * 1e0 AS y0",
+            "(l_orderkey * 7 + l_suppkey * 3) % 120 + 20e0 + l_linenumber AS x1", "(l_partkey * 3 + l_orderkey) % 120 + 16e0 + l_linenumber * 2 AS y1",
+        ],
+        "true",
+    ),
+    "truths": (
+        "orders",
+        ["o_orderkey AS truth_id", "o_custkey % 200 AS image_id", "o_orderkey % 5 AS class_id", "o_orderkey * 11 % 120 * 1e0 AS x0", "o_orderkey * 3 % 120 * 1e0 AS y0", "o_orderkey * 11 % 120 + 22e0 AS x1", "o_orderkey * 3 % 120 + 20e0 AS y1"],
+        "true",
+    ),
+    "measures": ("events", ["event_id", "user_id", "event_type", "value"], "value IS NOT NULL"),
 }
 
 
@@ -86,6 +138,8 @@ def sql(query: str) -> str:
     for n in BINDINGS:
         query = query.replace(f"{{{n}}}", n)
     query = query.strip()
+    if query.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {', '.join(used)}, {query[15:]}"
     if query.upper().startswith("WITH "):
         return f"WITH {', '.join(used)}, {query[5:]}"
     return f"WITH {', '.join(used)} {query}"

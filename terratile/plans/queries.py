@@ -2,31 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terratile.functions import columns as C
 from terratile.operators import catalog, change, raster, search, watch
-from terratile.plans.bindings import BINDINGS, bind, sql
+from terratile.plans.bindings import BINDINGS, sql
+from terratile.plans.registry import QUERIES, SQL, query
 from terratile.streaming import logs
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, check: str):
-    """Registers f(bind) -> DataFrame, where bind(name) gives a bound table."""
-
-    def add(f):
-        QUERIES[name] = lambda spark, sf_dir: f(lambda table: bind(spark, sf_dir, table))
-        SQL[name] = sql(check)
-        return f
-
-    return add
-
-
 # ---- catalogue
 
 CHAIN = "{tiles} JOIN {observations} USING (observation_id) JOIN {scenes} USING (scene_id) JOIN {collections} USING (collection_id)"
