@@ -115,7 +115,8 @@ def overlaps(left: DataFrame, right: DataFrame, cell: float = 64.0) -> DataFrame
     met = met.where((x1 > x0) & (y1 > y0) & (F.floor(x0 / cell) == F.col("gx")) & (F.floor(y0 / cell) == F.col("gy")))
     area = lambda s: (F.col(f"{s}.x1") - F.col(f"{s}.x0")) * (F.col(f"{s}.y1") - F.col(f"{s}.y0"))
     inter = (x1 - x0) * (y1 - y0)
-    return met.select("image_id", "class_id", "l", "r", (inter / (area("l") + area("r") - inter)).alias("iou"))
+    # Spark may work this out before it drops pairs that do not overlap, where the union is no area and can be 0
+    return met.select("image_id", "class_id", "l", "r", F.try_divide(inter, area("l") + area("r") - inter).alias("iou"))
 
 
 def best_matches(boxes: DataFrame, truths: DataFrame) -> DataFrame:

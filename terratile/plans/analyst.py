@@ -85,7 +85,7 @@ def _(b):
 
 @query(
     "h7_box_size",
-    """SELECT candidate_id, round(greatest(e1, e2), 4) AS length_m, round(least(e1, e2), 4) AS width_m FROM (SELECT candidate_id, sqrt(pow(dx * kx, 2) + pow(0.3 * dx * ky, 2)) AS e1, sqrt(pow(-0.5 * dx * kx, 2) + pow(dx * ky, 2)) AS e2
+    """SELECT candidate_id, round(greatest(e1, e2), 3) AS length_m, round(least(e1, e2), 3) AS width_m FROM (SELECT candidate_id, sqrt(pow(dx * kx, 2) + pow(0.3 * dx * ky, 2)) AS e1, sqrt(pow(-0.5 * dx * kx, 2) + pow(dx * ky, 2)) AS e2
     FROM (SELECT candidate_id, dx, 111132.92 - 559.82 * cos(2 * phi) + 1.175 * cos(4 * phi) AS ky, 111412.84 * cos(phi) - 93.5 * cos(3 * phi) AS kx
     FROM (SELECT candidate_id, reliability * 0.001 + 0.0001 AS dx, radians(lat + 0.65 * (reliability * 0.001 + 0.0001)) AS phi FROM {candidates})))""",
 )
@@ -94,7 +94,7 @@ def _(b):
     corners = [(0.0, 0.0), (1.0, 0.3), (0.5, 1.3), (-0.5, 1.0)]
     ring = F.array(*[F.struct((F.col("lon") + u * dx).alias("x"), (F.col("lat") + v * dx).alias("y")) for u, v in corners])
     length, width = places.box_size_m(ring)
-    return b("candidates").select("candidate_id", F.round(length, 4).alias("length_m"), F.round(width, 4).alias("width_m"))
+    return b("candidates").select("candidate_id", F.round(length, 3).alias("length_m"), F.round(width, 3).alias("width_m"))
 
 
 # ---- review

@@ -349,9 +349,9 @@ INDICES = """SELECT observation_id, y, x, scl, CASE WHEN b08 + b04 > 0 THEN (b08
  CASE WHEN b03 + b08 > 0 THEN (b03 - b08) / (b03 + b08) ELSE 0.0 END AS ndwi, CASE WHEN b11 + b08 > 0 THEN (b11 - b08) / (b11 + b08) ELSE 0.0 END AS ndbi FROM {pixels}"""
 
 
-@query("i3_indices", f"SELECT observation_id, y, x, round(ndvi, 6) AS ndvi, round(ndwi, 6) AS ndwi, round(ndbi, 6) AS ndbi FROM ({INDICES})")
+@query("i3_indices", f"SELECT observation_id, y, x, ndvi, ndwi, ndbi FROM ({INDICES})")
 def _(b):
-    return raster.with_indices(b("pixels")).select("observation_id", "y", "x", *[F.round(c, 6).alias(c) for c in ("ndvi", "ndwi", "ndbi")])
+    return raster.with_indices(b("pixels")).select("observation_id", "y", "x", "ndvi", "ndwi", "ndbi")
 
 
 _OK = "FILTER (scl IN (4, 5, 6, 7))"
