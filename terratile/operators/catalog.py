@@ -104,3 +104,38 @@ def cumulative_by_date(rows: DataFrame) -> DataFrame:
     daily = rows.groupBy("change_type", "day").agg(F.count("*").alias("n"), F.sum("area_px").alias("area"))
     run = Window.partitionBy("change_type").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     return daily.select("change_type", "day", F.sum("n").over(run).alias("n_so_far"), F.sum("area").over(run).alias("area_so_far"))
+
+
+def set_context(rows: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``rows`` with ``columns`` replaced where ``new`` has the key; keys that are not there add nothing."""
+    fresh = new.select(key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in columns])
+    joined = rows.join(fresh, key, "left")
+    return joined.withColumns({c: F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)) for c in columns}).drop("_hit", *[f"_{c}" for c in columns])
+
+
+def append_decisions(log: DataFrame, new: DataFrame, now: Column | None = None) -> DataFrame:
+    """The log with new decisions; a blank id or time is filled in, and a decision that is none of the three raises an error."""
+    known = F.col("decision").isin("confirm", "reject", "reopen")
+    checked = F.when(F.coalesce(known, F.lit(False)), F.col("decision")).otherwise(F.raise_error(F.lit("unknown decision")))
+    filled = new.withColumns({"decision": checked, "decision_id": F.coalesce("decision_id", F.xxhash64(*new.columns)), "created_at": F.coalesce("created_at", now if now is not None else F.current_timestamp())})
+    return log.unionByName(filled.select(log.columns))
+
+
+def update_watches(watches: DataFrame, changes: DataFrame, clearable: list[str]) -> DataFrame:
+    """Partial update: a change's null leaves a column alone, but clears those named in its array ``cleared`` if they are ``clearable``."""
+    columns = [c for c in watches.columns if c != "watch_id"]
+    new = changes.select("watch_id", F.col("cleared").alias("_cleared"), *[F.col(c).alias(f"_{c}") for c in columns if c in changes.columns])
+    joined = watches.join(new, "watch_id", "left")
+    out = {}
+    for c in columns:
+        value = F.coalesce(f"_{c}", c) if c in changes.columns else F.col(c)
+        if c in clearable:
+            value = F.when(F.coalesce(F.array_contains("_cleared", c), F.lit(False)), F.lit(None)).otherwise(value)
+        out[c] = value
+    return joined.select("watch_id", *[v.alias(c) for c, v in out.items()])
+
+
+def delete_watches(watches: DataFrame, notices: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Watches without those of ``gone``, and the notices of the watches that stay."""
+    keys = gone.select("watch_id").distinct()
+    return watches.join(keys, "watch_id", "left_anti"), notices.join(keys, "watch_id", "left_anti")

@@ -23,19 +23,55 @@ def latest_status(log: DataFrame) -> DataFrame:
     return last.select("candidate_id", "d.decision_id", "d.decision")
 
 
-def latest_status_table(log: DataFrame) -> DataFrame:
-    """Drain a streaming log and read back the status table.
+def upsert_table(stream: DataFrame, key: str) -> DataFrame:
+    """Drain a streaming aggregate in update mode and read back its table, the newest row of each key.
 
     Each batch writes its own folder, named by the batch, so a batch that runs
     again after a failure replaces what it wrote.
     """
-    spark = log.sparkSession
-    folder = shared_dir(spark, "status")
-    status = latest_status(log)
-    drain(status, lambda rows, n: rows.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/part={n}"), "update")
-    rows = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in status.schema)}, batch int").option("recursiveFileLookup", "true").parquet(folder)
-    newest = rows.groupBy("candidate_id").agg(F.max(F.struct("batch", "decision_id", "decision")).alias("d"))
-    return newest.select("candidate_id", "d.decision_id", "d.decision")
+    spark = stream.sparkSession
+    folder = shared_dir(spark, "updates")
+    drain(stream, lambda rows, n: rows.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/part={n}"), "update")
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in stream.schema)}, batch int"
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
+    rest = [c for c in stream.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("d")).select(key, "d.*")
+
+
+def latest_status_table(log: DataFrame) -> DataFrame:
+    """The status table of a streaming decision log."""
+    return upsert_table(latest_status(log), "candidate_id")
+
+
+def tile_rollup(tiles: DataFrame) -> DataFrame:
+    """Streaming rollup of appended tiles: per observation envelope, count, cloud sum and maximum, clear tiles.
+
+    The state holds one row for each observation, whatever the number of tiles.
+    """
+    return tiles.groupBy("observation_id").agg(
+        F.min("west").alias("west"), F.min("south").alias("south"), F.max("east").alias("east"), F.max("north").alias("north"),
+        F.count("*").alias("n_tiles"), F.max("cloud").alias("cloud_max"), F.count_if(F.col("cloud") <= 0.05).alias("n_clear"),
+    )
+
+
+def once_only(matches: DataFrame) -> DataFrame:
+    """Drain a stream of (watch_id, candidate_id) matches into a table that holds each match once.
+
+    A batch adds what the folders of other batches do not have; run again, it writes the same.
+    """
+    spark = matches.sparkSession
+    folder, schema = shared_dir(spark, "told"), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in matches.schema)
+
+    def tell(rows: DataFrame, n: int) -> None:
+        fresh = rows.distinct()
+        if n:
+            earlier = [f"{folder}/part={i}" for i in range(n)]
+            told = rows.sparkSession.read.schema(schema).option("recursiveFileLookup", "true").parquet(*earlier)
+            fresh = fresh.join(told, ["watch_id", "candidate_id"], "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{folder}/part={n}")
+
+    drain(matches, tell)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
 
 
 def read_log(spark: SparkSession, sf_dir: str, name: str, schema) -> DataFrame:
