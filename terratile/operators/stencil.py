@@ -58,7 +58,7 @@ def slope_aspect(pixels: DataFrame, value: str, pixel_m: float = 10.0) -> DataFr
     """Slope in degrees and compass bearing of the way down; the bearing is -1 where the slope is below 0.05 degrees."""
     slopes = gradients(pixels, value).withColumns({c: F.col(c) / (8.0 * pixel_m) for c in ("across", "down")})
     slope = F.degrees(F.atan(F.hypot("across", "down")))
-    bearing = F.pmod(270.0 - F.degrees(F.atan2(F.col("down"), -F.col("across"))), F.lit(360.0))
+    bearing = F.pmod(270.0 - F.degrees(F.atan2(-F.col("down"), F.col("across"))), F.lit(360.0))
     return slopes.select(*AT, slope.alias("slope"), F.when(slope < FLAT_DEG, -1.0).otherwise(bearing).alias("aspect"))
 
 

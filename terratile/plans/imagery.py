@@ -21,7 +21,7 @@ _GRADIENT = f"SELECT observation_id, y, x, sum(v * dx * (2 - abs(dy)))::DOUBLE A
 
 @query(
     "i9_slope_aspect",
-    f"""SELECT observation_id, y, x, round(slope, 4) AS slope, CASE WHEN slope < 0.05 THEN -1.0 ELSE round((270.0 - degrees(atan2(d, -a)) + 360.0) % 360.0, 4) END AS aspect FROM (
+    f"""SELECT observation_id, y, x, round(slope, 4) AS slope, CASE WHEN slope < 0.05 THEN -1.0 ELSE round((270.0 - degrees(atan2(-d, a)) + 360.0) % 360.0, 4) END AS aspect FROM (
     SELECT *, degrees(atan(sqrt(a * a + d * d))) AS slope FROM (SELECT observation_id, y, x, across / 80.0 AS a, down / 80.0 AS d FROM ({_GRADIENT})))""",
 )
 def _(b):
