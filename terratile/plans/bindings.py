@@ -112,7 +112,7 @@ BINDINGS: dict[str, tuple[str, list[str], str]] = {
     "boxes": (
         "lineitem",
         [
-            "((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS box_id", "l_partkey % 200 AS image_id", "l_suppkey % 5 AS class_id", "l_orderkey % 4 AS chip_id",
+            "((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS box_id", "CAST(floor(l_orderkey / 16) AS BIGINT) AS image_id", "l_suppkey % 5 AS class_id", "l_orderkey % 4 AS chip_id",
             "(l_orderkey % 997) / 997e0 AS score", "(l_orderkey * 7 + l_suppkey * 3) % 120 * 1e0 AS x0", "(l_partkey * 3 + l_orderkey) % 120 * 1e0 AS y0",
             "(l_orderkey * 7 + l_suppkey * 3) % 120 + 20e0 + l_linenumber AS x1", "(l_partkey * 3 + l_orderkey) % 120 + 16e0 + l_linenumber * 2 AS y1",
         ],
@@ -120,7 +120,7 @@ BINDINGS: dict[str, tuple[str, list[str], str]] = {
     ),
     "truths": (
         "orders",
-        ["o_orderkey AS truth_id", "o_custkey % 200 AS image_id", "o_orderkey % 5 AS class_id", "o_orderkey * 11 % 120 * 1e0 AS x0", "o_orderkey * 3 % 120 * 1e0 AS y0", "o_orderkey * 11 % 120 + 22e0 AS x1", "o_orderkey * 3 % 120 + 20e0 AS y1"],
+        ["o_orderkey AS truth_id", "CAST(floor(o_orderkey / 16) AS BIGINT) AS image_id", "o_orderkey % 5 AS class_id", "o_orderkey * 11 % 120 * 1e0 AS x0", "o_orderkey * 3 % 120 * 1e0 AS y0", "o_orderkey * 11 % 120 + 22e0 AS x1", "o_orderkey * 3 % 120 + 20e0 AS y1"],
         "true",
     ),
     "measures": ("events", ["event_id", "user_id", "event_type", "value"], "value IS NOT NULL"),

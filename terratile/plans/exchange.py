@@ -52,17 +52,16 @@ def _(b):
     return b("candidates").select("candidate_id", F.concat_ws(",", errors).alias("errors"))
 
 
-@query("a23_label_text", "SELECT image_id, x0, y0, x1, y1, class_id, false AS difficult FROM {boxes}")
+@query("a23_label_text", "SELECT chip_id, x0, y0, x1, y1, class_id, false AS difficult FROM {boxes}")
 def _(b):
     boxes = b("boxes")
     path = shared_dir(boxes.sparkSession, "labels")
-    heads = boxes.select("image_id").distinct().select("image_id", F.lit("gsd:0.5").alias("value"))
-    # a file an image and task: dealt by image and a piece of it, so that a hot image spreads
-    lines = features.label_lines(boxes).unionByName(heads).repartition("image_id", F.pmod(F.xxhash64("value"), F.lit(4)))
-    lines.write.partitionBy("image_id").text(path)
+    heads = boxes.select("chip_id").distinct().select("chip_id", F.lit("gsd:0.5").alias("value"))
+    # one folder a chip set, which is few; one folder an image would be as many as there are images
+    features.label_lines(boxes, "chip_id").unionByName(heads).write.partitionBy("chip_id").text(path)
     at = lambda i, n: F.col("corners")[i].alias(n)
     back = features.read_labels(boxes.sparkSession, path)
-    return back.select(F.col("image_id").cast("long").alias("image_id"), at(0, "x0"), at(1, "y0"), at(4, "x1"), at(5, "y1"), F.col("class_id").cast("long").alias("class_id"), "difficult")
+    return back.select(F.col("chip_id").cast("long").alias("chip_id"), at(0, "x0"), at(1, "y0"), at(4, "x1"), at(5, "y1"), F.col("class_id").cast("long").alias("class_id"), "difficult")
 
 
 # ---- keyed writes

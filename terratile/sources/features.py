@@ -45,10 +45,10 @@ def export_errors(ring: Column, required: dict[str, Column], dates: list[Column]
     return F.array_compact(F.array(*[F.when(F.coalesce(ok, F.lit(False)), F.lit(None)).otherwise(F.lit(code)) for code, ok in tests]))
 
 
-def label_lines(boxes: DataFrame) -> DataFrame:
-    """(image_id, value): eight coordinates, class and difficulty of each box, separated by blanks."""
+def label_lines(boxes: DataFrame, folder: str = "image_id") -> DataFrame:
+    """(folder, value): eight coordinates, class and difficulty of each box, separated by blanks."""
     corners = ["x0", "y0", "x1", "y0", "x1", "y1", "x0", "y1"]
-    return boxes.select("image_id", F.concat_ws(" ", *[F.col(c).cast("string") for c in corners], F.col("class_id").cast("string"), F.lit("0")).alias("value"))
+    return boxes.select(folder, F.concat_ws(" ", *[F.col(c).cast("string") for c in corners], F.col("class_id").cast("string"), F.lit("0")).alias("value"))
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
