@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terratile.llm import decontaminate, pieces, quality_crf, quality_rules, simhash
+from terratile.llm import decontaminate, near_copies, pieces, quality_crf, quality_rules
 from terratile.llm.queries import _read, _tokenizer
 from terratile.storage import stage_table
 
@@ -23,7 +23,7 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_first(docs)
+    return near_copies.keep_first_similar(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
