@@ -30,10 +30,11 @@ from terratile.storage import stage_table
 #: Base phrases and their labels (fixed by the contract).
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: (label, keyword that must stand in the line, name of the license as a
+#: (label, keyword that every match of the name holds, name of the license as a
 #: regular expression over words).  Written by hand from the licenses' titles.
 LICENSES = [
-    ("0bsd", "0bsd", r"0bsd|bsd zero clause"),
+    ("0bsd", "0bsd", r"0bsd"),
+    ("0bsd", "zero clause", r"bsd zero clause"),
     ("aal", "attribution assurance", r"attribution assurance"),
     ("afl-3.0", "academic free", r"academic free(?: license)?(?: version)? 3 0"),
     ("afl", "academic free", r"academic free"),
@@ -64,9 +65,9 @@ LICENSES = [
     ("cc-by-nd", "cc by nd", r"cc by nd(?: [1-4] [05])?"),
     ("cc-by-sa", "cc by sa", r"cc by sa(?: [1-4] [05])?"),
     ("cc-by", "cc by", r"cc by(?: [1-4] [05])?"),
-    ("cc-by-nc-nd", "noncommercial", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s"),
-    ("cc-by-nc-sa", "noncommercial", r"creative commons attribution non ?commercial share ?alike"),
-    ("cc-by-nc", "noncommercial", r"creative commons attribution non ?commercial"),
+    ("cc-by-nc-nd", "commercial", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s"),
+    ("cc-by-nc-sa", "commercial", r"creative commons attribution non ?commercial share ?alike"),
+    ("cc-by-nc", "commercial", r"creative commons attribution non ?commercial"),
     ("cc-by-sa", "creative commons", r"creative commons attribution share ?alike"),
     ("cc-by-nd", "creative commons", r"creative commons attribution no ?deriv(?:ative)?s"),
     ("cc-by", "creative commons", r"creative commons attribution"),
@@ -104,14 +105,14 @@ LICENSES = [
     ("gpl-3.0", "gplv3", r"gplv3"),
     ("gpl", "gpl", r"(?:gnu )?gpl"),
     ("hpnd", "historical permission", r"historical permission notice"),
-    ("icu", "icu license", r"icu"),
+    ("icu", "icu", r"icu"),
     ("ijg", "independent jpeg", r"independent jpeg group"),
     ("imatix", "imatix", r"imatix"),
     ("ipa", "ipa font", r"ipa font"),
     ("ipl-1.0", "ibm public", r"ibm public(?: license)?(?: version)?(?: 1 0)?"),
     ("isc", "isc", r"isc"),
     ("jasper-2.0", "jasper", r"jasper(?: license)?(?: version)?(?: 2 0)?"),
-    ("json", "json license", r"json"),
+    ("json", "json", r"json"),
     ("lgpl-2.0", "library general", r"(?:gnu )?library general public license(?: version| v)? ?2(?: 0)?"),
     ("lgpl-2.1", "lesser general", r"(?:gnu )?lesser general public license(?: version| v)? ?2 1"),
     ("lgpl-3.0", "lesser general", r"(?:gnu )?lesser general public license(?: version| v)? ?3(?: 0)?"),
@@ -153,14 +154,14 @@ LICENSES = [
     ("ogl", "open government", r"open government"),
     ("openssl", "openssl", r"openssl"),
     ("osl-3.0", "open software license", r"open software license(?: version)?(?: 3 0)?"),
-    ("php-3.01", "php license", r"php license(?: version)? 3 01"),
-    ("php", "php license", r"php"),
+    ("php-3.01", "php", r"php license(?: version)? 3 01"),
+    ("php", "php", r"php"),
     ("postgresql", "postgresql", r"postgresql"),
     ("psf-2.0", "python software", r"python software foundation"),
     ("qpl-1.0", "q public", r"q public(?: license)?(?: version)?(?: 1 0)?"),
     ("rpl-1.5", "reciprocal public", r"reciprocal public(?: license)?(?: version)?(?: 1 5)?"),
     ("rpsl-1.0", "realnetworks", r"realnetworks public source"),
-    ("ruby", "ruby license", r"ruby"),
+    ("ruby", "ruby", r"ruby"),
     ("sgi-b-2.0", "sgi free", r"sgi free software"),
     ("sleepycat", "sleepycat", r"sleepycat"),
     ("spl-1.0", "sun public", r"sun public(?: license)?(?: version)?(?: 1 0)?"),
@@ -169,7 +170,7 @@ LICENSES = [
     ("unicode", "unicode", r"unicode(?: inc)?"),
     ("unlicense", "unlicense", r"unlicense"),
     ("upl-1.0", "universal permissive", r"universal permissive(?: license)?(?: version)?(?: 1 0)?"),
-    ("vim", "vim license", r"vim"),
+    ("vim", "vim", r"vim"),
     ("vsl-1.0", "vovida", r"vovida software"),
     ("w3c", "w3c", r"w3c(?: software)?(?: notice)?"),
     ("watcom-1.0", "watcom", r"(?:sybase )?(?:open )?watcom public"),
@@ -203,12 +204,12 @@ FORMS = [
 ]
 
 #: Names that need no word beside them: they mean nothing but the license.
-PLAIN = {"cc0", "gplv2", "gplv3", "unlicense", "wtfpl", "cc by", "cc by nc", "cc by nd", "cc by sa", "general public", "lesser general", "library general", "affero", "lgpl", "0bsd"}
+PLAIN = {"cc0", "gplv2", "gplv3", "unlicense", "wtfpl", "cc by", "cc by nc", "cc by nd", "cc by sa", "general public", "lesser general", "library general", "affero", "lgpl", "0bsd", "zero clause"}
 
 
 #: Words of which each rule's matches hold at least one; texts without any are done.
 GATE = (
-    "licen[cs]|copyright|rights reserved|public domain|permission|proprietary|redistribut|cc by|cc0|gpl|0bsd|wtfpl|general public|as is"
+    "licen[cs]|copyright|rights reserved|public domain|permission|proprietary|redistribut|cc by|cc0|gpl|0bsd|zero clause|wtfpl|general public|as is"
     "|released|distributed|available|published|covered|governed|provided"
 )
 
