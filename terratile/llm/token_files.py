@@ -5,7 +5,7 @@ lengths, then the token ids of all of them in blocks of 128.  A block stores
 its minimum, the bit width that 90 % of its values (less the minimum) fit in,
 the values packed at that width, and for the others an exception list of
 positions and values.  An index gives the byte at which each block's packed
-values start, so a reader can go to any block.
+values start, so a reader can go to any block (``read_blocks``).
 
 Documents are sorted by doc_id over all files (nulls first, equal ids by a hash
 of the text), each file is written by one task in the shared folder under an
@@ -15,21 +15,22 @@ token of this vocabulary's pre-tokeniser; each distinct part is encoded once by
 the tokenizers library and then looked up.  The lookup table of a worker starts
 anew at ``WORDS`` entries.
 
+Document ids are whole numbers (the files hold them as signed 64-bit integers).
 Nulls: a null text is empty (only the end id).  Rows with equal or null ids are
 all kept.  An empty table gives no file and no row.
 """
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,7 @@ BLOCK, PERCENTILE = 128, 90
 MAGIC = b"PFOR0001"
 HEAD = struct.Struct("<QQQQQ")  # documents, values, blocks, exceptions, packed bytes
 SEGMENT = 1 << 20
+SLICE = 4 << 20  # bytes of text encoded at a time
 WORDS = 1_000_000
 END_ID = 1
 
@@ -113,13 +115,43 @@ def read_segments(data) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np
         yield ids, known, sizes, unpack({k: take(kind, length[k]) for k, kind in ORDER.items()}, n_values)
 
 
+def read_blocks(data, at: int, first: int, last: int) -> np.ndarray:
+    """The values of blocks ``first`` .. ``last`` - 1 of the segment at byte ``at`` of an open, seekable file.
+
+    The index leads to the packed bytes of just these blocks; of the rest only
+    the exception counts of earlier blocks are read.
+    """
+    data.seek(at)
+    n_docs, n_values, n_blocks, n_over, n_packed = HEAD.unpack(data.read(HEAD.size))
+    last = min(last, n_blocks)
+    length = dict.fromkeys(ORDER, n_blocks) | {"over_at": n_over, "over": n_over, "packed": n_packed}
+    place, pos = {}, at + HEAD.size + 13 * n_docs
+    for k, kind in ORDER.items():
+        place[k] = pos
+        pos += np.dtype(kind).itemsize * length[k]
+
+    def take(k: str, a: int, b: int) -> np.ndarray:
+        size = np.dtype(ORDER[k]).itemsize
+        data.seek(place[k] + a * size)
+        return np.frombuffer(data.read((b - a) * size), ORDER[k])
+
+    counts = take("n_over", 0, last).astype(np.int64)
+    over = int(counts[:first].sum()), int(counts.sum())
+    starts = take("starts", first, min(last + 1, n_blocks)).astype(np.int64)
+    ends = int(starts[last - first]) if last < n_blocks else n_packed
+    parts = {"low": take("low", first, last), "width": take("width", first, last), "starts": starts[: last - first] - starts[0], "n_over": counts[first:]}
+    parts |= {k: take(k, *over) for k in ("over_at", "over")} | {"packed": take("packed", int(starts[0]), ends)}
+    return unpack(parts, min(last * BLOCK, n_values) - first * BLOCK)
+
+
 # ---- encoding
 
 
 class Encoder:
     """Whole texts to token ids, each distinct part encoded once."""
 
-    PLAIN = re.compile(r"([^\W\d_]+)([.,;:!?]*)")
+    #: Words of letters, and marks behind them; such a word has at least as many word ends as it has of the two.
+    PLAIN, MARKED, GROUP = r"^\pL+[.,;:!?]*$", "[.,;:!?]$", 256
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -131,52 +163,62 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[str, int] = {"": 0}
-        self.flat, self.starts = array("I"), array("Q", [0, 0])
+        self.code: dict[str, int] = {"": 1}
+        self.flat, self.starts = array("I", [END_ID]), array("Q", [0, 1, 1])  # code 0: the end id
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _add(self, word: str, ids) -> None:
-        self.code[word] = len(self.starts) - 1
+    def _add(self, words: list[str], ids, ends) -> None:
+        """``words`` with all their ids in a row, each up to its end."""
+        at = len(self.flat)
+        self.code.update(zip(words, range(len(self.starts) - 1, len(self.starts) - 1 + len(words)), strict=True))
         self.flat.extend(ids)
-        self.starts.append(len(self.flat))
-
-    def learn(self, words: list[str]) -> None:
-        """Words of letters, with marks behind, have as many word ends as parts, so many go in one call."""
-        whole, counted = [], []
-        for w in words:
-            m = self.PLAIN.fullmatch(w)
-            if m and m[1].isalpha() and m[1].lower().isalpha():
-                counted.append((w, 2 if m[2] else 1))
+        self.starts.extend(at + e for e in ends)
+
+    def learn(self, words: pa.Array) -> None:
+        """Plain words are encoded many in a call, as their word ends tell them apart; others one by one."""
+        plain = pc.match_substring_regex(words, self.PLAIN)
+        counted, whole = words.filter(plain), words.filter(pc.invert(plain)).to_pylist()
+        n_ends = pc.match_substring_regex(counted, self.MARKED).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        counted, step = counted.to_pylist(), self.GROUP
+        groups = [counted[i : i + step] for i in range(0, len(counted), step)]
+        for k, ids in enumerate(self._ids([" ".join(g) for g in groups])):
+            ends, last = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(n_ends[k * step : (k + 1) * step]) - 1
+            if len(ends) != last[-1] + 1 or ends[-1] != len(ids):
+                whole += groups[k]
             else:
-                whole.append(w)
-        groups = [counted[i : i + 64] for i in range(0, len(counted), 64)]
-        for group, ids in zip(groups, self._ids([" ".join(w for w, _ in g) for g in groups]), strict=True):
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != sum(k for _, k in group) or ends[-1] != len(ids):
-                whole += [w for w, _ in group]
-                continue
-            last = ends[np.cumsum([k for _, k in group]) - 1].tolist()
-            for (w, _), a, b in zip(group, [0, *last[:-1]], last, strict=True):
-                self._add(w, ids[a:b])
+                self._add(groups[k], ids, ends[last].tolist())
         for w, ids in zip(whole, self._ids(whole), strict=True):
-            self._add(w, ids)
+            self._add([w], ids, [len(ids)])
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids with END_ID behind each text, ids of each text)."""
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        words = list(chain.from_iterable(parts))
+        parts = pc.split_pattern(pc.replace_substring(texts, pattern="\n", replacement=" "), pattern=" ")
+        coded = parts.flatten().dictionary_encode()  # only distinct parts become Python strings
+        words = coded.dictionary.to_pylist()
         if len(self.code) > WORDS:
             self.clear()
-        self.learn([w for w in set(words) if w not in self.code])
-        codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
-        starts, flat = np.array(self.starts, np.int64), np.array(self.flat, np.uint32)
-        first, size = starts[codes], starts[codes + 1] - starts[codes]
-        ids = flat[_ranges(first, size)]
-        edges = np.cumsum([0, *map(len, parts)])
-        sizes = np.diff(np.concatenate([[0], np.cumsum(size)])[edges])
-        return np.insert(ids, np.cumsum(sizes), END_ID).astype(np.uint32), sizes + 1
+        code = np.fromiter((self.code.get(w, -1) for w in words), np.int64, len(words))
+        if len(new := np.flatnonzero(code < 0)):
+            self.learn(coded.dictionary.take(pa.array(new)))
+            code[new] = [self.code[words[i]] for i in new.tolist()]
+        edges = parts.offsets.to_numpy().astype(np.int64)
+        codes = np.insert(code[coded.indices.to_numpy()], edges[1:] - edges[0], 0)  # code 0: the end id
+        lists = pa.LargeListArray.from_arrays(pa.array(np.array(self.starts, np.int64)), pa.array(np.array(self.flat, np.uint32)))
+        ids = lists.take(pa.array(codes)).flatten().to_numpy()
+        starts = np.array(self.starts, np.int64)
+        n_ids = np.concatenate([[0], np.cumsum(starts[codes + 1] - starts[codes])])
+        return ids, np.diff(n_ids[edges - edges[0] + np.arange(len(edges))])
+
+
+def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """[from, to) of runs of rows whose sizes add up to ``most`` at most, or of one row that is larger."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, to
+        at = to
 
 
 def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -203,7 +245,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, n_files
     spark = docs.sparkSession
     n_files = n_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         path, encoder, total = f"{folder}/part-{part:06d}.pfor", _encoder(tokenizer_path), 0
         rows = next(batches, None)
@@ -213,11 +255,11 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, n_files
             out.write(MAGIC)
             held: list = []
             while rows is not None:
-                for at in range(0, len(rows), 1000):
-                    some = rows.iloc[at : at + 1000]
-                    values, sizes = encoder.encode([t or "" for t in some["text"]])
-                    known = some["known"].to_numpy(bool)
-                    held.append((some["id"].to_numpy(np.int64), known, sizes, values))
+                texts = rows["text"].cast(pa.large_string())
+                for a, b in slices(pc.binary_length(texts).to_numpy(zero_copy_only=False), SLICE):
+                    values, sizes = encoder.encode(texts.slice(a, b - a))
+                    mine = (rows[c].slice(a, b - a).to_numpy(zero_copy_only=False) for c in ("id", "known"))
+                    held.append((*mine, sizes, values))
                     total += len(values)
                     if sum(len(x[3]) for x in held) >= SEGMENT:
                         write_segment(out, *map(np.concatenate, zip(*held, strict=True)))
@@ -225,13 +267,13 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, n_files
                 rows = next(batches, None)
             if held:
                 write_segment(out, *map(np.concatenate, zip(*held, strict=True)))
-        yield pd.DataFrame({"part": [part], "path": [path], "n_tokens": [total]})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "n_tokens": pa.array([total], pa.int64())})
 
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.repartitionByRange(n_files, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     keyed = keyed.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     rows = keyed.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNotNull().alias("known"), "text")
-    return stage_table(rows.mapInPandas(write, "part int, path string, n_tokens long"), "manifest")
+    return stage_table(rows.mapInArrow(write, "part int, path string, n_tokens long"), "manifest")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
