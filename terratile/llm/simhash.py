@@ -5,12 +5,15 @@ of ``width`` words; bit i of its 64-bit fingerprint is set if it is set in over
 half of the shingles' XXH64 values.  Fingerprints within ``radius`` differing
 bits are linked, and documents of linked fingerprints form components.
 
-Search: the 64 bits are cut in ``radius + 2`` blocks.  Two fingerprints within
-the radius agree on at least two blocks, so every link is found in a shard of
-fingerprints that agree on a pair of blocks.  Each shard's fingerprints form a
-BK-tree (children keyed by their integer distance to the parent) that all of
-the shard's members search, following only edges within the radius.  A shard
-tree lives in the task that reads the shard; nothing is broadcast, since the
+Search: the 64 bits are cut in ``radius + agree`` blocks.  Two fingerprints
+within the radius differ in at most ``radius`` of them, so they agree on at
+least ``agree`` blocks, and every link is found in a shard of fingerprints that
+agree on a set of so many blocks.  ``agree`` is the least number that leaves
+``SHARD`` fingerprints a shard on average, so links are complete at every size
+and a shard stays small at every size.  Each shard's fingerprints form a
+BK-tree (children keyed by their integer distance to the parent); each member
+asks it for the members put in before, following only edges within the radius.
+A shard tree lives in the task that reads the shard; nothing is broadcast, since the
 number of fingerprints has no bound.  Shards over ``shard_rows`` are cut in
 chunks and each pair of chunks is a shard of its own, so no task holds more
 than two chunks.  A shard gives a spanning star of each of its components, at
@@ -37,7 +40,7 @@ from terratile.operators.graph import connected_components
 from terratile.storage import stage_table
 
 SEED = 42
-LEAF = 32
+SHARD = 128
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -69,71 +72,93 @@ def _fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
 
-class BKTree:
-    """BK-tree over distinct 64-bit fingerprints; ends in small buckets."""
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    before = np.cumsum(size) - size
+    return np.repeat(first - before, size) + np.arange(size.sum())
 
-    def __init__(self, prints: np.ndarray):
-        self.prints = prints
-        self.root = self._build(np.arange(len(prints)))
 
-    def _build(self, rows: np.ndarray):
-        top: dict = {}
-        todo = [(top, 0, rows)]
-        while todo:
-            holder, edge, rows = todo.pop()
-            if len(rows) <= LEAF:
-                holder[edge] = rows
-                continue
-            node: dict = {}
-            holder[edge] = (rows[0], node)
-            away = np.bitwise_count(self.prints[rows[1:]] ^ self.prints[rows[0]]).astype(np.int64)
-            for d in np.unique(away):
-                todo.append((node, int(d), rows[1:][away == d]))
-        return top[0]
+def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label`` (each row's smallest known companion) after linking rows a and b one to one."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (label[label] != label).any():
+            label = label[label]
 
-    def link(self, radius: int) -> np.ndarray:
-        """For each row the smallest row of its component of links within the radius."""
-        p, label = self.prints, np.arange(len(self.prints))
 
-        def join(row: int, hits: np.ndarray) -> None:
-            other = hits[label[hits] != label[row]]
-            if len(other):
-                met = np.append(np.unique(label[other]), label[row])
-                label[np.isin(label, met)] = met.min()
+class BKForest:
+    """One BK-tree for each shard of rows sorted by shard; all of them are grown and searched at once.
 
-        todo = [(self.root, np.arange(len(p)))]
+    A row is a node; its child by an edge d is the first of the later rows of
+    its branch at d differing bits.  Rows that repeat a fingerprint of their
+    shard are joined to its node and are no nodes themselves (without ``twins``
+    they are, by edges 0).
+    """
+
+    def __init__(self, shards: np.ndarray, prints: np.ndarray, twins: bool = True):
+        n = len(prints)
+        self.prints, self.visits = prints, 0
+        self.twin = np.arange(n)
+        self.root = np.maximum.accumulate(np.where(np.append(True, shards[1:] != shards[:-1])[:n], np.arange(n), 0)) if n else np.arange(0)
+        rows, branch, edges = np.arange(n), self.root.copy(), []
+        while len(rows):
+            begins = np.append(True, branch[1:] != branch[:-1])
+            edges.append((branch[begins], rows[begins]))
+            head = rows[begins][np.cumsum(begins) - 1][~begins]
+            rows = rows[~begins]
+            away = np.bitwise_count(prints[rows] ^ prints[head]).astype(np.int64)
+            branch = n + head * 65 + away
+            if twins:
+                self.twin[rows[away == 0]] = head[away == 0]
+                rows, branch = rows[away > 0], branch[away > 0]
+            order = np.argsort(branch, kind="stable")
+            rows, branch = rows[order], branch[order]
+        edges = edges[1:]
+        # children in order of (parent, edge); edge[i] leads to child[i]
+        key = np.concatenate([k for k, _ in edges] or [np.empty(0, np.int64)]) - n
+        child = np.concatenate([c for _, c in edges] or [np.empty(0, np.int64)])
+        order = np.argsort(key, kind="stable")
+        self.key, self.child = key[order], child[order]
+        self.first = np.searchsorted(self.key, np.arange(n + 1) * 65)
+
+    def hits(self, radius: int, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, earlier row) of each link within the radius, some at a time."""
+        asking = np.flatnonzero((self.twin == np.arange(len(self.twin))) & (self.root != np.arange(len(self.twin))))
+        todo = [(asking[i : i + most], self.root[asking[i : i + most]]) for i in range(0, len(asking), most)]
         while todo:
-            node, asking = todo.pop()
-            if isinstance(node, tuple):
-                row, children = node
-                away = np.bitwise_count(p[asking] ^ p[row]).astype(np.int64)
-                join(row, asking[away <= radius])
-                for edge, child in children.items():
-                    near = asking[np.abs(away - edge) <= radius]
-                    if len(near):
-                        todo.append((child, near))
-            else:
-                for row in node:
-                    join(row, asking[np.bitwise_count(p[asking] ^ p[row]) <= radius])
-        return label
+            asks, node = todo.pop()
+            self.visits += len(asks)
+            away = np.bitwise_count(self.prints[asks] ^ self.prints[node]).astype(np.int64)
+            near = away <= radius
+            if near.any():
+                yield asks[near], node[near]
+            inner = self.first[node + 1] > self.first[node]
+            asks, node, away = asks[inner], node[inner], away[inner]
+            low = np.searchsorted(self.key, node * 65 + np.maximum(away - radius, 0))
+            high = np.searchsorted(self.key, node * 65 + np.minimum(away + radius, 64), "right")
+            child, asks = self.child[_ranges(low, high - low)], np.repeat(asks, high - low)
+            before = child < asks  # later rows ask for this one themselves
+            asks, child = asks[before], child[before]
+            todo += [(asks[i : i + most], child[i : i + most]) for i in range(0, len(asks), most)]
+
+    def link(self, radius: int) -> np.ndarray:
+        """For each row the smallest row of its component of links within the radius."""
+        label, held, n_held = self.twin.copy(), [], 0
+        for pair in self.hits(radius):
+            held.append(pair)
+            n_held += len(pair[0])
+            if n_held > 1 << 20:
+                label, held, n_held = join_labels(label, *map(np.concatenate, zip(*held, strict=True))), [], 0
+        return join_labels(label, *map(np.concatenate, zip(*held, strict=True))) if held else label
 
 
 def _stars(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning stars of the components of whole shards; rows sorted by shard."""
-    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    sizes = np.diff(np.append(starts, len(keys)))
-    label = np.arange(len(keys))
-    small = np.repeat(sizes <= LEAF, sizes)
-    for k in range(1, min(LEAF, int(sizes.max(initial=0)))):
-        near = np.flatnonzero(small[:-k] & (keys[k:] == keys[:-k]) & (np.bitwise_count(prints[k:] ^ prints[:-k]) <= radius))
-        for a in near.tolist():
-            x, y = label[a], label[a + k]
-            if x != y:
-                at = starts[np.searchsorted(starts, a, "right") - 1]
-                part = label[at : at + LEAF]
-                part[part == max(x, y)] = min(x, y)
-    for at, n in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist(), strict=True):
-        label[at : at + n] = at + BKTree(prints[at : at + n]).link(radius)
+    label = BKForest(keys, prints).link(radius)
     moved = label != np.arange(len(keys))
     return prints[label[moved]], prints[moved]
 
@@ -159,17 +184,32 @@ def _shard_links(radius: int):
     return links
 
 
+def _edges_of(radius: int, agree: int) -> list[int]:
+    n = radius + agree
+    return [64 * i // n for i in range(n + 1)]
+
+
+def agreeing(radius: int, n_prints: int) -> int:
+    """The least number of blocks to agree on that leaves SHARD fingerprints a shard on average."""
+
+    def kept_bits(agree: int) -> int:
+        edges = _edges_of(radius, agree)
+        return sum(sorted(b - a for a, b in zip(edges, edges[1:], strict=False))[:agree])
+
+    return next((k for k in range(1, 64 - radius) if n_prints <= SHARD << kept_bits(k)), 63 - radius)
+
+
 def _shards(prints: DataFrame, radius: int, shard_rows: int) -> DataFrame:
-    """(shard, fp): a fingerprint once in the shard of each pair of blocks."""
-    n = radius + 2
-    edges = [64 * i // n for i in range(n + 1)]
+    """(shard, fp): a fingerprint once in the shard of each set of blocks to agree on."""
+    agree = agreeing(radius, prints.count())
+    edges = _edges_of(radius, agree)
 
     def block(i: int):
         return F.shiftrightunsigned("fp", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
 
     keys = [
-        F.struct(F.lit(k).cast("int").alias("pair"), F.shiftleft(block(i), 11).bitwiseOR(block(j)).alias("bits"))
-        for k, (i, j) in enumerate(combinations(range(n), 2))
+        F.struct(F.lit(k).cast("int").alias("pair"), F.xxhash64(*map(block, some)).alias("bits"))
+        for k, some in enumerate(combinations(range(radius + agree), agree))
     ]
     rows = prints.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", "key.pair", "key.bits")
     large = rows.groupBy("pair", "bits").count().where(F.col("count") > shard_rows)
@@ -215,9 +255,10 @@ def keep_first(docs: DataFrame, radius: int = 4, shard_rows: int = 8192) -> Data
 
     Of rows that share the smallest id (or have none) one stays.
     """
-    cols = docs.columns
-    rows = stage_table(fingerprinted(docs).withColumn("row_no", F.monotonically_increasing_id()), "documents")
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
+    rows = fingerprinted(whole).drop("text").withColumn("row_no", F.monotonically_increasing_id())
+    rows = stage_table(rows, "documents")  # as written, a row keeps its number
     found = near_duplicates(rows.select("doc_id", "fp", "row_no"), radius, shard_rows)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row_no"))
     stay = found.groupBy("root").agg(first["row_no"].alias("row_no")).select("row_no")
-    return rows.join(stay, "row_no", "left_semi").select(*cols)
+    return rows.join(stay, "row_no", "left_semi").select("_row.*")
