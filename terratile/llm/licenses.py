@@ -3,16 +3,17 @@
 The words of a text (A-Z lower-cased, runs of digits, a-z and non-ASCII
 characters) are joined by blanks.  Rules are regular expressions over that
 line; a rule is tried only where the line holds its keyword.  Every match is an
-interval of words.  Intervals are ordered by start, longer first, then higher
-priority, then rule order; one that lies inside an earlier one is suppressed,
-and of two that overlap in part the one of lower priority goes.  The labels of
+interval of words, with at least the priority of every interval inside it.
+Intervals are taken by priority, then longer first, then by start, then by rule
+order; one that lies inside or overlaps an interval kept before it is suppressed
+(one that is suppressed suppresses nothing).  The labels of
 what is left join the base labels; the score is the highest priority left, in
 hundredths, raised to at least 0.5 where only base phrases stand.
 
 One pass over the texts counts the base phrases and keeps the lines that hold a
 keyword; only those are tried against the rules they gate.  Intervals are
-numbers, ordered by window functions within a text, so a text of any length
-costs a sort of its own matches.  No Python runs.
+numbers; window functions cut a text's into runs that overlap, and each run,
+mostly of a few, is settled by itself.  No Python runs.
 
 Nulls: a null text is empty: no words, no places, null first and last word,
 empty labels, score 0.  Repeated rows and rows without an id are scanned one by
@@ -193,6 +194,41 @@ NOTICES = [
     ("mit", "permission is hereby", r"permission is hereby granted free of charge to any person obtaining a copy", 90),
     ("bsd", "redistribution and use", r"redistribution and use in source and binary forms", 85),
     ("warranty", "as is", r"provided as is without (?:any )?warranty", 30),
+    ("warranty", "as is", r"distributed on an as is basis without warranties", 30),
+    ("apache-2.0", "apache", r"you may not use this file except in compliance with the license you may obtain a copy of the license at (?:https? )?(?:www )?apache org", 88),
+    ("gpl", "general public", r"under the terms of the gnu general public license as published by the free software foundation", 88),
+    ("gpl-2.0-or-later", "any later version", r"version 2 (?:of the license )?or at your option any later version", 84),
+    ("gpl-3.0-or-later", "any later version", r"version 3 (?:of the license )?or at your option any later version", 84),
+    ("mpl-2.0", "mozilla", r"this source code form is subject to the terms of the mozilla public license v 2 0", 88),
+    ("bsd", "redistributions", r"redistributions of source code must retain the above copyright notice", 80),
+    ("bsd", "redistributions", r"redistributions in binary form must reproduce the above copyright notice", 80),
+    ("bsd-3-clause", "endorse or promote", r"may be used to endorse or promote products derived from this software without specific prior written permission", 82),
+    ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software must display", 84),
+    ("isc", "permission to use", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 86),
+    ("hpnd", "permission to use", r"permission to use copy modify and distribute this software and its documentation for any purpose", 82),
+    ("zlib", "altered source", r"altered source versions must be plainly marked as such", 80),
+    ("zlib", "origin of this software", r"the origin of this software must not be misrepresented", 80),
+    ("bsl-1.0", "machine executable", r"machine executable object code generated by a source language processor", 80),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain", 88),
+    ("wtfpl", "what the fuck", r"do what the fuck you want to(?: public license)?", 80),
+    ("beerware", "retain this notice", r"as long as you retain this notice you can do whatever you want", 80),
+    ("json", "good not evil", r"the software shall be used for good not evil", 80),
+    ("openssl", "openssl", r"this product includes software developed by the openssl project", 80),
+    ("php", "php", r"this product includes php software", 80),
+    ("vim", "charityware", r"vim is charityware", 80),
+    ("x11", "except as contained", r"except as contained in this notice the names? of", 70),
+    ("artistic", "artistic control", r"some semblance of artistic control over the development", 75),
+    ("agpl-3.0", "computer network", r"users interacting with it remotely through a computer network", 80),
+    ("lgpl", "library under", r"redistribute this library under the terms of the gnu", 75),
+    ("epl", "accompanying materials", r"this program and the accompanying materials are made available under the terms of the eclipse public license", 86),
+    ("cc0-1.0", "waived all", r"waived all copyright and related (?:or|and) neighboring rights", 84),
+    ("cc-by", "creative commons", r"licensed under a creative commons attribution", 80),
+    ("ofl-1.1", "reserved font name", r"with reserved font name", 75),
+    ("mit-0", "permission is hereby", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided", 92),
+    ("proprietary", "trade secret", r"(?:confidential|trade secret)s? (?:and|or) trade secrets?", 60),
+    ("proprietary", "unauthorized", r"unauthorized (?:copying|use|distribution|reproduction)(?: or (?:copying|use|distribution|reproduction))? (?:of this file |is )?(?:strictly )?prohibited", 60),
+    ("evaluation", "evaluation purposes", r"for evaluation purposes only", 50),
+    ("non-commercial", "commercial use", r"(?:not for|non) commercial use", 50),
 ]
 
 #: How a license's name stands in a notice: (before, after, priority).
@@ -208,9 +244,12 @@ PLAIN = {"cc0", "gplv2", "gplv3", "unlicense", "wtfpl", "cc by", "cc by nc", "cc
 
 
 #: Words of which each rule's matches hold at least one; texts without any are done.
-GATE = (
-    "licen[cs]|copyright|rights reserved|public domain|permission|proprietary|redistribut|cc by|cc0|gpl|0bsd|zero clause|wtfpl|general public|as is"
-    "|released|distributed|available|published|covered|governed|provided"
+GATE = "|".join(
+    [
+        "licen[cs]|cc by|cc0|gpl|0bsd|zero clause|wtfpl|general public|affero",
+        "released|distributed|available|published|covered|governed|provided",
+        *sorted({key for _, key, _, _ in NOTICES}),
+    ]
 )
 
 
@@ -267,16 +306,20 @@ def _detections(lines: DataFrame) -> DataFrame:
 
 
 def _survivors(found: DataFrame) -> DataFrame:
-    """Without intervals inside an earlier one, then without the weaker of two neighbours that overlap."""
-    order = Window.partitionBy("row_no").orderBy("start", F.desc("end"), F.desc("rank"), "no")
+    """(row_no, label, rank) of the intervals left when, by priority, each stays that meets none kept before it."""
+    order = Window.partitionBy("row_no").orderBy("start", "end", "no")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    outer = found.withColumn("reach", reach).where("reach is null or end > reach")
-    weaker = F.lit(False)
-    for at, side in (("before", F.lag), ("after", F.lead)):
-        outer = outer.withColumn(at, side(F.struct("start", "end", "rank")).over(order))
-        meets = (F.col(f"{at}.end") > F.col("start")) & (F.col(f"{at}.start") < F.col("end"))
-        weaker = weaker | F.coalesce(meets & (F.col(f"{at}.rank") > F.col("rank")), F.lit(False))
-    return outer.where(~weaker)
+    begins = found.withColumn("begins", F.when(F.col("start") < reach, 0).otherwise(1))
+    runs = begins.withColumn("run", F.sum("begins").over(order)).groupBy("row_no", "run")
+    item = F.struct((-F.col("rank")).alias("before"), (F.col("start") - F.col("end")).alias("shorter"), "start", "no", "end", "label")
+    runs = runs.agg(F.collect_list(item).alias("items"))
+    inside = lambda x: lambda y: (x["start"] <= y["start"]) & (y["end"] <= x["end"])
+    lifted = F.transform("items", lambda x: x.withField("before", F.array_min(F.transform(F.filter("items", inside(x)), lambda y: y["before"]))))
+    runs = runs.withColumn("items", F.when(F.size("items") == 1, F.col("items")).otherwise(F.array_sort(lifted)))
+    none = F.slice("items", 1, 0)
+    meets = lambda x: lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])
+    kept = F.aggregate("items", none, lambda acc, x: F.when(F.exists(acc, meets(x)), acc).otherwise(F.array_append(acc, x)))
+    return runs.select("row_no", F.explode(F.when(F.size("items") == 1, F.col("items")).otherwise(kept)).alias("i")).select("row_no", "i.start", "i.end", "i.label", (-F.col("i.before")).alias("rank"))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
