@@ -91,14 +91,15 @@ FROM p LEFT JOIN big ON p.d = big.d
 """
 
 DECONTAMINATION_SQL = f"""
-WITH d AS (SELECT doc_id, {_words("text")} AS w FROM documents),
-i AS (SELECT item_id, {_words("text")} AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, k, k + 4), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM d WHERE len(w) > 0)),
-si AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, k, k + 4), ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM i WHERE len(w) > 0)),
-n AS (SELECT item_id, count(*) AS n_item FROM si GROUP BY item_id)
-SELECT doc_id, si.item_id, count(*) AS n_shared, any_value(n_item) AS n_item, count(*) / any_value(n_item) AS containment
-FROM ds JOIN si ON ds.s = si.s JOIN n ON n.item_id IS NOT DISTINCT FROM si.item_id
-GROUP BY doc_id, si.item_id HAVING count(*) >= 0.8 * any_value(n_item) - 1e-9
+WITH d AS (SELECT doc_id, t, {_words("t")} AS w FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS t FROM documents)),
+i AS (SELECT row_number() OVER () AS item_no, item_id, w, least(len(w), 5) AS l FROM (SELECT item_id, {_words("t")} AS w FROM (SELECT DISTINCT item_id, coalesce(text, '') AS t FROM benchmark)) WHERE len(w) > 0),
+ds AS (SELECT DISTINCT doc_id, t, l, array_to_string(list_slice(w, k, k + l - 1), ' ') AS s FROM
+ (SELECT doc_id, t, w, l, unnest(range(1, len(w) - l + 2)) AS k FROM d, (SELECT DISTINCT l FROM i) WHERE len(w) >= l)),
+si AS (SELECT DISTINCT item_no, item_id, l, array_to_string(list_slice(w, k, k + l - 1), ' ') AS s FROM (SELECT item_no, item_id, w, l, unnest(range(1, len(w) - l + 2)) AS k FROM i)),
+n AS (SELECT item_no, count(*) AS n_item FROM si GROUP BY item_no)
+SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_item) AS n_item, count(*) / any_value(n_item) AS containment
+FROM ds JOIN si ON ds.s = si.s AND ds.l = si.l JOIN n USING (item_no)
+GROUP BY doc_id, t, item_no, item_id HAVING count(*) >= 0.8 * any_value(n_item) - 1e-9
 """
 
 

@@ -65,20 +65,48 @@ def test_fingerprints_and_components(spark, docs):
     assert simhash.simhash_components(docs.limit(0)).count() == 0
 
 
-def test_bk_tree_finds_all_links():
-    rng = np.random.default_rng(5)
-    seeds = rng.integers(0, 2**63, 40, dtype=np.uint64)
+def test_keep_first_leaves_columns_alone(spark):
+    rows = spark.createDataFrame([(1, "a b", 7, 70, 1), (2, "A b", 8, 80, 2), (3, "c", 9, 90, 3)], "doc_id long, text string, fp long, row_no long, root long")
+    assert sorted(map(tuple, simhash.keep_first(rows).collect())) == [(1, "a b", 7, 70, 1), (3, "c", 9, 90, 3)]
+
+
+def near_prints(rng, n):
+    seeds = rng.integers(0, 2**63, n, dtype=np.uint64)
     near = [s ^ (np.uint64(1) << np.uint64(b)) ^ (np.uint64(1) << np.uint64(c)) for s in seeds for b, c in rng.integers(0, 64, (12, 2))]
-    prints = np.unique(np.concatenate([seeds, np.array(near, np.uint64)]))
-    label = simhash.BKTree(prints).link(4)
+    return np.concatenate([seeds, np.array(near, np.uint64)])
+
+
+def parts_of(prints, shards, radius):
     part = np.arange(len(prints))
-    apart = np.bitwise_count(prints[:, None] ^ prints[None, :])
+    near = (np.bitwise_count(prints[:, None] ^ prints[None, :]) <= radius) & (shards[:, None] == shards[None, :])
     while True:
-        new = np.where(apart <= 4, part[None, :], len(prints)).min(1)
+        new = np.where(near, part[None, :], len(prints)).min(1)
         if (new == part).all():
-            break
+            return part
         part = new
-    assert (label == part).all()
+
+
+@pytest.mark.parametrize("twins", [True, False])
+def test_trees_find_all_links_and_skip_branches(twins):
+    rng = np.random.default_rng(5)
+    prints = near_prints(rng, 40)
+    prints = np.concatenate([prints, prints[:50]])
+    for n_shards in (1, 7, len(prints)):
+        shards = np.sort(rng.integers(0, n_shards, len(prints)))
+        assert (simhash.BKForest(shards, prints, twins).link(4) == parts_of(prints, shards, 4)).all()
+    forest = simhash.BKForest(np.zeros(2000, np.int64), rng.integers(0, 2**63, 2000, dtype=np.uint64))
+    assert forest.link(4).tolist() == list(range(2000)) and 0 < forest.visits < 0.7 * 2000 * 1999 / 2
+    assert simhash.BKForest(np.zeros(0, np.int64), np.zeros(0, np.uint64)).link(4).tolist() == []
+
+
+@pytest.mark.parametrize("agree", [1, 2, 3])
+def test_links_come_through_the_trees_whatever_the_shards(spark, monkeypatch, agree):
+    monkeypatch.setattr(simhash, "agreeing", lambda radius, n: agree)
+    prints = near_prints(np.random.default_rng(9), 12)
+    rows = spark.createDataFrame([(i, int(x)) for i, x in enumerate(prints.view(np.int64))], "doc_id long, fp long")
+    part = parts_of(prints, np.zeros(len(prints), int), 4)
+    for most in (3, 8192):
+        assert {r.doc_id: r.component_id for r in simhash.near_duplicates(rows, 4, most).collect()} == dict(enumerate(part.tolist()))
 
 
 def test_quality_counts(docs):
@@ -146,6 +174,9 @@ def test_decontamination(spark):
     want = {(d, i) for d, t, _ in rows for i, u in ((r.item_id, sets(r.text)) for r in items.collect()) if u and len(u & sets(t)) >= 0.8 * len(u)}
     assert got == want and (1, 10) in got and (2, 10) in got and (6, 13) in got and (3, 10) not in got
     left = decontaminate.drop_contaminated(docs, items)
-    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [3, 4, 5]
+    assert left.columns == docs.columns and sorted((r.doc_id, r.text) for r in left.collect()) == [(3, less), (4, None), (5, ""), (7, "more")]  # rows are judged singly
     assert decontaminate.contained_items(docs.limit(0), items).count() == 0
     assert decontaminate.contained_items(docs, items.limit(0)).count() == 0
+    short = spark.createDataFrame([(1, "say A, b! c now and then again"), (2, "a b x c"), (3, "b c")], "doc_id long, text string")
+    few = spark.createDataFrame([(1, "a b c"), (2, "b"), (3, "x c"), (4, "then again now and then again")], "item_id long, text string")
+    assert {tuple(r)[:2] for r in decontaminate.contained_items(short, few).collect()} == {(1, 1), (1, 2), (2, 2), (3, 2), (2, 3)}
