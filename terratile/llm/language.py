@@ -8,15 +8,17 @@ bits that name a place in the sample (log2 of its length), wins; per character
 this is the cross-parsing estimate of the entropy.  Ties go to the label that
 sorts first.
 
-Texts are lower-cased, runs of non-letters become one blank, and characters
-outside the ``ALPHABET`` most frequent ones of the sample share one symbol that
-matches nothing.  A text is parsed in blocks of ``PARSE`` symbols (a phrase
-ends where its block ends), all of them, so that many blocks are stepped at
-once whatever their texts' lengths.
-
-The sample takes ``DOCS`` documents of each label, by a hash of the id, of the
-folds that are not held out, up to ``SAMPLE`` symbols a label and SAMPLE / 16 a
-document.  Text is the only input of a prediction.
+Texts are lower-cased and runs of non-letters become one blank; every character
+of the samples is a symbol, and a character that no sample holds matches
+nothing.  Long texts are cut in blocks of ``PARSE`` symbols, so that many are
+stepped at once; then each block's parse runs on into the next block until it
+starts a phrase where that block's own parse starts one, from where both are
+the same.  So the phrases are those of the whole text parsed from its start, however long
+a phrase is.
+
+The sample takes the whole texts of ``DOCS`` documents of each label, by a hash
+of the id, of the folds that are not held out (of rows that share an id, the
+least text).  Text is the only input of a prediction.
 
 Nulls: a null text or one without a letter gives ``und`` and score 0; so does
 every text if nothing is labelled.  A null id is not held out and never learned
@@ -26,9 +28,8 @@ from.  Repeated rows are judged one by one.  An empty table gives no row.
 from __future__ import annotations
 
 import hashlib
-import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -36,18 +37,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terratile.llm.sampling import held_out, sample_ids
+from terratile.llm.token_files import slices
+
+DOCS, PARSE, SYMBOLS = 32, 1024, 1 << 22
+BLANK = 32
+
 
-DOCS, SAMPLE, ALPHABET, PARSE = 200, 40_000, 62, 1024
-OTHER = re.compile(r"[\W\d_]+")
+@cache
+def _is_letter() -> np.ndarray:
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
-def letters(text: str | None) -> str:
-    """Lower-cased letters with one blank for each run of anything else."""
-    return OTHER.sub(" ", (text or "").lower()).strip()
+def letters(text: str | None) -> np.ndarray:
+    """Code points of the lower-cased letters, with one blank for each run of anything else between them."""
+    points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    is_letter = _is_letter()[points]
+    keep = is_letter.copy()
+    keep[1:] |= is_letter[:-1]  # the first of a run of others stays, as a blank
+    points = np.where(is_letter, points, BLANK)[keep]
+    return points[:-1] if len(points) and points[-1] == BLANK else points
 
 
-def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Transitions [state, symbol] of the automaton of all substrings; -1 where there is none."""
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state of the automaton of all substrings; state 0 is the start."""
     moves: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols:
@@ -73,76 +85,129 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = clone
         last = new
-    table = np.full((len(moves), width), -1, np.int32)
-    for state, out in enumerate(moves):
-        if out:
-            table[state, list(out)] = list(out.values())
-    return table
+    return moves
+
+
+class Moves:
+    """(state, symbol) -> state, -1 where there is none, of any number of symbols: an open hash table looked up by arrays."""
+
+    def __init__(self, moves: list[dict[int, int]], n_symbols: int):
+        self.n_symbols, self.low = np.int64(n_symbols), np.int64(len(moves).bit_length())
+        key = np.array([s * n_symbols + c for s, out in enumerate(moves) for c in out], np.int64)
+        slot_of = (key << self.low) | np.array([t for out in moves for t in out.values()], np.int64)
+        bits = max(4, (6 * len(key)).bit_length())  # few keys meet, so few are looked up twice
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.table = np.full(1 << bits, -1, np.int64)  # key, then the state it leads to in the low bits
+        slot, left = self._slot(key), np.arange(len(key))
+        while len(left):
+            free = left[self.table[slot[left]] < 0]
+            self.table[slot[free]] = slot_of[free]  # of several that want a slot the last gets it
+            left = left[self.table[slot[left]] != slot_of[left]]
+            slot[left] = (slot[left] + 1) & self.mask
+        self.first = self(np.zeros(n_symbols, np.int64), np.arange(n_symbols))
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def __call__(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        key = state * self.n_symbols
+        key += symbol
+        slot = self._slot(key)
+        have = self.table.take(slot)
+        found = (have >> self.low) == key
+        other = (~found & (have >= 0)).nonzero()[0]
+        to = np.where(found, have & ((np.int64(1) << self.low) - 1), -1)
+        while len(other):
+            slot[other] = (slot[other] + 1) & self.mask
+            have = self.table[slot[other]]
+            met = (have >> self.low) == key[other]
+            to[other[met]] = have[met] & ((np.int64(1) << self.low) - 1)
+            other = other[~met & (have >= 0)]
+        return to
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, whether a phrase starts with this symbol); state 0: no phrase is under way."""
+        to, starts = self(state, symbol), state == 0
+        lost = (to < 0).nonzero()[0]
+        if len(lost):
+            starts[lost] = True
+            to[lost] = np.maximum(self.first[symbol[lost]], 0)  # a symbol that no phrase holds is one of its own
+        return to, starts
 
 
 class Model:
     """One automaton for each label, and the symbols of characters."""
 
-    def __init__(self, samples: dict[str, str]):
+    def __init__(self, samples: dict[str, list[str]]):
         self.labels = sorted(samples)
-        common = Counter("".join(samples.values())).most_common()
-        known = sorted(common, key=lambda x: (-x[1], x[0]))[:ALPHABET]
-        self.symbol = np.zeros(0x110000, np.uint8)
-        for i, (c, _) in enumerate(known):
-            self.symbol[ord(c)] = i + 1
-        width = len(known) + 1
-        self.tables, self.bits = [], []
-        for label in self.labels:
-            table = suffix_automaton(self.symbols(samples[label]).tolist(), width)
-            table[:, 0] = -1
-            self.tables.append(table)
-            self.bits.append(np.log2(max(len(samples[label]), 2)))
-
-    def symbols(self, text: str) -> np.ndarray:
-        return self.symbol[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-
-    def phrases(self, texts: list[str]) -> np.ndarray:
-        """Phrases of each text under each label: [text, label]."""
-        blocks, owner = [], []
-        for i, t in enumerate(texts):
-            s = self.symbols(t)
-            for at in range(0, len(s), PARSE):
-                blocks.append(s[at : at + PARSE])
-                owner.append(i)
-        size = np.array([len(b) for b in blocks], np.int64)
+        texts = {k: np.concatenate([x for t in samples[k] for x in (letters(t), [BLANK])] or [np.zeros(0)]).astype(np.int64) for k in self.labels}
+        known = np.unique(np.concatenate([*texts.values(), [BLANK]]).astype(np.int64))
+        self.symbol = np.zeros(0x110000, np.int32)
+        self.symbol[known] = np.arange(1, len(known) + 1)
+        self.moves = [Moves(suffix_automaton(self.symbol[texts[k]].tolist()), len(known) + 1) for k in self.labels]
+        self.bits = np.array([np.log2(max(len(texts[k]), 2)) for k in self.labels])
+
+    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Phrases of each text (code points of ``letters``) under each label: [text, label]."""
+        total = np.zeros((len(texts), len(self.labels)), np.int64)
+        for a, b in slices(np.array([len(t) for t in texts], np.int64), SYMBOLS):
+            total[a:b] = self._phrases([self.symbol[t] for t in texts[a:b]])
+        return total
+
+    def _phrases(self, texts: list[np.ndarray]) -> np.ndarray:
+        blocks = [(i, at) for i, t in enumerate(texts) for at in range(0, len(t), PARSE)]
+        size = np.array([min(PARSE, len(texts[i]) - at) for i, at in blocks], np.int64)
         order = np.argsort(-size, kind="stable")
-        grid = np.zeros((PARSE, len(blocks)), np.uint8)
-        for col, b in enumerate(order.tolist()):
-            grid[: size[b], col] = blocks[b]
-        active = (size[order][None, :] > np.arange(PARSE)[:, None]).sum(1)
+        column = np.empty(len(order), np.int64)  # of each block, in order of size
+        column[order] = np.arange(len(order))
+        grid = np.zeros((int(size.max(initial=0)), len(blocks)), np.int32)
+        for col, k in enumerate(order.tolist()):
+            i, at = blocks[k]
+            grid[: size[k], col] = texts[i][at : at + PARSE]
+        owner = np.array([i for i, _ in blocks], np.int64)
+        active = np.searchsorted(-size[order], -np.arange(1, len(grid) + 1), "right")
+        later = np.flatnonzero(np.append(False, owner[1:] == owner[:-1])) if len(blocks) else np.zeros(0, np.int64)
+        width, before, after = size[order], np.full(len(blocks), -1, np.int64), np.full(len(blocks), -1, np.int64)
+        before[column[later]], after[column[later - 1]] = column[later - 1], column[later]
         total = np.zeros((len(texts), len(self.labels)), np.int64)
-        for k, table in enumerate(self.tables):
-            width, flat = table.shape[1], table.ravel()
-            state = np.zeros(len(blocks), np.int32)
-            count = np.zeros(len(blocks), np.int64)
-            for step in range(PARSE):
-                n = active[step]
-                if not n:
-                    break
-                symbol = grid[step, :n]
-                to = flat[state[:n] * width + symbol]
-                lost = np.flatnonzero(to < 0)
-                if len(lost):
-                    count[lost] += state[lost] > 0  # a phrase that was under way ends before this symbol
-                    again = flat[symbol[lost]]
-                    count[lost] += again < 0  # a symbol that no phrase holds is one of its own
-                    to[lost] = np.maximum(again, 0)
-                state[:n] = to
-            count += state > 0
-            total[:, k] = np.bincount(np.array(owner, np.int64)[order], count, len(texts)) if owner else 0
+        for k, moves in enumerate(self.moves):
+            state, starts = np.zeros(len(blocks), np.int64), np.zeros(grid.shape, bool)
+            for t, n in enumerate(active.tolist()):
+                state[:n], starts[t, :n] = moves.step(state[:n], grid[t, :n])
+            count = starts.sum(0)
+            # the parse of the block before runs on into each later block, until both start a phrase at one place
+            # The true parse enters a block in the state in which it left the one before, and is the block's own
+            # from the first place where both start a phrase.  A block is done anew while that state changes.
+            leaves, own_count, own_leaves = state.copy(), count.copy(), state
+            entered, todo = np.zeros(len(blocks), np.int64), column[later]
+            while len(todo):
+                entered[todo] = leaves[before[todo]]
+                here, at, more = todo, entered[todo], np.zeros(len(todo), np.int64)
+                for t in range(len(grid)):
+                    ended = t >= width[here]
+                    if ended.any():
+                        leaves[here[ended]], count[here[ended]] = at[ended], more[ended] + own_count[here[ended]]
+                        here, at, more = here[~ended], at[~ended], more[~ended]
+                    if not len(here):
+                        break
+                    at, begun = moves.step(at, grid[t, here])
+                    own = starts[t, here]
+                    met = begun & own
+                    leaves[here[met]], count[here[met]] = own_leaves[here[met]], (more + own_count[here])[met]
+                    here, at, more = here[~met], at[~met], (more + begun - own)[~met]
+                leaves[here], count[here] = at, more + own_count[here]
+                todo = after[todo]
+                todo = todo[todo >= 0]
+                todo = todo[leaves[before[todo]] != entered[todo]]
+            total[:, k] = np.bincount(owner[order], count, len(texts)) if len(blocks) else 0
         return total
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         clean = [letters(t) for t in texts]
-        cost = self.phrases(clean) * np.array(self.bits)
+        cost = self.phrases(clean) * self.bits
         names, scores = ["und"] * len(texts), np.zeros(len(texts))
         for i, t in enumerate(clean):
-            if t and self.labels:
+            if len(t) and self.labels:
                 best = int(cost[i].argmin())
                 rest = np.delete(cost[i], best)
                 names[i] = self.labels[best]
@@ -153,23 +218,20 @@ class Model:
 _models: dict[str, Model] = {}
 
 
-def language_sample(docs: DataFrame, per_label: int = DOCS, symbols: int = SAMPLE) -> dict[str, str]:
-    """Label -> sample text; at most ``per_label`` documents and ``symbols`` characters a label."""
+def language_sample(docs: DataFrame, per_label: int = DOCS) -> dict[str, list[str]]:
+    """Label -> the whole texts of at most ``per_label`` documents of it."""
     chosen = sample_ids(docs.select("doc_id", F.col("lang").alias("label")), per_label)
     texts = docs.select("doc_id", "text", "lang").dropna().join(F.broadcast(chosen), "doc_id").where("lang = label")
-    part = symbols // 16
-    rows = texts.select("doc_id", "label", F.substring("text", 1, 2 * part).alias("text")).distinct().collect()
-    samples: dict[str, str] = {}
-    for r in sorted(rows, key=lambda r: (r.label, r.doc_id, r.text)):
-        have = samples.get(r.label, "")
-        if len(have) < symbols and (more := letters(r.text)[:part]):
-            samples[r.label] = f"{have} {more}".strip()[:symbols]
+    rows = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()  # per_label rows a label
+    samples: dict[str, list[str]] = {}
+    for r in sorted(rows, key=lambda r: (r.label, r.doc_id)):
+        samples.setdefault(r.label, []).append(r.text)
     return samples
 
 
-def languages(docs: DataFrame, per_label: int = DOCS, symbols: int = SAMPLE) -> DataFrame:
+def languages(docs: DataFrame, per_label: int = DOCS) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row of ``docs``."""
-    sample = language_sample(docs, per_label, symbols)
+    sample = language_sample(docs, per_label)
     name = hashlib.sha1(repr(sorted(sample.items())).encode()).hexdigest()
     samples = docs.sparkSession.sparkContext.broadcast(sample)
 
@@ -179,8 +241,8 @@ def languages(docs: DataFrame, per_label: int = DOCS, symbols: int = SAMPLE) ->
             _models[name] = Model(samples.value)
         model = _models[name]
         for rows in batches:
-            for at in range(0, len(rows), 2000):
-                part = rows.iloc[at : at + 2000]
+            for a, b in slices(rows["text"].str.len().fillna(0).to_numpy(np.int64), SYMBOLS):
+                part = rows.iloc[a:b]
                 names, scores = model.predict(part["text"].tolist())
                 yield part[["doc_id", "held_out"]].assign(lang_pred=names, score=scores)
 
