@@ -11,8 +11,9 @@ lines go through a logistic curve fitted on the same sample, so that the score
 reads as the probability of label 1.
 
 The sample takes ``DOCS`` documents of each label, by a hash of the id, of the
-folds that are not held out, each with at most ``LINES`` lines spread evenly
-over it.  Scoring takes every line of every text.  Text is the only input.
+folds that are not held out, with all their lines (of rows that share an id,
+the least text).  Scoring takes every line of every text.  Text is the only
+input.  Ids may be of any type that casts to text and back.
 
 Nulls: a null or wordless text has no line; its score is what the curve gives
 to a chain of one empty line.  Without labels of both kinds every score is the
@@ -30,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terratile.llm.sampling import held_out, sample_ids
+from terratile.llm.token_files import slices
 
-DOCS, LINES, ROUNDS = 1500, 200, 150
+DOCS, ROUNDS = 1500, 150
 OWN = 10
 SIDES = [1, 2, 3, 4, 7]  # features of the line before and after that a line also sees
 WIDTH = 1 + OWN + 2 * len(SIDES)
@@ -169,28 +171,27 @@ def fit(own: np.ndarray, size: np.ndarray, counts: np.ndarray, labels: np.ndarra
     return field
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, per_label: int = DOCS, lines: int = LINES) -> Field:
+def fit_on(docs: DataFrame, labels: DataFrame, per_label: int = DOCS) -> Field:
     """The field fitted on a bounded sample of ``docs`` with ``labels`` (doc_id, quality)."""
     chosen = sample_ids(labels.select("doc_id", F.col("quality").alias("label")).where("label in (0, 1)"), per_label)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             own, size, counts = line_features(rows["text"].tolist())
-            out, at = [], 0
-            for n in counts.tolist():
-                pick = at + (np.arange(min(n, lines)) * n // min(n, lines))
-                out.append((own[pick].ravel().tolist(), size[pick].tolist()))
-                at += n
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "label": rows["label"], "own": [x for x, _ in out], "size": [x for _, x in out]})
-
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    rows = picked.mapInPandas(features, "doc_id long, label int, own array<double>, size array<long>").collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.size, r.own))
+            ends = np.cumsum(counts)
+            own, size = (np.split(x, ends[:-1]) for x in (own, size.astype(np.int64)))
+            yield pd.DataFrame({"doc_id": rows["doc_id"], "label": rows["label"], "own": [x.tobytes() for x in own], "size": [x.tobytes() for x in size]})
+
+    picked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    picked = picked.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # 2 * per_label rows at most
+    picked = picked.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("label").cast("int").alias("label"), "text")
+    rows = picked.mapInPandas(features, "doc_id string, label int, own binary, size binary").collect()
+    rows = sorted(rows, key=lambda r: r.doc_id)
     if not rows:
         return fit(np.zeros((0, OWN)), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    own = np.concatenate([np.array(r.own).reshape(-1, OWN) for r in rows])
-    size = np.concatenate([np.array(r.size, np.int64) for r in rows])
-    return fit(own, size, np.array([len(r.size) for r in rows]), np.array([r.label for r in rows]))
+    own = np.frombuffer(b"".join(r.own for r in rows)).reshape(-1, OWN)
+    size = np.frombuffer(b"".join(r.size for r in rows), np.int64)
+    return fit(own, size, np.array([len(r.size) // 8 for r in rows]), np.array([r.label for r in rows]))
 
 
 def scored(docs: DataFrame, field: Field, name: str = "score") -> DataFrame:
@@ -199,7 +200,8 @@ def scored(docs: DataFrame, field: Field, name: str = "score") -> DataFrame:
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        parts = [shared.value.score(texts.iloc[i : i + 1000].tolist()) for i in range(0, len(texts), 1000)]
+        sizes = texts.str.len().fillna(0).to_numpy(np.int64)
+        parts = [shared.value.score(texts.iloc[a:b].tolist()) for a, b in slices(sizes, 1 << 23)]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return docs.withColumn(name, score("text"))
