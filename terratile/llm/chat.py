@@ -1,15 +1,18 @@
 """Chat formatting by schema fingerprints.
 
 A record is a JSON object.  Its fingerprint is the XXH64 of its sorted nested
-field paths (``[]`` for a step into a list); the fingerprint selects one of the
-declarative ``LAYOUTS``, which says where the turns are.  Turns become
+field paths (``[]`` for a step into a list), without those no layout uses; the
+fingerprint selects one of the declarative ``LAYOUTS``, which says where the
+turns are.  Turns become
 
     <|im_start|>role, a line feed, the text, <|im_end|>, a line feed
 
 and the characters of assistant texts are under the loss mask.  Inside roles
 and texts one backslash more is put between ``<`` and ``|`` (after any that
 stand there), so no control string can occur in them and taking one away gives
-back the original.
+back the original; a role's line feeds and backslashes are written as ``\\n``
+and ``\\\\`` before.  List layouts map other names of the assistant and the user
+to these; rows of single turns keep their roles as given.
 
 Output is a table of pieces, one turn each, with the span of the loss mask; a
 conversation's formatted text is its pieces in order.  A conversation of any
@@ -17,11 +20,13 @@ length is written and read as a stream: a reader holds one piece and the state
 of two digests.  (A digest over a whole conversation is a sequential fold, so
 one conversation's pieces meet in one task; everything before that is by row.)
 
-Nulls: a null or missing text is empty, a null or missing role is ``unknown``,
-a null record has no turn.  Null conversation ids form one conversation.  Rows
-of a conversation with equal turns are ordered by role and text.  A record
-whose fingerprint no layout knows raises an error that names its paths.  An
-empty table gives no row.
+Nulls: a null or missing text is empty, a null or missing role is empty in
+single turns and ``unknown`` in lists, a null record has no turn.  Texts that are
+numbers, lists or objects are their JSON.  Null conversation ids form one
+conversation.  Rows of a conversation with equal turns are ordered by role and
+text.  A record that is no JSON object or that no layout knows gives one piece
+without text, its layout ``none`` and the reason beside it; it counts as no turn.
+An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -82,26 +87,44 @@ def _known() -> dict[int, str]:
 
 
 KNOWN = _known()
+VOCABULARY = {f"{inside}[].{x}" if inside else x.lstrip("$") for inside, pairs, _ in LAYOUTS.values() for p in pairs for x in (p if inside or p[0][:1] == "$" else p[1:])}
+VOCABULARY |= {f"{inside}[]" for inside, _, _ in LAYOUTS.values() if inside}
 
 
-def canonical(record: str | None) -> list[tuple[str, str]]:
-    """(role, text) of each turn of a JSON record."""
+def _text(value) -> str:
+    text = value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
+    return text.encode("utf-8", "replace").decode()  # half a surrogate pair has no UTF-8
+
+
+def read_record(record: str | None) -> tuple[str, str | None, list[tuple[str, str]]]:
+    """(layout, why there is none, (role, text) of each turn) of a JSON record."""
     if record is None:
-        return []
-    value = json.loads(record)
-    fields = paths(value)
-    name = KNOWN.get(fingerprint(fields))
-    if name is None:
-        raise ValueError(f"no layout for a record with the fields {sorted(fields)}")
+        return "null", None, []
+    try:
+        value = json.loads(record)
+    except (ValueError, RecursionError) as e:
+        return "none", f"not JSON: {e}", []
+    if not isinstance(value, dict):
+        return "none", "not an object", []
+    fields = {path for k, v in value.items() for path in (paths(v, k) if isinstance(v, list) else {k})}
+    # below a field of a list's items, anything is that field's value
+    fields = {".".join(p.split(".")[:2]) if "[]." in p else p for p in fields}
+    name = KNOWN.get(fingerprint(fields & VOCABULARY))
+    if name is None or (name == "turn" and value and not fields & VOCABULARY):
+        return "none", f"no layout for {sorted(fields)}", []
     inside, pairs, _ = LAYOUTS[name]
+    if inside:
+        items = value[inside]
+        if not all(isinstance(x, dict) for x in items):
+            return "none", f"items of {inside} are no objects", []
+        role, text = pairs[0]
+        return name, None, [(ROLES.get(r := _text(x.get(role)), r) or "unknown", _text(x.get(text))) for x in items]
+    return name, None, [(_text(value.get(r[1:])) if r.startswith("$") else r, _text(value.get(t))) for r, t in pairs if r.startswith("$") or t in value]
 
-    def turn(item: dict, role: str, text: str) -> tuple[str, str]:
-        named = item.get(role.lstrip("$")) if inside or role.startswith("$") else role
-        return ROLES.get(named, named) or "unknown", item.get(text) or ""
 
-    if inside:
-        return [turn(x, *pairs[0]) for x in value[inside]]
-    return [turn(value, r, t) for r, t in pairs if r.startswith("$") or t in value]
+def canonical(record: str | None) -> list[tuple[str, str]]:
+    """(role, text) of each turn of a JSON record."""
+    return read_record(record)[2]
 
 
 def escape(text: str) -> str:
@@ -114,7 +137,8 @@ def unescape(text: str) -> str:
 
 def piece(role: str, text: str) -> tuple[str, int, int]:
     """(formatted turn, start and end of its loss mask; both 0 without one)."""
-    head = START + escape(role).replace("\n", " ") + "\n"
+    line = role.replace("\\", "\\\\").replace("\n", "\\n")
+    head = START + escape(line) + "\n"
     body = escape(text)
     whole = head + body + END
     return (whole, len(head), len(head) + len(body)) if role == "assistant" else (whole, 0, 0)
@@ -124,23 +148,31 @@ def parse(formatted: str) -> Iterator[tuple[str, str]]:
     """(role, text) of each turn of a formatted text."""
     for part in formatted.split(END)[:-1]:
         role, _, text = part.removeprefix(START).partition("\n")
-        yield unescape(role), unescape(text)
+        role = re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
+        yield role, unescape(text)
 
 
-PIECES = "conv_id string, turn string, sub int, formatted string, mask_start int, mask_end int"
+PIECES = "conv_id string, turn string, sub int, layout string, reason string, formatted string, mask_start int, mask_end int"
 
 
 def format_records(records: DataFrame) -> DataFrame:
-    """(conv_id, turn, record) -> pieces (conv_id, turn, sub, formatted, mask_start, mask_end)."""
+    """(conv_id, turn, record) -> pieces (conv_id, turn, sub, layout, reason, formatted, mask_start, mask_end)."""
+    names = [x.split(" ")[0] for x in PIECES.split(", ")]
 
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = [
-                (conv, turn, sub, *piece(role, text))
-                for conv, turn, record in rows[["conv_id", "turn", "record"]].itertuples(index=False)
-                for sub, (role, text) in enumerate(canonical(record))
-            ]
-            yield pd.DataFrame(out, columns=["conv_id", "turn", "sub", "formatted", "mask_start", "mask_end"])
+            out, size = [], 0
+            for conv, turn, record in rows[["conv_id", "turn", "record"]].itertuples(index=False):
+                layout, reason, turns = read_record(record)
+                if reason is not None:
+                    out.append((conv, turn, 0, layout, reason, "", 0, 0))
+                for sub, (role, text) in enumerate(turns):
+                    out.append((conv, turn, sub, layout, None, *piece(role, text)))
+                    size += len(text)
+                if size > 1 << 24:
+                    yield pd.DataFrame(out, columns=names)
+                    out, size = [], 0
+            yield pd.DataFrame(out, columns=names)
 
     kinds = {c: records.schema[c].dataType for c in ("conv_id", "turn")}
     rows = records.select(*[F.col(c).cast("string").alias(c) for c in kinds], "record")

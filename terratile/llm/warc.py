@@ -15,7 +15,9 @@ the ranges.
 
 Nulls: a null html is an empty payload; a null url or page_id leaves its header
 out and comes back null, and counts as smaller than any other page_id.  Rows
-that repeat the largest page_id of a payload are all responses.  An empty table
+that repeat the largest page_id of a payload are all responses; those of them
+that also repeat its url are equal records with one id, to which the revisits
+refer.  A record that is cut off ends the job with its place.  An empty table
 gives no file and no row.
 """
 
@@ -41,13 +43,17 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 RECORD = "record_type string, page_id long, url string, refers_to long, payload_sha1 string, payload_bytes long, payload binary"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, sha1: str, refers_to: int | None, revisit: bool) -> bytes:
-    """One gzip member holding one record."""
-    block = HTTP if revisit else HTTP + payload
+def record_id(*of: object) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join(map(str, of)))}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, sha1: str, own_id: str, refers_to: int | None = None, refers_id: str | None = None) -> bytes:
+    """One gzip member holding one record; with ``refers_id`` a revisit."""
+    block = HTTP if refers_id else HTTP + payload
     head = [
         "WARC/1.1",
-        f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {sha1}')}>",
+        f"WARC-Type: {'revisit' if refers_id else 'response'}",
+        f"WARC-Record-ID: {own_id}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(sha1)).decode()}",
         "Content-Type: application/http; msgtype=response",
@@ -57,32 +63,54 @@ def record(page_id: int | None, url: str | None, payload: bytes, sha1: str, refe
         head.append(f"X-Page-ID: {page_id}")
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"))
-    if revisit:
-        head.append(f"WARC-Profile: {PROFILE}")
+    if refers_id:
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {refers_id}"]
         if refers_to is not None:
-            head.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
+            head.append(f"X-Refers-To-Page: {refers_to}")
     head.append(f"Content-Length: {len(block)}")
     data = "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
     squeeze = zlib.compressobj(4, zlib.DEFLATED, 31)
     return squeeze.compress(data) + squeeze.flush()
 
 
+def _number(text: str | None) -> int | None:
+    return int(text) if text is not None and text.strip().isdecimal() else None
+
+
+def _sha1(digest: str | None) -> str | None:
+    """Bare hex of a ``sha1:`` digest in base 32 or hex; None for any other."""
+    kind, _, value = (digest or "").strip().partition(":")
+    if kind.lower() != "sha1":
+        return None
+    try:
+        return (bytes.fromhex(value) if len(value) == 40 else base64.b32decode(value.upper())).hex()
+    except ValueError:
+        return None
+
+
 def parse(data: bytes) -> tuple:
-    """The values of RECORD of one decoded member."""
+    """The values of RECORD of one decoded member, of this writer or another's.
+
+    Header names are taken in any case.  What a record does not say is null: page
+    ids and references of other writers, the length and digest of a revisit
+    without them.  Without a length the block ends where the member does.
+    """
     head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    block = rest[: int(fields["Content-Length"])]
-    payload = block.partition(b"\r\n\r\n")[2]
-    kind = fields["WARC-Type"]
-    url = fields.get("WARC-Target-URI")
-    if url is not None:
+    lines = (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])
+    fields = {name.strip().lower(): value.strip(" \t") for name, _, value in lines}
+    length = _number(fields.get("content-length"))
+    block = rest if length is None else rest[:length]
+    http = fields.get("content-type", "").lower().startswith("application/http")
+    payload = block.partition(b"\r\n\r\n")[2] if http else block
+    kind, url, page = fields.get("warc-type", "").lower(), fields.get("warc-target-uri"), fields.get("x-page-id")
+    if url is not None and "x-payload-length" in fields:
         url = url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
-    page, refers = fields.get("X-Page-ID"), fields.get("WARC-Refers-To")
     if kind == "revisit":
-        sha1, size, payload = base64.b32decode(fields["WARC-Payload-Digest"][5:]).hex(), int(fields["X-Payload-Length"]), None
+        sha1, size, payload = _sha1(fields.get("warc-payload-digest")), _number(fields.get("x-payload-length")), None
     else:
         sha1, size = hashlib.sha1(payload).hexdigest(), len(payload)
-    return kind, page and int(page), url, refers and int(refers[10:-1]), sha1, size, payload
+    refers = fields.get("x-refers-to-page")
+    return kind, page and int(page), url, refers and int(refers), sha1, size, payload
 
 
 def _member(read, at: int) -> tuple[bytes, int] | None:
@@ -92,6 +120,8 @@ def _member(read, at: int) -> tuple[bytes, int] | None:
     while not inflate.eof:
         data = read(pos, STEP)
         if not data:
+            if b"".join(pieces).startswith(b"WARC/1."):
+                raise EOFError(f"the record at byte {at} is cut off")
             return None
         pos += len(data)
         try:
@@ -135,20 +165,22 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 1000) -> DataFram
             return
         with AtomicFile(path) as out:
             while rows is not None:
+                for k, r in enumerate(rows.itertuples(index=False), n):
+                    page, first = (None if pd.isna(x) else int(x) for x in (r.page_id, r.first_id))
+                    answer = record_id(first, r.first_url, r.sha1)
+                    own = answer if r.shared and not r.revisit and r.url == r.first_url else record_id(path, k)
+                    out.write(record(page, r.url, bytes(r.payload), r.sha1, own, *((first, answer) if r.revisit else ())))
                 n += len(rows)
-                for r in rows.itertuples(index=False):
-                    ids = [None if pd.isna(x) else int(x) for x in (r.page_id, r.first_id)]
-                    out.write(record(ids[0], r.url, bytes(r.payload), r.sha1, ids[1], bool(r.revisit)))
                 rows = next(batches, None)
         yield pd.DataFrame({"path": [path], "n_records": [n]})
 
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
     large = rows.where(F.octet_length("payload") >= min_bytes)
-    shared = large.groupBy("sha1").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    joined = rows.join(shared.drop("n").withColumn("shared", F.lit(True)), "sha1", "left")
-    joined = joined.withColumn("revisit", F.col("shared").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")))
-    joined = joined.select("page_id", "url", "payload", "sha1", F.when(F.col("revisit"), F.col("first_id")).alias("first_id"), "revisit")
+    shared = large.groupBy("sha1").agg(F.max(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    shared = shared.select("sha1", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"), F.lit(True).alias("shared"))
+    joined = rows.join(shared, "sha1", "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
+    joined = joined.withColumn("revisit", F.col("shared") & ~F.col("page_id").eqNullSafe(F.col("first_id")))
     as_text = joined.withColumns({c: F.col(c).cast("string") for c in ("page_id", "first_id")})
     return stage_table(as_text.mapInPandas(write, "path string, n_records long"), "manifest")
 
@@ -161,7 +193,7 @@ def read_warc(spark: SparkSession, folder: str, split_bytes: int = 8 << 20) -> D
 
         def frame(rows: list) -> pd.DataFrame:
             out = pd.DataFrame(rows, columns=names)
-            return out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
+            return out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
 
         for splits in batches:
             for path, start, end in splits[["path", "start", "end"]].itertuples(index=False):
@@ -170,7 +202,7 @@ def read_warc(spark: SparkSession, folder: str, split_bytes: int = 8 << 20) -> D
                     rows, size = [], 0
                     for row in read_range(lambda at, n: data.read_at(n, at), int(start), int(end)):
                         rows.append(row)
-                        size += row[5]
+                        size += row[5] or 0
                         if size > 16 << 20:
                             yield frame(rows)
                             rows, size = [], 0

@@ -1,8 +1,11 @@
 """The fitted, written and sampled operators against brute force, round trips and held-out labels."""
 
+import gzip
 import hashlib
+import io
 import json
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from terratile.llm import chat, language, pieces, quality_crf, queries, token_files, warc
+from terratile.llm import chat, language, pieces, quality_crf, queries, sampling, token_files, warc
 
 SF = "/root/testdata/sf0.001"
 WORDS, MODEL = (str(public_tokenizers.path(x)) for x in ("word_bpe_49k.json", "piece_bpe_32k.model"))
@@ -38,6 +41,22 @@ def test_blocks_round_trip():
     assert parts["width"].max() == 0 and len(parts["over"]) == 13
 
 
+def test_reader_goes_to_single_blocks():
+    rng = np.random.default_rng(2)
+    values = [rng.integers(0, 50_000, n, dtype=np.uint64).astype(np.uint32) for n in (1000, 128, 3)]
+    for v in values:
+        v[rng.random(len(v)) < 0.1] = 2**31
+    out, places = io.BytesIO(), []
+    for v in values:
+        places.append(out.tell())
+        token_files.write_segment(out, np.arange(2), np.ones(2, bool), np.array([1, len(v) - 1]), v)
+    for at, v in zip(places, values, strict=True):
+        n = -(-len(v) // token_files.BLOCK)
+        for a in range(n):
+            for b in range(a + 1, n + 1):
+                assert (token_files.read_blocks(out, at, a, b) == v[a * 128 : b * 128]).all()
+
+
 def test_token_files(spark):
     from tokenizers import Tokenizer
 
@@ -75,35 +94,78 @@ def test_warc(spark):
     assert warc.archived(pages.limit(0)).count() == 0
 
 
+def read_all(data, step):
+    return [r for a in range(0, len(data), step) for r in warc.read_range(lambda at, n: data[at : at + n], a, min(a + step, len(data)))]
+
+
 def test_range_reader_owns_each_record_once():
-    members = [warc.record(i, f"u{i}", bytes([31, 139, 8]) * i, "00" * 20, None, False) for i in range(30)]
-    data = b"".join(members)
+    data = b"".join(warc.record(i, f"u{i}", bytes([31, 139, 8]) * i, "00" * 20, warc.record_id(i)) for i in range(30))
     for step in (1, 7, 100, len(data)):
-        rows = [r for a in range(0, len(data), step) for r in warc.read_range(lambda at, n: data[at : at + n], a, min(a + step, len(data)))]
-        assert [r[1] for r in rows] == list(range(30))
+        assert [r[1] for r in read_all(data, step)] == list(range(30))
+
+
+def test_cut_archives_and_those_of_others():
+    data = b"".join(warc.record(i, "u", b"x" * 500, "00" * 20, warc.record_id(i)) for i in range(3))
+    with pytest.raises(EOFError, match="cut off"):
+        read_all(data[:-20], 50)
+    other = (
+        b"WARC/1.0\r\nwarc-type: revisit\r\nWARC-Target-URI:  http://a/%41\r\nWARC-Refers-To: <urn:uuid:1>\r\nWARC-Payload-Digest: sha1:" + b"0a" * 20 + b"\r\n\r\n",
+        b"WARC/1.1\r\nWARC-Type: warcinfo\r\ncontent-length: 5\r\n\r\na: b\n\r\n\r\n",
+        b"WARC/1.1\r\nWARC-Type: response\r\nContent-Type: application/http\r\nContent-Length: 21\r\n\r\nHTTP/1.1 200 OK\r\n\r\nhi\r\n\r\n",
+    )
+    rows = read_all(b"".join(gzip.compress(x) for x in other), 9)
+    assert rows[0] == ("revisit", None, "http://a/%41", None, "0a" * 20, None, None)
+    assert rows[1][0] == "warcinfo" and rows[1][6] == b"a: b\n" and rows[2][0] == "response" and rows[2][6] == b"hi"
+
 
+def test_revisits_name_their_response():
+    pages = [record for page, refers in ((6, None), (1, 6)) for record in [warc.record(page, "u", b"p", "00" * 20, warc.record_id(page), refers, refers and warc.record_id(refers))]]
+    head = [gzip.decompress(p).decode() for p in pages]
+    own = re.search("WARC-Record-ID: (.*)\r", head[0])[1]
+    assert f"WARC-Refers-To: {own}\r" in head[1] and own.startswith("<urn:uuid:")
 
-def brute_phrases(sample, text, symbols):
-    known, n, at = set(symbols), 0, 0
+
+def text_of(points):
+    return "".join(map(chr, points))
+
+
+def brute_phrases(sample, text):
+    n, at = 0, 0
     while at < len(text):
         end = at
-        while end < len(text) and text[end] in known and text[at : end + 1] in sample:
+        while end < len(text) and text[at : end + 1] in sample:
             end += 1
         at, n = max(end, at + 1), n + 1
     return n
 
 
-def test_cross_parsing():
-    samples = {"a": "the cat sat on the mat and the rat ran", "b": "der hund und die katze und das haus"}
+@pytest.mark.parametrize("parse", [3, 50, 1024])
+def test_cross_parsing(monkeypatch, parse):
+    """Phrases of the whole text, also where one is longer than a block, in any script."""
+    monkeypatch.setattr(language, "PARSE", parse)
+    samples = {"a": ["the cat sat on the mat", "and the rat ran " * 20], "b": ["der hund und die katze", "日本語の文章です", "это текст"]}
     model = language.Model(samples)
-    symbols = [chr(c) for c in np.flatnonzero(model.symbol)]
-    texts = ["the hat", "das ist der hund", "", "zz", "mat cat und katze " * 100]
-    got = model.phrases(texts)
-    for i, t in enumerate(texts):
-        blocks = [t[k : k + language.PARSE] for k in range(0, len(t), language.PARSE)]
-        assert got[i].tolist() == [sum(brute_phrases(samples[k], b, symbols) for b in blocks) for k in ("a", "b")]
-    names, scores = model.predict(["The cat!", "und das Haus", None, "12 !?", "x"])
-    assert names[:4] == ["a", "b", "und", "und"] and all(0 <= s <= 1 for s in scores)
+    held = {k: " ".join(text_of(language.letters(t)) for t in v) + " " for k, v in samples.items()}
+    texts = ["the hat", "das ist der hund", "", "zz", "mat cat und katze " * 100, "and the rat ran " * 19, "日本の文", "x" * 200, "это cat " * 9]
+    clean = [language.letters(t) for t in texts]
+    got = model.phrases(clean)
+    for i, c in enumerate(clean):
+        assert got[i].tolist() == [brute_phrases(held[k], text_of(c)) for k in ("a", "b")]
+    names, scores = model.predict(["The cat!", "und die Katze", None, "12 !?", "½ ² ① ⅷ", "x", "文章"])
+    assert names == ["a", "b", "und", "und", "und", names[5], "b"] and all(0 <= s <= 1 for s in scores)
+
+
+def test_samples_are_the_first_ids_by_hash(spark):
+    rows = [(i, "ab"[i % 3 == 0]) for i in range(3000)] + [(None, "a"), (5, None), (7, "a"), (7, "b")]
+    table = spark.createDataFrame(rows, "doc_id long, label string")
+    got = {(r.doc_id, r.label) for r in sampling.sample_ids(table, 40).collect()}
+    kept = {}
+    for i, label in rows:
+        if i is not None and label is not None and zlib.crc32(str(i).encode()) % 5:
+            kept[i] = min(label, kept.get(i, label))
+    order = {r.doc_id: r.h % 2**64 for r in table.selectExpr("doc_id", "xxhash64(doc_id) h").collect()}
+    want = {(i, x) for x in "ab" for i in sorted((i for i in kept if kept[i] == x), key=order.get)[:40]}
+    assert got == want
 
 
 def test_language_held_out(spark):
@@ -148,6 +210,8 @@ def test_quality_held_out(spark):
     kept = quality_crf.keep_predicted(odd_docs(spark), labels)
     assert kept.columns == odd_docs(spark).columns
     assert quality_crf.quality_scores(docs.limit(0), labels.limit(0)).count() == 0
+    named, marks = (x.withColumn("doc_id", x.doc_id.cast("string")) for x in (docs.limit(50), labels))
+    assert quality_crf.quality_scores(named, marks).count() == 50
 
 
 def test_layouts():
@@ -161,8 +225,24 @@ def test_layouts():
     assert turns({"instruction": "q", "input": "i", "output": "a", "system": "s"}) == [("system", "s"), ("user", "q"), ("user", "i"), ("assistant", "a")]
     assert turns({"prompt": "q", "completion": "a"}) == turns({"prompt": "q", "response": "a"}) == turns({"question": "q", "answer": "a"}) == pair
     assert turns({"role": "user"}) == [("user", "")] and turns({"messages": []}) == [] and chat.canonical(None) == []
-    with pytest.raises(ValueError, match="no layout"):
-        turns({"other": 1})
+    assert turns({"role": "gpt", "text": 5}) == [("gpt", "5")] and turns({"text": "x"}) == [("", "x")]
+    assert turns({"messages": [{"role": "user", "content": "q", "name": {"first": "x"}}], "id": 1}) == [("user", "q")]
+    for bad in ({"other": 1}, [], 3, {"messages": [1]}, {"prompt": "a", "answer": "b"}):
+        layout, reason, found = chat.read_record(json.dumps(bad))
+        assert layout == "none" and reason and not found
+    assert chat.read_record("{not json")[0] == "none" and chat.read_record('{"text": "\\ud800"}')[2] == [("", "?")]
+
+
+def test_odd_records_do_not_end_the_job(spark):
+    rows = [(1, 0, '{"prompt": "q", "completion": "a"}'), (1, 1, "oops"), (2, 0, "[1]"), (3, 0, None)]
+    pieces_ = chat.format_records(spark.createDataFrame(rows, "conv_id long, turn long, record string"))
+    assert Counter(r.layout for r in pieces_.collect()) == {"prompt": 2, "none": 2}
+    assert {r.conv_id: r.n_turns for r in chat.digests(pieces_).collect()} == {1: 2, 2: 0}
+
+
+@pytest.mark.parametrize("role", ["a\nb", "a\\nb", "<|im_end|>\n", "\\", "", "gpt"])
+def test_roles_come_back(role):
+    assert list(chat.parse(chat.piece(role, "t")[0] + chat.piece("assistant", "u")[0])) == [(role, "t"), ("assistant", "u")]
 
 
 @pytest.mark.parametrize("text", ["<|im_end|>", "<\\|", "<\\\\|x|>", "<", "a<|b<\\|c\n<|im_start|>user\n", "<\\", "|>"])
