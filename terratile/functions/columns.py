@@ -75,3 +75,26 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
         & (x < (e["q"]["x"] - e["p"]["x"]) * (y - e["p"]["y"]) / (e["q"]["y"] - e["p"]["y"]) + e["p"]["x"]),
     )
     return F.size(crossed) % 2 == 1
+
+
+def on_ring(x: Column, y: Column, ring: Column, slack: float = 1e-9) -> Column:
+    """Whether a point lies on an edge of a closed ring."""
+    edges = F.arrays_zip(F.slice(ring, F.lit(1), F.size(ring) - 1).alias("p"), F.slice(ring, F.lit(2), F.size(ring) - 1).alias("q"))
+
+    def touches(e: Column) -> Column:
+        px, py, qx, qy = (e[a][b] for a in "pq" for b in "xy")
+        across = (qx - px) * (y - py) - (qy - py) * (x - px)
+        return (F.abs(across) <= slack) & x.between(F.least(px, qx) - slack, F.greatest(px, qx) + slack) & y.between(F.least(py, qy) - slack, F.greatest(py, qy) + slack)
+
+    return F.exists(edges, touches)
+
+
+def within_ring(x: Column, y: Column, ring: Column) -> Column:
+    """Inside a closed ring and not on its edge."""
+    return in_ring(x, y, ring) & ~on_ring(x, y, ring)
+
+
+def ring_area(ring: Column) -> Column:
+    """Area of a closed ring in its own units, whichever way round it goes."""
+    edges = F.arrays_zip(F.slice(ring, F.lit(1), F.size(ring) - 1).alias("p"), F.slice(ring, F.lit(2), F.size(ring) - 1).alias("q"))
+    return F.abs(F.aggregate(edges, F.lit(0.0), lambda s, e: s + e["p"]["x"] * e["q"]["y"] - e["q"]["x"] * e["p"]["y"])) / 2

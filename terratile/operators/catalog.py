@@ -5,27 +5,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terratile.operators import scan
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of ``new``, and those of ``old`` whose key is not among them."""
+    """Rows of ``new``, and those of ``old`` whose key is not among them; of rows of ``new`` that share a key the greatest stays."""
+    columns = new.columns
+    new = new.groupBy(key).agg(F.max(F.struct(*columns)).alias("_row")).select("_row.*")
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
 def keep_context(old: DataFrame, new: DataFrame, key: str, context: list[str]) -> DataFrame:
     """Upsert that never touches the ``context`` columns of rows that are there."""
-    fresh = new.drop(*context)
-    other = [c for c in fresh.columns if c != key]
+    fresh = new.drop(*context).withColumn("_is_new", F.lit(True))
+    other = [c for c in fresh.columns if c not in (key, "_is_new")]
     joined = old.alias("o").join(fresh.alias("n"), key, "full_outer")
     return joined.select(
-        key, *[F.when(F.col(f"n.{other[0]}").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in other], *[f"o.{c}" for c in context]
+        key, *[F.when(F.col("n._is_new"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in other], *[f"o.{c}" for c in context]
     )
 
 
+def register(old: DataFrame, new: DataFrame, key: str, parents: DataFrame, parent_key: str) -> DataFrame:
+    """``upsert``; a row of ``new`` without its parent is an error."""
+    if not orphans(new, parents, parent_key).isEmpty():
+        raise ValueError(f"{parent_key} is unknown")
+    return upsert(old, new, key)
+
+
+def register_observations(old: DataFrame, new: DataFrame, scenes: DataFrame) -> DataFrame:
+    """``register`` by observation_id; a missing dataset_dir is the id."""
+    named = new.withColumn("dataset_dir", F.coalesce("dataset_dir", F.col("observation_id").cast("string")))
+    return register(old, named, "observation_id", scenes, "scene_id")
+
+
+def append_vectors(old: DataFrame, new: DataFrame, key: str, dim: int) -> DataFrame:
+    """``old`` (id, key, embedding) with ``new`` behind it: ids go on from the count in order of ``key``; another length of vector is an error."""
+    if not new.where(F.coalesce(F.size("embedding"), F.lit(-1)) != dim).isEmpty():
+        raise ValueError(f"a vector has not {dim} elements")
+    placed = scan.positions(new, [F.col(key)], "at").withColumn("id", F.col("at") - 1 + F.lit(old.count()))
+    return old.unionByName(placed.select(old.columns))
+
+
 def append_tiles(tiles: DataFrame, new: DataFrame, observations: DataFrame) -> DataFrame:
-    """``tiles`` with ``new``; raises when a tile is there already or its observation is not."""
+    """``tiles`` with ``new``; raises when a tile is there already or twice in ``new``, or its observation is not there."""
+    twice = new.groupBy("tile_id").count().where("count > 1")
     known = new.join(tiles.select("tile_id"), "tile_id", "left_semi")
     orphan = new.join(observations.select("observation_id"), "observation_id", "left_anti")
-    for wrong, what in ((known, "tile_id is there already"), (orphan, "observation_id is unknown")):
+    for wrong, what in ((twice, "tile_id comes twice"), (known, "tile_id is there already"), (orphan, "observation_id is unknown")):
         if not wrong.isEmpty():
             raise ValueError(what)
     return tiles.unionByName(new)

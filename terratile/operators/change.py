@@ -126,18 +126,26 @@ def by_key(key: Column, values: dict[str, float], default: float) -> Column:
     return out
 
 
-def confidence(cfg: Config = Config()) -> Column:
-    """Weighted geometric mean of six terms, times gate weight, persistence penalty and radar factor."""
+def confidence_terms(cfg: Config = Config()) -> list[tuple[str, Column, float]]:
+    """(name, value, weight) of the six terms."""
     model = clip((F.col("mean_prob") - 0.50) / (0.97 - 0.50), 0.0, 1.0)
     quality = clip(F.least(F.col("valid_fraction"), 1.0 - F.greatest("bad_earlier", "bad_later") / cfg.max_bad), 0.0, 1.0)
-    mean = geometric_mean(
-        [
-            (model, 2.0), (by_key(F.col("persistence"), PERSISTENCE_CONFIDENCE, 0.0), 2.0), (F.col("spectral"), 1.5), (quality, 1.5),
-            (registration_weight(F.col("residual_px"), cfg), 1.0), (clip(F.col("reliability"), 0.0, 1.0), 1.0),
-        ]
-    )
-    factor = clip(F.col("downweight"), 0.0, 1.0) * by_key(F.col("persistence"), PERSISTENCE_PENALTY, 1.0)
-    return clip(mean * factor * clip(F.col("sar"), 0.5, 1.15), 0.0, 1.0)
+    return [
+        ("model", model, 2.0), ("persistence", by_key(F.col("persistence"), PERSISTENCE_CONFIDENCE, 0.0), 2.0), ("spectral", F.col("spectral"), 1.5), ("quality", quality, 1.5),
+        ("registration", registration_weight(F.col("residual_px"), cfg), 1.0), ("radiometric", clip(F.col("reliability"), 0.0, 1.0), 1.0),
+    ]
+
+
+def confidence_multipliers() -> dict[str, Column]:
+    """Gate weight, persistence penalty and radar factor."""
+    return {"gates": clip(F.col("downweight"), 0.0, 1.0), "penalty": by_key(F.col("persistence"), PERSISTENCE_PENALTY, 1.0), "sar": clip(F.col("sar"), 0.5, 1.15)}
+
+
+def confidence(cfg: Config = Config()) -> Column:
+    """Weighted geometric mean of six terms, times gate weight, persistence penalty and radar factor."""
+    mean = geometric_mean([(value, weight) for _, value, weight in confidence_terms(cfg)])
+    gates_, penalty, radar = confidence_multipliers().values()
+    return clip(mean * (gates_ * penalty) * radar, 0.0, 1.0)
 
 
 def persistence_class(flags: Column, span: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terratile.functions.columns import clip, normalised_difference
@@ -44,22 +44,25 @@ def window_mean(pixels: DataFrame, value: str) -> DataFrame:
 
 
 def components(mask: DataFrame) -> DataFrame:
-    """8-connected components of (observation_id, y, x): label is the smallest pixel number of the component."""
-    number = F.col("observation_id") * (1 << 40) + F.col("y") * (1 << 20) + F.col("x")
-    cells = mask.select("observation_id", "y", "x", number.alias("a")).distinct()
+    """8-connected components of (observation_id, y, x): label_y, label_x is the component's first pixel by (y, x).
+
+    Pixels are known by their three numbers, of any size.
+    """
+    place = F.struct("observation_id", "y", "x")
+    cells = mask.select("observation_id", "y", "x").distinct()
     ahead = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))]))
-    near = cells.select("a", "observation_id", "y", "x", ahead.alias("s"))
+    near = cells.select(place.alias("a"), "observation_id", "y", "x", ahead.alias("s"))
     near = near.select("a", "observation_id", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"))
-    edges = near.join(cells.withColumnRenamed("a", "b"), ["observation_id", "y", "x"]).select("a", "b")
+    edges = near.join(cells, ["observation_id", "y", "x"]).select("a", place.alias("b"))
     roots = connected_components(edges).toDF("a", "root")
-    rooted = cells.join(roots, "a", "left").withColumn("root", F.coalesce("root", "a"))
+    rooted = cells.withColumn("a", place).join(roots, "a", "left").withColumn("root", F.coalesce("root", "a"))
     first = rooted.groupBy("root").agg(F.min("a").alias("label"))
-    return rooted.join(first, "root").select("observation_id", "y", "x", "label")
+    return rooted.join(first, "root").select("observation_id", "y", "x", F.col("label.y").alias("label_y"), F.col("label.x").alias("label_x"))
 
 
 def component_shapes(labelled: DataFrame, min_px: int = 1) -> DataFrame:
     """Per component: area, box and fill ratio."""
-    rows = labelled.groupBy("observation_id", "label").agg(
+    rows = labelled.groupBy("observation_id", "label_y", "label_x").agg(
         F.count("*").alias("area_px"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1")
     )
     box = (F.col("y1") - F.col("y0") + 1) * (F.col("x1") - F.col("x0") + 1)
@@ -96,19 +99,27 @@ def component_features(labelled: DataFrame, prob: DataFrame, min_px: int = 50) -
     """Per component of at least ``min_px``: area, box, centre, mean and largest probability, elongation and fill.
 
     Elongation is the square root of the ratio of the eigenvalues (1e-6 at least) of the
-    sample covariance of the pixels' places; 1 below three pixels.
+    sample covariance of the pixels' places; 1 below three pixels.  Probabilities
+    are summed as whole millionths, so their mean hangs on no order.
     """
     vy, vx, cov = F.var_samp("y"), F.var_samp("x"), F.covar_samp("y", "x")
     half, root = (vy + vx) / 2, F.sqrt(F.pow((vy - vx) / 2, 2) + cov * cov)
     high, low = F.greatest(half + root, F.lit(1e-6)), F.greatest(half - root, F.lit(1e-6))
-    rows = labelled.join(prob, ["observation_id", "y", "x"]).groupBy("observation_id", "label").agg(
+    rows = labelled.join(prob, ["observation_id", "y", "x"]).groupBy("observation_id", "label_y", "label_x").agg(
         F.count("*").alias("area_px"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.avg("y").alias("cy"), F.avg("x").alias("cx"),
-        F.avg("prob").alias("mean_prob"), F.max("prob").alias("max_prob"), F.when(F.count("*") < 3, 1.0).otherwise(F.sqrt(high / low)).alias("elongation"),
+        (F.sum(F.round(F.col("prob") * 1e6).cast("long")) / (F.count("*") * 1e6)).alias("mean_prob"), F.max("prob").alias("max_prob"), F.when(F.count("*") < 3, 1.0).otherwise(F.sqrt(high / low)).alias("elongation"),
     )
     box = (F.col("y1") - F.col("y0") + 1) * (F.col("x1") - F.col("x0") + 1)
     return rows.where(F.col("area_px") >= min_px).withColumn("fill", F.col("area_px") / box)
 
 
+def largest_first(features: DataFrame, least_px: int, most: int = 20_000) -> DataFrame:
+    """The ``most`` largest components of at least ``least_px`` with their ``rank``: by area, then observation and first pixel."""
+    order = [F.desc("area_px"), F.col("observation_id"), F.col("label_y"), F.col("label_x")]
+    top = features.where(F.col("area_px") >= least_px).orderBy(*order).limit(most)  # the feature: a cut list
+    return top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+
+
 def window_plan(images: DataFrame, size: int = 1024, stride: int = 824) -> DataFrame:
     """(image_id, x0, y0): window origins that cover each image; the last of a row or column ends at the edge."""
     origins = lambda d: F.when(d <= size, F.array(F.lit(0).cast("long"))).otherwise(

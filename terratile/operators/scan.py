@@ -7,6 +7,9 @@ of parts has a row for each partition (and group in it), never one for a row.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +37,9 @@ def running(rows: DataFrame, group: list[str], order: list[Column], sums: dict[s
     parts = parts.select(*group, "_part", *[f(f"_{k}").over(earlier).alias(f"_{k}") for k, (f, _) in folds.items()])
     here = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(*SO_FAR)
     local = staged.withColumns({k: f(v).over(here) for k, (f, v) in folds.items()})
-    both = local.join(parts, [*group, "_part"]) if group else local.join(parts, "_part")
+    names = [*group, "_part"]
+    parts = parts.withColumnsRenamed({c: f"_of_{c}" for c in names})
+    both = local.join(parts, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in names])).drop(*[f"_of_{c}" for c in names])
     out = {k: (F.coalesce(k, F.lit(0)) + F.coalesce(f"_{k}", F.lit(0))) if k in (sums or {}) else F.greatest(k, f"_{k}") for k in folds}
     return both.withColumns(out).drop("_part", *[f"_{k}" for k in folds])
 
@@ -53,10 +58,14 @@ def shard_digests(rows: DataFrame, order: list[Column], text: Column, size: int)
     return shards.select("shard", "n_rows", F.sha2(F.array_join(F.transform("r", lambda x: x["_text"]), "\n"), 256).alias("sha256"))
 
 
-def fingerprint(rows: DataFrame, order: list[Column], text: Column, size: int = 1000, levels: int = 3) -> DataFrame:
-    """One row: row count and a digest of digests over shards in order (``size ** levels`` rows at most)."""
+def fingerprint(rows: DataFrame, order: list[Column], text: Column, size: int = 1000) -> DataFrame:
+    """One row: row count and a digest of digests over shards in order, level on level until one shard is left."""
     total = rows.agg(F.count("*").alias("n_rows"))
-    for _ in range(levels):
+    left = rows.count()
+    while True:
         rows = shard_digests(rows, order, text, size).select("shard", "sha256")
-        order, text = [F.col("shard")], F.col("sha256")
+        order, text, left = [F.col("shard")], F.col("sha256"), -(-left // size)
+        if left <= 1:
+            break
+        rows = stage_table(rows, "digests")
     return total.crossJoin(rows.select("sha256"))  # one row each

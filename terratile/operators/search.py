@@ -21,6 +21,12 @@ def top_k(vectors: DataFrame, seeds: DataFrame, k: int, keep_self: bool = False)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def similar_to(vectors: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
+    """Per seed (vec_id) the k other vectors most like it; a seed without a vector finds nothing."""
+    asked = vectors.join(seeds.select("vec_id").distinct(), "vec_id", "left_semi")
+    return top_k(vectors, asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), k)
+
+
 def centroids(vectors: DataFrame) -> DataFrame:
     """Mean of each label's vectors, by element: (label, pos, value, n)."""
     cells = vectors.select("label", F.posexplode("embedding").alias("pos", "x"))

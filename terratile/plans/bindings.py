@@ -63,7 +63,7 @@ BINDINGS: dict[str, tuple[str, list[str], str]] = {
     ),
     "watches": (
         "supplier",
-        ["s_suppkey AS watch_id", "(s_suppkey % 36) * 10.0e0 - 180.0e0 AS west", "(s_suppkey % 16) * 10.0e0 - 80.0e0 AS south", "(s_suppkey % 50) / 50.0e0 AS min_confidence", "s_suppkey % 3 <> 0 AS active"],
+        ["s_suppkey AS watch_id", "(s_suppkey % 36) * 10.0e0 - 180.0e0 AS west", "(s_suppkey % 16) * 10.0e0 - 80.0e0 AS south", "(s_suppkey % 36) * 10.0e0 - 170.0e0 AS east", "(s_suppkey % 16) * 10.0e0 - 70.0e0 AS north", "(s_suppkey % 50) / 50.0e0 AS min_confidence", "s_suppkey % 3 <> 0 AS active"],
         "true",
     ),
     "judged": ("labels", ["doc_id", "quality", "toxic"], "quality IS NOT NULL AND toxic IS NOT NULL"),
@@ -123,6 +123,30 @@ BINDINGS: dict[str, tuple[str, list[str], str]] = {
         ["o_orderkey AS truth_id", "CAST(floor(o_orderkey / 16) AS BIGINT) AS image_id", "o_orderkey % 5 AS class_id", "o_orderkey * 11 % 120 * 1e0 AS x0", "o_orderkey * 3 % 120 * 1e0 AS y0", "o_orderkey * 11 % 120 + 22e0 AS x1", "o_orderkey * 3 % 120 + 20e0 AS y1"],
         "true",
     ),
+    "findings": (
+        "lineitem",
+        [
+            "((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS candidate_id", "l_orderkey AS subject", "l_orderkey % 8 AS pair_id",
+            "CASE l_partkey % 5 WHEN 0 THEN 'construction' WHEN 1 THEN 'vegetation_loss' WHEN 2 THEN 'water_gain' WHEN 3 THEN 'water_loss' ELSE 'other' END AS change_type",
+            "CASE WHEN l_orderkey % 17 <> 0 THEN ((l_partkey + l_orderkey) % 97) / 96e0 END AS confidence", "(l_orderkey % 89) / 88e0 AS significance", "CASE WHEN l_orderkey % 13 <> 0 THEN (l_suppkey * 7 % 101) / 100e0 END AS queue_score",
+            "CASE l_suppkey % 3 WHEN 0 THEN 'persistent' WHEN 1 THEN 'transient' ELSE 'single' END AS persistence",
+            "CASE WHEN l_partkey % 6 <> 0 THEN concat('20', lpad(CAST(l_partkey % 4 + 18 AS STRING), 2, '0'), '-03-15') END AS first_at", "CASE WHEN l_partkey % 6 <> 0 THEN concat('20', lpad(CAST(l_partkey % 4 + l_suppkey % 3 + 19 AS STRING), 2, '0'), '-09-15') END AS last_at",
+            "l_suppkey % 4 <> 0 AS sar_available", "(l_orderkey % 71) / 10e0 - 3.5e0 AS vv_db", "((l_orderkey * 37 + l_partkey) % 3600) / 10e0 - 180e0 AS lon", "((l_orderkey * 53 + l_suppkey) % 1600) / 10e0 - 80e0 AS lat",
+            "((l_partkey % 41) - 20) / 50e0 AS d_ndvi", "((l_suppkey % 31) - 15) / 50e0 AS d_ndbi", "((l_orderkey % 37) - 18) / 40e0 AS d_ndwi",
+            "l_partkey % 7 <> 0 AS quality_ok", "l_suppkey % 9 <> 0 AS radiometric_ok", "concat('rule ', CAST(l_linenumber AS STRING)) AS rule", "CASE l_orderkey % 3 WHEN 0 THEN 'New building footprint' WHEN 1 THEN 'river bank moved' ELSE 'crop cycle' END AS detail",
+        ],
+        "true",
+    ),
+    "watch_rules": (
+        "supplier",
+        [
+            "s_suppkey AS watch_id", "CASE WHEN s_suppkey % 9 <> 0 THEN (s_suppkey % 36) * 10e0 - 180e0 END AS west", "CASE WHEN s_suppkey % 9 <> 0 THEN (s_suppkey % 16) * 10e0 - 80e0 END AS south",
+            "CASE WHEN s_suppkey % 9 <> 0 THEN (s_suppkey % 36) * 10e0 - 180e0 + s_suppkey % 4 * 5e0 + 5e0 END AS east", "CASE WHEN s_suppkey % 9 <> 0 THEN (s_suppkey % 16) * 10e0 - 80e0 + s_suppkey % 5 * 4e0 + 4e0 END AS north",
+            "CASE s_suppkey % 3 WHEN 0 THEN 'construction,water_gain' WHEN 1 THEN 'vegetation_loss' ELSE '' END AS change_types", "CASE s_suppkey % 4 WHEN 0 THEN 'Building harbour' WHEN 1 THEN 'river' ELSE '' END AS text_query",
+            "CASE WHEN s_suppkey % 5 <> 0 THEN (s_suppkey % 50) / 50e0 END AS min_confidence", "s_suppkey % 3 <> 2 AS active",
+        ],
+        "true",
+    ),
     "measures": ("events", ["event_id", "user_id", "event_type", "value"], "value IS NOT NULL"),
 }
 
@@ -138,6 +162,8 @@ def sql(query: str) -> str:
     for n in BINDINGS:
         query = query.replace(f"{{{n}}}", n)
     query = query.strip()
+    if not used:
+        return query
     if query.upper().startswith("WITH RECURSIVE "):
         return f"WITH RECURSIVE {', '.join(used)}, {query[15:]}"
     if query.upper().startswith("WITH "):

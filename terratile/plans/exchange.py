@@ -131,5 +131,5 @@ def n5_once_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["n5_once_only"] = n5_once_only
 SQL["n5_once_only"] = sql(
-    "SELECT DISTINCT watch_id, candidate_id FROM {watches} w JOIN {candidates} c ON active AND lon BETWEEN west AND west + 10 AND lat BETWEEN south AND south + 10 AND confidence >= min_confidence"
+    "SELECT DISTINCT watch_id, candidate_id FROM {watches} w JOIN {candidates} c ON active AND lon BETWEEN west AND east AND lat BETWEEN south AND north AND confidence >= min_confidence"
 )

@@ -101,21 +101,35 @@ def _(b):
     return cells.agg(F.round(F.avg(F.col("scl").isin(0, 1, 3, 8, 9, 10, 11).cast("double")), 6).alias("cloud"))
 
 
-@query(
-    "j4_component_features",
-    """WITH RECURSIVE m AS (SELECT observation_id AS o, y, x, prob FROM {grid} WHERE prob >= 0.7),
+_COMPONENTS = """WITH RECURSIVE m AS (SELECT observation_id AS o, y, x, prob FROM {grid} WHERE prob >= 0.7),
     n AS (SELECT a.o, a.y, a.x, b.y AS y2, b.x AS x2 FROM m a JOIN m b ON a.o = b.o AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
     r AS (SELECT o, y, x, y AS ly, x AS lx FROM m UNION SELECT r.o, n.y2, n.x2, r.ly, r.lx FROM r JOIN n ON r.o = n.o AND r.y = n.y AND r.x = n.x),
-    l AS (SELECT o, y, x, min(o * 1099511627776 + ly * 1048576 + lx) AS label FROM r GROUP BY ALL),
-    c AS (SELECT o, label, count(*) AS area_px, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1, avg(y) AS cy, avg(x) AS cx, avg(prob) AS mean_prob, max(prob) AS max_prob, var_samp(y) AS vy, var_samp(x) AS vx, covar_samp(y, x) AS cv
+    l AS (SELECT o, y, x, min(row(ly, lx)) AS label FROM r GROUP BY ALL),
+    c AS (SELECT o, label, count(*) AS area_px, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1, avg(y) AS cy, avg(x) AS cx, sum(round(prob * 1e6)::BIGINT) / (count(*) * 1e6) AS mean_prob, max(prob) AS max_prob, var_samp(y) AS vy, var_samp(x) AS vx, covar_samp(y, x) AS cv
      FROM l JOIN m USING (o, y, x) GROUP BY ALL)
-    SELECT o AS observation_id, label, area_px, y0, y1, x0, x1, round(cy, 5) AS cy, round(cx, 5) AS cx, round(mean_prob, 5) AS mean_prob, max_prob, round(area_px / ((y1 - y0 + 1) * (x1 - x0 + 1)), 5) AS fill,
+    """
+
+
+def _changed(b):
+    changed = b("grid").where("prob >= 0.7")
+    return raster.component_features(raster.components(changed), changed.select("observation_id", "y", "x", "prob"), 4)
+
+
+@query(
+    "j4_component_features",
+    _COMPONENTS + """SELECT o AS observation_id, label[1] AS label_y, label[2] AS label_x, area_px, y0, y1, x0, x1, round(cy, 5) AS cy, round(cx, 5) AS cx, round(mean_prob, 6) AS mean_prob, max_prob, round(area_px / ((y1 - y0 + 1) * (x1 - x0 + 1)), 5) AS fill,
     CASE WHEN area_px < 3 THEN 1.0 ELSE round(sqrt(greatest((vy + vx) / 2 + sqrt(pow((vy - vx) / 2, 2) + cv * cv), 1e-6) / greatest((vy + vx) / 2 - sqrt(pow((vy - vx) / 2, 2) + cv * cv), 1e-6)), 2) END AS elongation FROM c WHERE area_px >= 4""",
 )
 def _(b):
-    changed = b("grid").where("prob >= 0.7")
-    rows = raster.component_features(raster.components(changed), changed.select("observation_id", "y", "x", "prob"), 4)
-    return _round(_round(rows, 5, "cy", "cx", "mean_prob", "fill"), 2, "elongation")
+    return _round(_round(_round(_changed(b), 5, "cy", "cx", "fill"), 6, "mean_prob"), 2, "elongation")
+
+
+@query(
+    "f7_largest_components",
+    _COMPONENTS + """SELECT o AS observation_id, label[1] AS label_y, label[2] AS label_x, area_px, row_number() OVER (ORDER BY area_px DESC, o, label[1], label[2]) AS rank FROM c WHERE area_px >= 6 ORDER BY area_px DESC, o, label[1], label[2] LIMIT 50""",
+)
+def _(b):
+    return raster.largest_first(_changed(b), 6, 50).select("observation_id", "label_y", "label_x", "area_px", "rank")
 
 
 _ORIGINS = "CASE WHEN {d} <= 1024 THEN [0] ELSE list_distinct(list_append(range(0, {d} - 1024 + 1, 824), {d} - 1024)) END"

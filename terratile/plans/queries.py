@@ -35,26 +35,6 @@ def _(b):
     return found.select("tile_id", "platform", "acquired_at", "cloud")
 
 
-@query("b4_list_observations", "SELECT observation_id, acquired_at, aoi_name FROM {observations} JOIN {scenes} USING (scene_id) WHERE collection_id = 2 AND acquired_at >= '2021-01-01'")
-def _(b):
-    rows = b("observations").join(b("scenes"), "scene_id").where((F.col("collection_id") == 2) & (F.col("acquired_at") >= "2021-01-01"))
-    return rows.select("observation_id", "acquired_at", "aoi_name")
-
-
-@query("b13_select_tiles", "SELECT tile_id, vec_id FROM {tiles} WHERE vec_id IS NOT NULL AND vec_id > 100")
-def _(b):
-    return b("tiles").where("vec_id is not null and vec_id > 100").select("tile_id", "vec_id")
-
-
-@query(
-    "b16_tile_footprints",
-    """SELECT tile_id, round((east - west) * 111.32 * cos(radians((south + north) / 2)), 6) AS width_km, round((north - south) * 110.57, 6) AS height_km FROM {tiles}""",
-)
-def _(b):
-    middle = F.cos(F.radians((F.col("south") + F.col("north")) / 2))
-    return b("tiles").select("tile_id", F.round((F.col("east") - F.col("west")) * 111.32 * middle, 6).alias("width_km"), F.round((F.col("north") - F.col("south")) * 110.57, 6).alias("height_km"))
-
-
 @query(
     "a2_upsert",
     """WITH fresh AS (SELECT observation_id, scene_id, 'moved' AS aoi_name FROM {observations} WHERE observation_id % 5 = 0
@@ -319,7 +299,7 @@ def _(b):
 
 @query(
     "c7_watch_matches",
-    """SELECT watch_id, candidate_id FROM {watches} w JOIN {candidates} c ON active AND lon BETWEEN west AND west + 10 AND lat BETWEEN south AND south + 10 AND confidence >= min_confidence""",
+    """SELECT watch_id, candidate_id FROM {watches} w JOIN {candidates} c ON active AND lon BETWEEN west AND east AND lat BETWEEN south AND north AND confidence >= min_confidence""",
 )
 def _(b):
     return watch.watch_matches(b("watches"), b("candidates"))
@@ -328,7 +308,7 @@ def _(b):
 @query(
     "c8_new_matches",
     """SELECT watch_id, count(*) AS n_new, min(candidate_id) AS first_id, max(candidate_id) AS last_id FROM {watches} w
-    JOIN {candidates} c ON active AND lon BETWEEN west AND west + 10 AND lat BETWEEN south AND south + 10 AND confidence >= min_confidence WHERE candidate_id % 3 <> 0 GROUP BY watch_id""",
+    JOIN {candidates} c ON active AND lon BETWEEN west AND east AND lat BETWEEN south AND north AND confidence >= min_confidence WHERE candidate_id % 3 <> 0 GROUP BY watch_id""",
 )
 def _(b):
     matches = watch.watch_matches(b("watches"), b("candidates"))
@@ -383,9 +363,9 @@ def _(b):
     """WITH RECURSIVE m AS (SELECT DISTINCT observation_id AS o, y, x FROM {pixels} WHERE b08 > 1200),
     n AS (SELECT a.o, a.y, a.x, b.y AS y2, b.x AS x2 FROM m a JOIN m b ON a.o = b.o AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
     r AS (SELECT o, y, x, y AS ly, x AS lx FROM m UNION SELECT r.o, n.y2, n.x2, r.ly, r.lx FROM r JOIN n ON r.o = n.o AND r.y = n.y AND r.x = n.x),
-    l AS (SELECT o, y, x, min(o * 1099511627776 + ly * 1048576 + lx) AS label FROM r GROUP BY ALL)
-    SELECT o AS observation_id, label, count(*) AS area_px, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1,
-    round(count(*) / ((max(y) - min(y) + 1) * (max(x) - min(x) + 1)), 6) AS fill FROM l GROUP BY ALL""".replace("WITH RECURSIVE m", "WITH m"),
+    l AS (SELECT o, y, x, min(row(ly, lx)) AS label FROM r GROUP BY ALL)
+    SELECT o AS observation_id, label[1] AS label_y, label[2] AS label_x, count(*) AS area_px, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1,
+    round(count(*) / ((max(y) - min(y) + 1) * (max(x) - min(x) + 1)), 6) AS fill FROM l GROUP BY o, label""".replace("WITH RECURSIVE m", "WITH m"),
 )
 def _(b):
     return raster.component_shapes(raster.components(b("pixels").where("b08 > 1200")))

@@ -1,29 +1,39 @@
 """Tables and files in the folder that the driver and all executors share.
 
 The folder is the one the cluster names in ``spark.checkpoint.dir``.  Where a
-session does not set it (tests, a laptop), one folder under the system's
-temporary directory is made for the session and set, so that later calls agree.
+session of one machine (a ``local`` master: tests, a laptop) does not set it, one
+folder under the system's temporary directory is made for the session and set,
+so that later calls agree; anywhere else that is an error, as executors would
+not see the driver's folder.
 """
 
 from __future__ import annotations
 
+import contextlib
 import posixpath
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder; nothing is created."""
     base = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(CHECKPOINT_DIR, base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for scope in _scopes:
+        scope.append(path)
+    return path
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
@@ -36,6 +46,21 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def staged_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables and files staged inside go when the block ends; write what is to stay before that."""
+    mine: list[str] = []
+    _scopes.append(mine)
+    try:
+        yield
+    finally:
+        _scopes.remove(mine)
+        jvm = spark.sparkContext._jvm
+        for path in mine:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def open_fs(uri: str):
     """(filesystem, path) of a ``file:``, ``hdfs:`` or object-store URI."""
     from pyarrow import fs

@@ -1,4 +1,9 @@
-"""Structured Streaming forms: the latest status of a decision log, once-only notifications, incremental ingest."""
+"""Structured Streaming forms: the latest status of a decision log, once-only notifications, incremental ingest.
+
+Each job takes the folder of its table and of its checkpoint.  Called again with
+the same two, it goes on with what has arrived since; without them it makes new
+ones in the shared folder and reads all there is.
+"""
 
 from __future__ import annotations
 
@@ -7,40 +12,48 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terratile.operators import watch
 from terratile.storage import shared_dir
 
 
-def drain(stream: DataFrame, batch: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Run a stream over all that is there now, then stop."""
-    spot = shared_dir(stream.sparkSession, "stream")
+def drain(stream: DataFrame, batch: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None) -> None:
+    """Run a stream over all that is there now, then stop; the checkpoint tells what an earlier call has read."""
+    spot = checkpoint or shared_dir(stream.sparkSession, "stream")
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", spot).trigger(availableNow=True).foreachBatch(batch).start()
     query.awaitTermination()
 
 
+def _typed(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+
+
+def _read_parts(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
+
+
 def latest_status(log: DataFrame) -> DataFrame:
     """Streaming last-write-wins: the state holds one row for each candidate."""
     last = log.groupBy("candidate_id").agg(F.max(F.struct("created_at", "decision_id", "decision")).alias("d"))
     return last.select("candidate_id", "d.decision_id", "d.decision")
 
 
-def upsert_table(stream: DataFrame, key: str) -> DataFrame:
+def upsert_table(stream: DataFrame, key: str, folder: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Drain a streaming aggregate in update mode and read back its table, the newest row of each key.
 
     Each batch writes its own folder, named by the batch, so a batch that runs
     again after a failure replaces what it wrote.
     """
     spark = stream.sparkSession
-    folder = shared_dir(spark, "updates")
-    drain(stream, lambda rows, n: rows.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/part={n}"), "update")
-    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in stream.schema)}, batch int"
-    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
+    folder = folder or shared_dir(spark, "updates")
+    drain(stream, lambda rows, n: rows.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/part={n}"), "update", checkpoint)
+    rows = _read_parts(spark, folder, f"{_typed(stream)}, batch int")
     rest = [c for c in stream.columns if c != key]
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("d")).select(key, "d.*")
 
 
-def latest_status_table(log: DataFrame) -> DataFrame:
+def latest_status_table(log: DataFrame, folder: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """The status table of a streaming decision log."""
-    return upsert_table(latest_status(log), "candidate_id")
+    return upsert_table(latest_status(log), "candidate_id", folder, checkpoint)
 
 
 def tile_rollup(tiles: DataFrame) -> DataFrame:
@@ -54,24 +67,26 @@ def tile_rollup(tiles: DataFrame) -> DataFrame:
     )
 
 
-def once_only(matches: DataFrame) -> DataFrame:
-    """Drain a stream of (watch_id, candidate_id) matches into a table that holds each match once.
+def once_only(matches: DataFrame, folder: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Drain a stream of (watch_id, candidate_id) matches into a table that holds each match once, over all calls.
 
-    A batch adds what the folders of other batches do not have; run again, it writes the same.
+    The stream's state knows what was told, so a batch reads nothing of earlier
+    ones; a batch that runs again writes the same folder.
     """
     spark = matches.sparkSession
-    folder, schema = shared_dir(spark, "told"), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in matches.schema)
+    folder = folder or shared_dir(spark, "told")
+    once = matches.dropDuplicates(["watch_id", "candidate_id"])
+    drain(once, lambda rows, n: rows.write.mode("overwrite").parquet(f"{folder}/part={n}"), checkpoint=checkpoint)
+    return _read_parts(spark, folder, _typed(matches))
 
-    def tell(rows: DataFrame, n: int) -> None:
-        fresh = rows.distinct()
-        if n:
-            earlier = [f"{folder}/part={i}" for i in range(n)]
-            told = rows.sparkSession.read.schema(schema).option("recursiveFileLookup", "true").parquet(*earlier)
-            fresh = fresh.join(told, ["watch_id", "candidate_id"], "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{folder}/part={n}")
 
-    drain(matches, tell)
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
+def watch_on_ingest(arrivals: DataFrame, candidates: DataFrame, watches: DataFrame, folder: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Drain a stream of arrived observations: candidates that name one (``observation_id``) are met with the watches, and each match is told once.
+
+    Candidates that name no arrival cost nothing further.
+    """
+    named = arrivals.select("observation_id").dropDuplicates(["observation_id"]).join(candidates, "observation_id")
+    return once_only(watch.watch_matches(watches, named), folder, checkpoint)
 
 
 def read_log(spark: SparkSession, sf_dir: str, name: str, schema) -> DataFrame:
