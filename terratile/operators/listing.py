@@ -296,3 +296,11 @@ def point_relation(points: DataFrame, rings: DataFrame, cell: float = 1.0) -> Da
     cells = points.withColumns({"cx": F.floor(F.col("lon") / cell), "cy": F.floor(F.col("lat") / cell)})
     met = cells.join(spread(boxes, cell), ["cx", "cy"])
     return met.where(within_ring(F.col("lon"), F.col("lat"), F.col("ring"))).select("point_id", "ring_id")
+
+
+def sensor_dossier(observations: DataFrame, needle: str) -> DataFrame:
+    """The first observation of each place and year with its catalogue fields and the first number of its metadata (JSON) named like ``needle``."""
+    year = F.substring("acquired_at", 1, 4)
+    order = Window.partitionBy("place", year).orderBy("acquired_at", "observation_id")
+    first = observations.withColumn("year", year).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return first.join(first_number(first, "observation_id", "metadata", needle), "observation_id")

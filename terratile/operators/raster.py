@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terratile.functions.columns import clip, normalised_difference
+from terratile.operators import scan
 from terratile.operators.graph import connected_components
 
 #: Scene classes that count as clear ground (fixed values).
@@ -72,9 +73,8 @@ def component_shapes(labelled: DataFrame, min_px: int = 1) -> DataFrame:
 def range_summary(rows: DataFrame, value: str, *group: str) -> DataFrame:
     """Per group: least, 2nd percentile, mean, median, 98th percentile and greatest of the values there are."""
     cut = {"p2": 0.02, "median": 0.5, "p98": 0.98}
-    return rows.groupBy(*group).agg(
-        F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), *[F.percentile(value, q).alias(k) for k, q in cut.items()]
-    )
+    ends = rows.groupBy(*group).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"))
+    return ends.join(scan.quantiles(rows, list(group), value, cut), list(group))
 
 
 def band_reliability(rows: DataFrame, pairs: list[tuple[str, str]], *group: str) -> DataFrame:

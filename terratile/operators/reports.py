@@ -76,6 +76,19 @@ def radar_agreement(findings: DataFrame, scene_db: float, drop: float = -1.0) ->
     return out.withColumn("agreement", F.when(F.col("n_covered") > 0, F.col("n_agree") / F.col("n_covered")))
 
 
+def latency_summary(rows: DataFrame, group: str, value: str, cuts: dict[str, float]) -> DataFrame:
+    """Per group the count, the quantiles ``cuts`` and the greatest value; a group may be of any size."""
+    ends = rows.groupBy(group).agg(F.count(value).alias("n"), F.max(value).alias("most"))
+    return ends.join(scan.quantiles(rows, [group], value, cuts), group)
+
+
+def spectral_evidence(stats: DataFrame, names: list[str]) -> DataFrame:
+    """Tile statistics as evidence: ``usable`` where a pixel is valid, null statistics where none is, and ``patch_m``, the side of a seventh of a tile's degree at its middle latitude."""
+    usable = F.col("n_valid") > 0
+    rows = stats.withColumns({"usable": usable} | {c: F.when(usable, F.col(c)) for c in names})
+    return rows.withColumn("patch_m", F.cos(F.radians("mid_lat")) * 111320 / 7)
+
+
 def index_table(pixels: DataFrame, side: int, clear: list[int]) -> DataFrame:
     """Per observation and tile with a valid pixel: valid share, mean indices over valid pixels (4 digits), water share."""
     ok = F.col("scl").isin(*clear)

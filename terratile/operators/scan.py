@@ -58,14 +58,29 @@ def shard_digests(rows: DataFrame, order: list[Column], text: Column, size: int)
     return shards.select("shard", "n_rows", F.sha2(F.array_join(F.transform("r", lambda x: x["_text"]), "\n"), 256).alias("sha256"))
 
 
-def fingerprint(rows: DataFrame, order: list[Column], text: Column, size: int = 1000) -> DataFrame:
-    """One row: row count and a digest of digests over shards in order, level on level until one shard is left."""
+def fingerprint(rows: DataFrame, order: list[Column], text: Column, size: int = 1000, levels: int = 3) -> DataFrame:
+    """One row: row count and a digest of digests over shards in order, ``levels`` times and on until one shard is left."""
     total = rows.agg(F.count("*").alias("n_rows"))
     left = rows.count()
-    while True:
+    while levels > 0 or left > 1:
         rows = shard_digests(rows, order, text, size).select("shard", "sha256")
-        order, text, left = [F.col("shard")], F.col("sha256"), -(-left // size)
-        if left <= 1:
-            break
         rows = stage_table(rows, "digests")
+        order, text, left, levels = [F.col("shard")], F.col("sha256"), -(-left // size), levels - 1
     return total.crossJoin(rows.select("sha256"))  # one row each
+
+
+def quantiles(rows: DataFrame, group: list[str], value: str, cuts: dict[str, float]) -> DataFrame:
+    """Per group the quantiles of a value, linear between neighbours, by running positions: no task holds a group.  Nulls are left out."""
+    known = rows.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"), F.xxhash64(F.monotonically_increasing_id()).alias("_tie"))
+    placed = running(known, group, [F.col("_v"), F.col("_tie")], {"_at": F.lit(1)})
+    sizes = stage_table(placed, "placed")
+    n = sizes.groupBy(*group).agg(F.count("*").alias("_n"))
+    sized = sizes.join(n, group) if group else sizes.crossJoin(F.broadcast(n))  # one row
+    aggs = []
+    for name, q in cuts.items():
+        spot = (F.col("_n") - 1) * q + 1
+        for k, at in (("low", F.floor(spot)), ("high", F.ceil(spot))):
+            aggs.append(F.max(F.when(F.col("_at") == at, F.col("_v"))).alias(f"_{name}_{k}"))
+    out = sized.groupBy(*group).agg(F.max("_n").alias("_n"), *aggs)
+    between = {name: F.col(f"_{name}_low") + (F.col(f"_{name}_high") - F.col(f"_{name}_low")) * ((F.col("_n") - 1) * q - F.floor((F.col("_n") - 1) * q)) for name, q in cuts.items()}
+    return out.select(*group, *[v.alias(k) for k, v in between.items()])

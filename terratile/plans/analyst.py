@@ -266,35 +266,18 @@ def _(b):
     return scan.positions(rows, [F.desc("confidence"), F.col("candidate_id")], "rank")
 
 
-_SHARDS = "SELECT CAST(floor((n - 1) / 100) AS BIGINT) AS shard, count(*) AS n_rows, sha256(string_agg(t, chr(10) ORDER BY n)) AS sha256 FROM (SELECT row_number() OVER (ORDER BY vec_id) AS n, concat(vec_id, ':', label) AS t FROM {vectors}) GROUP BY 1"
-
-
-@query("a21_vector_shards", _SHARDS)
-def _(b):
-    text = F.concat_ws(":", F.col("vec_id").cast("string"), F.col("label").cast("string"))
-    return scan.shard_digests(b("vectors").select("vec_id", "label"), [F.col("vec_id")], text, 100)
-
-
 def _level(source: str, order: str, text: str) -> str:
     return f"SELECT CAST(floor((n - 1) / 1000) AS BIGINT) AS shard, sha256(string_agg(t, chr(10) ORDER BY n)) AS h FROM (SELECT row_number() OVER (ORDER BY {order}) AS n, {text} AS t FROM {source}) GROUP BY 1"
 
 
-_THREE = _level(f"({_level('(' + _level('{tiles}', 'tile_id', 'concat(tile_id, chr(124), observation_id)') + ')', 'shard', 'h')})", "shard", "h")
+_THREE = _level(f"({_level('(' + _level('{tiles}', 'tile_id', 'concat_ws(chr(124), tile_id, observation_id, row_no, col_no, coalesce(vec_id, -1), CAST(round(west * 10) AS BIGINT), CAST(round(south * 10) AS BIGINT), CAST(round(cloud * 100) AS BIGINT))') + ')', 'shard', 'h')})", "shard", "h")
 
 
 @query("d2_fingerprint", f"SELECT (SELECT count(*) FROM {{tiles}}) AS n_rows, h AS sha256 FROM ({_THREE})")
 def _(b):
-    text = F.concat_ws("|", F.col("tile_id").cast("string"), F.col("observation_id").cast("string"))
-    return scan.fingerprint(b("tiles").select("tile_id", "observation_id"), [F.col("tile_id")], text)
-
-
-@query(
-    "d21_latency_summary",
-    """SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS most FROM {measures} GROUP BY event_type""",
-)
-def _(b):
-    cut = {"median": 0.5, "p95": 0.95, "p99": 0.99}
-    return b("measures").groupBy("event_type").agg(F.count("*").alias("n"), *[F.round(F.percentile("value", q), 6).alias(k) for k, q in cut.items()], F.max("value").alias("most"))
+    whole = [F.round(F.col(c) * m).cast("long") for c, m in (("west", 10), ("south", 10), ("cloud", 100))]
+    cells = [*map(F.col, ("tile_id", "observation_id", "row_no", "col_no")), F.coalesce("vec_id", F.lit(-1)), *whole]
+    return scan.fingerprint(b("tiles"), [F.col("tile_id")], F.concat_ws("|", *[c.cast("string") for c in cells]))
 
 
 # ---- lists of search results

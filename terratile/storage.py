@@ -17,6 +17,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 _scopes: list[list[str]] = []
@@ -46,6 +47,11 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
+    """``df``, a written table, with a broadcast hint if its rows of ``row_bytes`` each come to ``limit`` bytes at most; else as it is, for a shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
 @contextlib.contextmanager
 def staged_tables(spark: SparkSession) -> Iterator[None]:
     """Tables and files staged inside go when the block ends; write what is to stay before that."""
