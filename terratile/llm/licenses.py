@@ -2,7 +2,7 @@
 
 The words of a text (A-Z lower-cased, runs of digits, a-z and non-ASCII
 characters) are joined by blanks.  Rules are regular expressions over that
-line; a rule is tried only where the line holds its keyword.  Every match is an
+line; a rule is tried only where a word of the line begins with its keyword.  Every match is an
 interval of words, with at least the priority of every interval inside it.
 Intervals are taken by priority, then longer first, then by start, then by rule
 order; one that lies inside or overlaps an interval kept before it is suppressed
@@ -52,7 +52,8 @@ LICENSES = [
     ("beerware", "beerware", r"beerware"),
     ("blueoak-1.0.0", "blue oak", r"blue oak model(?: license)?(?: 1 0 0)?"),
     ("bsd-1-clause", "bsd", r"bsd 1 clause"),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|simplified bsd|freebsd)"),
+    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|simplified bsd)"),
+    ("bsd-2-clause", "freebsd", r"freebsd"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|new bsd|revised bsd|modified bsd)"),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|original bsd)"),
     ("bsd", "bsd", r"bsd"),
@@ -66,9 +67,9 @@ LICENSES = [
     ("cc-by-nd", "cc by nd", r"cc by nd(?: [1-4] [05])?"),
     ("cc-by-sa", "cc by sa", r"cc by sa(?: [1-4] [05])?"),
     ("cc-by", "cc by", r"cc by(?: [1-4] [05])?"),
-    ("cc-by-nc-nd", "commercial", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s"),
-    ("cc-by-nc-sa", "commercial", r"creative commons attribution non ?commercial share ?alike"),
-    ("cc-by-nc", "commercial", r"creative commons attribution non ?commercial"),
+    ("cc-by-nc-nd", "creative commons", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s"),
+    ("cc-by-nc-sa", "creative commons", r"creative commons attribution non ?commercial share ?alike"),
+    ("cc-by-nc", "creative commons", r"creative commons attribution non ?commercial"),
     ("cc-by-sa", "creative commons", r"creative commons attribution share ?alike"),
     ("cc-by-nd", "creative commons", r"creative commons attribution no ?deriv(?:ative)?s"),
     ("cc-by", "creative commons", r"creative commons attribution"),
@@ -243,14 +244,15 @@ FORMS = [
 PLAIN = {"cc0", "gplv2", "gplv3", "unlicense", "wtfpl", "cc by", "cc by nc", "cc by nd", "cc by sa", "general public", "lesser general", "library general", "affero", "lgpl", "0bsd", "zero clause"}
 
 
-#: Words of which each rule's matches hold at least one; texts without any are done.
-GATE = "|".join(
-    [
-        "licen[cs]|cc by|cc0|gpl|0bsd|zero clause|wtfpl|general public|affero",
-        "released|distributed|available|published|covered|governed|provided",
-        *sorted({key for _, key, _, _ in NOTICES}),
-    ]
-)
+#: Words of which each match of a rule holds at least one; texts without any are done.
+GATE = """
+license licence licensed licenced relicensed relicenced released distributed available published covered governed provided cc cc0 gpl gplv2 gplv3 lgpl general affero unlicense wtfpl 0bsd zero
+rights copyright public permission proprietary redistribute redistributed redistribution redistributions warranty warranties version endorse advertising altered origin executable unencumbered fuck
+gpl2 gpl3 lgpl2 lgpl3 lgplv2 lgplv3 gplversion lgplversion retain evil openssl php charityware except artistic network library program waived font confidential trade unauthorized evaluation commercial
+""".split()
+
+#: Words of which each base phrase holds one.
+BASE_WORDS = ["cc", "general", "reserved"]
 
 
 def signatures() -> list[tuple[str, str, str, int]]:
@@ -325,15 +327,18 @@ def _survivors(found: DataFrame) -> DataFrame:
 def license_scan(docs: DataFrame) -> DataFrame:
     """doc_id, counts and places of base phrases, labels and score of each row."""
     lines = docs.select("doc_id", word_line(F.col("text")).alias("words"), F.monotonically_increasing_id().alias("row_no"))
-    lines = lines.select("row_no", "doc_id", "words", F.concat(F.lit(" "), "words", F.lit(" ")).alias("line"))
+    lines = lines.withColumns({"line": F.concat(F.lit(" "), "words", F.lit(" ")), "list": F.split("words", " ")})
+    has = lambda some: F.arrays_overlap("list", F.array(*map(F.lit, some)))
+    lines = lines.select("row_no", "doc_id", "line", F.when(F.col("words") == "", 0).otherwise(F.size("list")).cast("long").alias("n_words"), has(GATE).alias("gated"), has(BASE_WORDS).alias("based"))
     line = F.col("line")
     keys = F.array(*map(F.lit, sorted({key for _, key, _, _ in signatures()})))
-    lines = lines.withColumn("present", F.when(line.rlike(GATE), F.filter(keys, lambda k: F.contains(line, k))))
-    base = [(F.when(_places(line, p) > 0, F.lit(label)), _places(line, p), _first(line, p), _last(line, p)) for p, label in BASE.items()]
+    lines = lines.withColumn("present", F.when(F.col("gated"), F.filter(keys, lambda k: F.contains(line, F.concat(F.lit(" "), k)))))
+    of = lambda value: F.when(F.col("based"), value)
+    base = [(of(F.when(_places(line, p) > 0, F.lit(label))), F.coalesce(of(_places(line, p)), F.lit(0)), of(_first(line, p)), of(_last(line, p))) for p, label in BASE.items()]
     rows = lines.select(
         "row_no",
         "doc_id",
-        F.when(F.col("words") == "", 0).otherwise(_blanks(F.col("words")) + 1).cast("long").alias("n_words"),
+        "n_words",
         sum((b[1] for b in base), F.lit(0)).cast("long").alias("n_base"),
         F.least(*[b[2] for b in base]).cast("long").alias("first_word"),
         F.greatest(*[b[3] for b in base]).cast("long").alias("last_word"),
