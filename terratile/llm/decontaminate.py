@@ -21,7 +21,10 @@ in place, and only those that hit a signature become rows.  The signatures are
 joined with a broadcast if Spark finds their measured size under its threshold,
 else by a shuffle of hashes.
 
-A document is known by its doc_id and the SHA-1 of its text, so rows are judged
+Rows of candidates lead back to their texts by a broadcast if their counted
+number makes them small, else by a shuffle.
+
+A document is known by its doc_id and two 64-bit hashes of its text, so rows are judged
 singly: rows that share an id (or have none) do not answer for each other, and
 rows that share id and text give one result.  Items are told apart in the same
 way.  Nulls: a null text is empty: no shingles, contained nowhere, containing
@@ -34,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terratile.llm.text import word_array
-from terratile.storage import stage_table
+from terratile.storage import broadcast_if_small, stage_table
 
 WIDTH, THRESHOLD = 5, 0.8
 
@@ -67,7 +70,8 @@ def _shingles(width: Column, most: int) -> Column:
 
 
 def _digest() -> Column:
-    return F.sha1(F.coalesce("text", F.lit("")))
+    text = F.coalesce("text", F.lit(""))
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
 
 
 def item_shingles(items: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -103,7 +107,7 @@ def _contained(docs: DataFrame, items: DataFrame, width: int, threshold: float)
         hashed = words.select("doc_id", "digest", "words", F.explode(_starts(w)).alias("at"))
         hashed = hashed.select("doc_id", "digest", F.lit(w).alias("width"), _hash(F.col("at"), w).alias("hash"))
     found = hashed.join(signed, ["hash", "width"]).select("doc_id", "digest", "item_no").distinct()
-    found = stage_table(found, "candidates").toDF("_doc", "_digest", "item_no")
+    found = broadcast_if_small(stage_table(found, "candidates"), 64).toDF("_doc", "_digest", "item_no")
     met = words.join(found, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).join(shingles.drop("hashes"), "item_no")
     shared = F.size(F.array_intersect(_shingles(F.col("width"), width), F.col("shingles"))).cast("long")
     met = met.select("doc_id", "digest", "item_no", "item_id", shared.alias("n_shared"), F.col("n").alias("n_item"))
@@ -118,6 +122,7 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, thres
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that contain no item, with the columns of ``docs``."""
-    hit = stage_table(_contained(docs, items, width, threshold).select("doc_id", "digest").distinct(), "hits").toDF("_hit", "_digest")
+    hit = stage_table(_contained(docs, items, width, threshold).select("doc_id", "digest").distinct(), "hits")
+    hit = broadcast_if_small(hit, 64).toDF("_hit", "_digest")
     whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), _digest().alias("_sha1"))
     return whole.join(hit, (F.col("_sha1") == F.col("_digest")) & F.col("_id").eqNullSafe(F.col("_hit")), "left_anti").select("_row.*")
