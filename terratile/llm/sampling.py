@@ -20,16 +20,19 @@ def sample_ids(labelled: DataFrame, per_label: int) -> DataFrame:
     """(doc_id, label): of each label the ``per_label`` ids that come first in a hashed order.
 
     Rows without id or label and rows of fold 0 take no part; an id with several
-    labels has the smallest.  Counts by label and hash bucket, summed before
-    they are shuffled, tell in which bucket a label has enough; only ids up to
-    that bucket are ranked, so no task meets a label's rows.
+    labels has the smallest.  Counts by label and the hash's first ten bits,
+    summed before they are shuffled, tell up to which of them a label has
+    enough; within the last, the next ten bits do.  Only what is left is ranked,
+    so no task meets a label's rows.
     """
     known = labelled.select("doc_id", "label").dropna().where(fold(F.col("doc_id")) != 0)
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"))
-    known = known.withColumn("hash", F.xxhash64("doc_id")).withColumn("bucket", F.shiftrightunsigned("hash", 44))
-    sizes = known.groupBy("label", "bucket").count()
-    so_far = F.sum("count").over(Window.partitionBy("label").orderBy("bucket"))
-    cut = sizes.withColumn("so_far", so_far).groupBy("label").agg(F.min(F.when(F.col("so_far") >= per_label, F.col("bucket"))).alias("cut"))
-    few = known.join(cut, "label").where(F.col("cut").isNull() | (F.col("bucket") <= F.col("cut")))
-    order = Window.partitionBy("label").orderBy("bucket", "hash", "doc_id")
-    return few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_label).select("doc_id", "label")
+    left = known.withColumn("hash", F.xxhash64("doc_id"))
+    for shift in (54, 44):
+        bits = F.shiftrightunsigned("hash", shift)
+        sizes = left.groupBy("label", bits.alias("bits")).agg(F.count("*").alias("n"))
+        run = F.sum("n").over(Window.partitionBy("label").orderBy("bits"))
+        cut = sizes.withColumn("run", run).groupBy("label").agg(F.min(F.when(F.col("run") >= per_label, F.col("bits"))).alias("cut"))
+        left = left.join(cut, "label").where(F.col("cut").isNull() | (bits <= F.col("cut"))).drop("cut")
+    order = Window.partitionBy("label").orderBy(F.shiftrightunsigned("hash", 44), "hash", "doc_id")
+    return left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_label).select("doc_id", "label")
