@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terratile.storage import stage_table
+from terratile.llm.text import give_back
 
 WINDOW = 5
 SPACE = b" \t\n\x0b\x0c\r"
@@ -73,7 +73,9 @@ def counts(text: str | None) -> tuple[int, ...]:
 
 @F.pandas_udf(_SCHEMA)
 def _counts(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([counts(t) for t in texts], columns=COUNTS + MORE, dtype="int64")
+    found = pd.DataFrame([counts(t) for t in texts], columns=COUNTS + MORE, dtype="int64")
+    give_back()
+    return found
 
 
 def _vote(value: Column, good: float, bad: float) -> Column:
@@ -127,12 +129,12 @@ def fit(patterns: np.ndarray, weights: np.ndarray, rounds: int = 200) -> tuple[n
 def judged(docs: DataFrame, columns: list[str], keep_at: float = 0.5) -> DataFrame:
     """``columns`` of ``docs`` with COUNTS, base_failed, kept and p_good.
 
-    The counts are computed once, written with the rows in the shared folder,
-    and read for the pattern counts and for the verdicts.
+    The counts are made twice, for the patterns and for the verdicts, since
+    writing the rows in between would cost as much disk as they have.
     """
     names = list(rules())
     own = [c for c in columns if c.lower() not in {*COUNTS, "base_failed", "p_good", "kept"}]
-    counted = stage_table(docs.select(F.struct(*own).alias("_own"), _counts("text").alias("_counts")), "counted")
+    counted = docs.select(F.struct(*own).alias("_own"), _counts("text").alias("_counts"))
     code = sum(((v + 1) * F.lit(3**i) for i, v in enumerate(rules().values())), F.lit(0)).cast("int")
     found = counted.select("_counts.*").select(code.alias("code")).groupBy("code").count()
     found = found.orderBy("code").collect()  # 3 ** rules rows at most

@@ -44,9 +44,15 @@ def test_stage_keeps_one_of_each_group_of_similar_texts(spark):
     want = kept_by_pairs(texts)
     got = [r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, SF).collect()]
     assert len(got) == len(set(got)) and set(got) == want
-    assert {r.doc_id for r in near_copies.keep_first_similar(docs, shard_rows=3).collect()} == want
+    assert {r.doc_id for r in near_copies.keep_first_similar(docs, group_bytes=3000).collect()} == want
 
 
 def test_shingles_are_five_words_as_a_set():
     assert near_copies.shingles("A b c  d\ne f") == {b"a b c d e", b"b c d e f"}
     assert near_copies.shingles("x y") == {b"x y"} and near_copies.shingles(None) == set()
+
+
+def test_columns_that_clash_stay(spark):
+    rows = [(1, "a b", 5, 6, "d", None), (2, "A b", 7, 8, "e", 1), (None, None, 0, 0, "", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_no long, fp long, digest string, size long")
+    assert set(map(tuple, near_copies.keep_first_similar(docs).collect())) == {rows[0], rows[2]}

@@ -2,10 +2,11 @@
 
 import subprocess
 import sys
+from itertools import combinations
 from pathlib import Path
 
 import corpus_pipeline
-from terratile.llm import decontaminate, quality_crf, quality_rules, simhash
+from terratile.llm import decontaminate, near_copies, quality_crf, quality_rules
 from terratile.llm.queries import _read
 
 SF = "/root/testdata/sf0.001"
@@ -19,15 +20,12 @@ def test_rows_of_the_pipeline(spark):
     field = quality_crf.fit_on(left, labels)
     order = sorted(good)
     kept = [i for i, s in zip(order, field.score([rows[i].text for i in order]), strict=True) if s >= 0.3]
-    prints = {i: simhash.fingerprint(rows[i].text) for i in kept}
+    sets = {i: near_copies.shingles(rows[i].text) for i in kept}
     part = {i: i for i in kept}
-    changed = True
-    while changed:
-        changed = False
-        for i in kept:
-            for j in kept:
-                if part[j] < part[i] and (prints[i] ^ prints[j]).bit_count() <= 4:
-                    part[i], changed = part[j], True
+    for i, j in combinations(kept, 2):
+        if part[i] != part[j] and (sets[i] == sets[j] or near_copies.jaccard(sets[i], sets[j]) >= 0.8):
+            low, high = sorted((part[i], part[j]))
+            part = {k: low if p == high else p for k, p in part.items()}
     first = {i for i in kept if part[i] == i}
     hit = {r.doc_id for r in decontaminate.contained_items(docs, items).collect()}
     got = {r.doc_id: r.text for r in corpus_pipeline.run(spark, SF).collect()}
