@@ -255,14 +255,14 @@ def scene_parts(scene_id: Column) -> dict[str, Column]:
 
 def radii(text: Column, low: float = 10.0, high: float = 100_000.0, most: int = 8) -> Column:
     """Sorted distinct numbers of a comma-separated text; 1 to ``most`` of them within bounds, or an error."""
-    values = F.array_sort(F.array_distinct(F.transform(F.split(text, ","), lambda x: F.trim(x).cast("double"))))
+    values = F.array_sort(F.array_distinct(F.transform(F.split(text, ","), lambda x: F.trim(x).try_cast("double"))))
     good = F.size(values).between(1, most) & F.forall(values, lambda v: F.coalesce(v.between(low, high), F.lit(False)))
     return F.when(good, values).otherwise(F.raise_error(F.concat(F.lit("not a list of radii: "), text)))
 
 
 def bbox_of(text: Column) -> Column:
     """Struct west, south, east, north of four comma-separated numbers, or an error."""
-    v = F.transform(F.split(text, ","), lambda x: F.trim(x).cast("double"))
+    v = F.transform(F.split(text, ","), lambda x: F.trim(x).try_cast("double"))
     good = (F.size(v) == 4) & F.forall(v, lambda x: x.isNotNull()) & (v[0] <= v[2]) & (v[1] <= v[3])
     box = F.struct(v[0].alias("west"), v[1].alias("south"), v[2].alias("east"), v[3].alias("north"))
     return F.when(good, box).otherwise(F.raise_error(F.concat(F.lit("not a box: "), text)))

@@ -406,11 +406,11 @@ def conversion_faults(images: DataFrame, labels: DataFrame) -> DataFrame:
     files = labels.select("image_id").distinct().withColumn("_l", F.lit(1))
     pairs = images.select("image_id").distinct().withColumn("_i", F.lit(1)).join(files, "image_id", "full")
     parts = labels.where("line IS NOT NULL").withColumn("f", F.split(F.trim("line"), r"\s+"))
-    values = F.transform(F.slice("f", 2, 8), lambda v: v.cast("double"))
+    values = F.transform(F.slice("f", 2, 8), lambda v: v.try_cast("double"))
     tests = {
         "image_without_labels": pairs.where("_l IS NULL"), "labels_without_image": pairs.where("_i IS NULL"), "not_nine_fields": parts.where(F.size("f") != 9),
         "value_out_of_range": parts.where((F.size("f") == 9) & F.exists(values, lambda v: F.coalesce(~v.between(0.0, 1.0), F.lit(True)))),
-        "unknown_class": parts.where(F.coalesce(~F.col("f")[0].cast("int").between(0, 7), F.lit(True))),
+        "unknown_class": parts.where(F.coalesce(~F.col("f")[0].try_cast("int").between(0, 7), F.lit(True))),
         "image_in_two_splits": images.groupBy("image_id").agg(F.count_distinct("split").alias("n")).where("n > 1"),
     }
     return reduce(DataFrame.union, [df.agg(F.lit(rule).alias("rule"), F.count("*").alias("n")) for rule, df in tests.items()])
