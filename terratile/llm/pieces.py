@@ -33,9 +33,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terratile.llm.text import give_back
+
 MARK, HIDDEN = "▁", "\udc81"  # a literal mark is hidden, so that it is spelled in bytes
 UNIT = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
-UNITS, SHORT, SOME = 120_000, 48, 4096
+UNITS, SHORT, SOME = 60_000, 48, 4096
 ALPHA, SEED = 1.0, 1
 
 
@@ -262,6 +264,7 @@ def sampled_pieces(docs: DataFrame, model_path: str, alpha: float = ALPHA, seed:
                         "text": back, "lossless": [a == b for a, b in zip(texts, back, strict=True)],
                     }
                 )
+            give_back()
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     out = rows.mapInPandas(run, "doc_id string, n_pieces long, ids array<int>, ids_crc32 long, text string, lossless boolean")

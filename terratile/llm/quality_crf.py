@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terratile.llm.sampling import held_out, sample_ids
+from terratile.llm.text import give_back
 from terratile.llm.token_files import slices
 
 DOCS, ROUNDS = 1500, 150
@@ -201,7 +202,8 @@ def scored(docs: DataFrame, field: Field, name: str = "score") -> DataFrame:
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         sizes = texts.str.len().fillna(0).to_numpy(np.int64)
-        parts = [shared.value.score(texts.iloc[a:b].tolist()) for a, b in slices(sizes, 1 << 23)]
+        parts = [shared.value.score(texts.iloc[a:b].tolist()) for a, b in slices(sizes, 1 << 21)]
+        give_back()
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return docs.withColumn(name, score("text"))
