@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terratile.llm import chat, decontaminate, language, licenses, pieces, quality_crf, quality_rules, simhash, token_files, warc
+from terratile.llm import chat, decontaminate, divergence, hard_negatives, language, licenses, pieces, quality_crf, quality_rules, simhash, token_files, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,10 +65,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(_read(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(hard_negatives.relabelled(_read(spark, sf_dir, "embeddings")))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_read(spark, sf_dir, "documents"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_token_files, op2_warc, op3_simhash, op4_licenses, op5_decontamination,
-        op6_language, op7_quality_crf, op8_chat, op9_pieces, op10_quality_rules,
+        op6_language, op7_quality_crf, op8_chat, op9_pieces, op10_quality_rules, op11_hard_negatives, op12_divergence, op13_toxicity,
     )
     return {f.__name__: f for f in found}
 
@@ -102,6 +114,36 @@ FROM ds JOIN si ON ds.s = si.s AND ds.l = si.l JOIN n USING (item_no)
 GROUP BY doc_id, t, item_no, item_id HAVING count(*) >= 0.8 * any_value(n_item) - 1e-9
 """
 
+HARD_NEGATIVES_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS e FROM embeddings
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, CAST(list_sum(list_transform(list_zip(a.e, v.e), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM v a JOIN v ON a.vec_id % 100 = 0 AND a.vec_id <> v.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, vec_id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
+DIVERGENCE_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS no, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+c AS (SELECT lang, source, no, t, count(*) AS n FROM (SELECT lang, source, no, unnest(w) AS t FROM d) GROUP BY ALL),
+k AS (SELECT lang, t, sum(n)::BIGINT AS n_all FROM c GROUP BY lang, t HAVING count(*) >= 30),
+l AS (SELECT lang, count(*) AS v, sum(n_all)::BIGINT AS n_lang FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT c.lang, c.source, c.t, sum(c.n)::BIGINT AS n FROM c JOIN k USING (lang, t) GROUP BY ALL),
+z AS (SELECT lang, source, sum(n)::BIGINT AS total FROM s GROUP BY ALL),
+a AS (SELECT g.lang, g.source, k.t, coalesce(s.n, 0) AS n,
+      1 + (1000000000::HUGEINT * (coalesce(s.n, 0) + 5)) // (coalesce(z.total, 0) + 5 * l.v) AS p, 1 + (1000000000::HUGEINT * (k.n_all + 5)) // (l.n_lang + 5 * l.v) AS q
+      FROM g JOIN k ON g.lang = k.lang JOIN l ON l.lang = g.lang LEFT JOIN z ON z.lang = g.lang AND z.source = g.source
+      LEFT JOIN s ON s.lang = g.lang AND s.source = g.source AND s.t = k.t),
+m AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM a JOIN a b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(m.value, 0) AS value FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source
+      LEFT JOIN m ON m.lang = g.lang AND m.source = g.source AND m.item = h.source
+      UNION ALL SELECT lang, source, 'term', t, p - q FROM a WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)))::INT AS rank FROM r
+QUALIFY part = 'pair' OR rank <= 50
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": WARC_SQL, "op5_decontamination": DECONTAMINATION_SQL}
+    return {"op2_warc": WARC_SQL, "op5_decontamination": DECONTAMINATION_SQL, "op11_hard_negatives": HARD_NEGATIVES_SQL, "op12_divergence": DIVERGENCE_SQL}
