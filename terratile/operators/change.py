@@ -148,12 +148,17 @@ def confidence(cfg: Config = Config()) -> Column:
     return clip(mean * (gates_ * penalty) * radar, 0.0, 1.0)
 
 
-def persistence_class(flags: Column, span: Column) -> Column:
-    """Class of the consecutive pairs' flags (in order) and of the first-to-last pair's flag."""
-    early, later = F.get(flags, F.lit(0)), F.exists(F.slice(flags, F.lit(2), F.greatest(F.size(flags) - 1, F.lit(0))), lambda f: f)
-    return (
-        F.when(F.size(flags) == 0, "none")
-        .when(F.size(flags) == 1, F.when(early, "single_pair").otherwise("none"))
+def persistence_classes(rows: DataFrame, span: Column) -> DataFrame:
+    """(candidate_id, persistence): the class of a candidate's consecutive pairs (``at``, ``flag``) and of ``span``, the first-to-last pair's flag as an aggregate.
+
+    Only the number of pairs, the first one's flag and whether any later one
+    is set count, so a candidate's pairs are summed where they lie.
+    """
+    of = rows.groupBy("candidate_id").agg(F.count("*").alias("n"), F.min_by("flag", "at").alias("early"), F.count_if("flag").alias("set"), span.alias("span"))
+    span, early = F.col("span"), F.coalesce("early", F.lit(False))
+    later = F.col("set") > early.cast("long")
+    kind = (
+        F.when(F.col("n") == 1, F.when(early, "single_pair").otherwise("none"))
         .when(~span & ~early & ~later, "none")
         .when(~span & early & later, "inconsistent")
         .when(~span, "transient")
@@ -162,6 +167,7 @@ def persistence_class(flags: Column, span: Column) -> Column:
         .when(later, "recent")
         .otherwise("transient")
     )
+    return of.select("candidate_id", kind.alias("persistence"))
 
 
 def suppression_summary(rows: DataFrame) -> DataFrame:

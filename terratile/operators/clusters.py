@@ -24,12 +24,21 @@ def assign_nearest(vectors: DataFrame, centroids: DataFrame, least: float | None
     """
     packed = centroids.agg(F.array_sort(F.collect_list(F.struct("label", "centre"))).alias("all"), F.count("*").alias("k"))
     packed = packed.select(F.when(F.col("k") <= most_centroids, F.col("all")).otherwise(F.raise_error(F.lit("too many centroids for one row"))).alias("all"))
-    near = F.transform("all", lambda c: F.struct((-inner_product(F.col("embedding"), c["centre"])).alias("far"), c["label"].alias("label")))
-    rows = vectors.crossJoin(F.broadcast(packed)).select("vec_id", F.array_sort(near).alias("near"))  # packed is one row of a checked length
-    best = -F.col("near")[0]["far"]
-    second = F.coalesce(-F.try_element_at("near", F.lit(2))["far"], F.lit(0.0))
-    label = F.col("near")[0]["label"] if least is None else F.when(best < least, F.lit(-1)).otherwise(F.col("near")[0]["label"])
-    return rows.select("vec_id", label.alias("assigned"), best.alias("similarity"), (best - second).alias("margin"))
+    rows = vectors.crossJoin(F.broadcast(packed))  # packed is one row of a checked length
+    # one pass over the centroids keeps the best two; they come by label, so an equal score does not displace
+    scored = F.transform("all", lambda c: F.struct(c["label"].alias("label"), inner_product(F.col("embedding"), c["centre"]).alias("s")))
+    none = F.lit(None)
+    start = F.struct(none.cast(centroids.schema["label"].dataType).alias("label"), none.cast("double").alias("best"), none.cast("double").alias("second"))
+
+    def fold(acc: Column, c: Column) -> Column:
+        better = acc["best"].isNull() | (c["s"] > acc["best"])
+        second = F.when(better, acc["best"]).otherwise(F.greatest(acc["second"], c["s"]))
+        return F.struct(F.when(better, c["label"]).otherwise(acc["label"]).alias("label"), F.when(better, c["s"]).otherwise(acc["best"]).alias("best"), second.alias("second"))
+
+    near = rows.select("vec_id", F.aggregate(scored, start, fold).alias("n")).select("vec_id", "n.*")
+    best, second = F.col("best"), F.coalesce("second", F.lit(0.0))
+    label = F.col("label") if least is None else F.when(best < least, F.lit(-1)).otherwise(F.col("label"))
+    return near.select("vec_id", label.alias("assigned"), best.alias("similarity"), (best - second).alias("margin"))
 
 
 def _pairs(n: Column) -> Column:

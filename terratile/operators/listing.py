@@ -6,6 +6,7 @@ are column predicates, so those on stored columns reach the scan.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from terratile.functions.columns import within_ring
 from terratile.operators.watch import spread
+from terratile.storage import stage_table
 
 #: Other names of the two sensors (fixed values).
 RADAR = ["sentinel-1", "s1", "sar", "c-sar"]
@@ -197,27 +199,50 @@ def candidate_summary(rows: DataFrame, zones: DataFrame) -> DataFrame:
     )
 
 
+def is_number(value: str) -> Column:
+    kind = F.schema_of_variant(value)
+    return kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+
+
+def json_levels(start: DataFrame, step: str, together: int = 4) -> Iterator[DataFrame]:
+    """The levels of nested JSON, one by one, until no object or list is left.
+
+    ``start`` has a variant ``value``; ``step`` is SQL from {level} to the next
+    level, which keeps its columns.  ``together`` levels are planned at once;
+    what is nested deeper is written, as text, before it is opened further, so
+    the plan does not grow with the depth.
+    """
+    spark, level = start.sparkSession, start
+    while True:
+        for _ in range(together):
+            level = spark.sql(step, level=level)
+            yield level
+        kind = F.schema_of_variant("value")
+        inside = level.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
+        left = stage_table(inside.withColumn("value", F.to_json("value")), "json_level")
+        if left.isEmpty():
+            return
+        level = left.withColumn("value", F.parse_json("value"))
+
+
 def audit_rows(log: DataFrame) -> DataFrame:
     """The log without its snapshots (JSON), but with their sorted field names and whether there is one."""
     keys = F.array_sort(F.json_object_keys("snapshot"))
     return log.withColumns({"snapshot_keys": F.coalesce(F.array_join(keys, ","), F.lit("")), "has_snapshot": F.coalesce(F.size(keys) > 0, F.lit(False))}).drop("snapshot")
 
 
-def first_number(rows: DataFrame, key: str, document: str, needle: str, depth: int = 4) -> DataFrame:
+def first_number(rows: DataFrame, key: str, document: str, needle: str) -> DataFrame:
     """(key, found): of a JSON document the first number, level by level, whose field's name (lower case, ``:`` and ``-`` as ``_``) holds ``needle``.
 
-    Levels beyond ``depth`` are not looked at.
+    Looked for at any depth; null where there is none.  Of documents that share a key the first number of any is taken.
     """
-    level = rows.select(key, F.try_parse_json(document).alias("value"), F.array().cast("array<int>").alias("at"))
+    start = rows.select(key, F.try_parse_json(document).alias("value"), F.array().cast("array<int>").alias("at"))
+    number = is_number("value")
+    name = F.regexp_replace(F.lower(F.coalesce("name", F.lit(""))), "[:-]", "_")
     found = None
-    for _ in range(depth):
-        level.createOrReplaceTempView("_level")
-        inner = rows.sparkSession.sql(f"SELECT {key}, array_append(at, pos) AS at, key AS name, item AS value FROM (SELECT {key}, at, e.* FROM _level, LATERAL variant_explode(value) AS e(pos, key, item))")
-        name = F.regexp_replace(F.lower(F.coalesce("name", F.lit(""))), "[:-]", "_")
-        number = F.schema_of_variant("value").isin("BIGINT", "DOUBLE", "FLOAT") | F.schema_of_variant("value").startswith("DECIMAL")
+    for inner in json_levels(start, f"SELECT {key}, array_append(at, pos) AS at, key AS name, item AS value FROM (SELECT {key}, at, e.* FROM {{level}}, LATERAL variant_explode(value) AS e(pos, key, item))"):
         here = inner.where(name.contains(needle) & number).select(key, "at", F.try_variant_get("value", "$", "double").alias("number"))
         found = here if found is None else found.union(here)
-        level = inner.select(key, "value", "at")
     first = found.groupBy(key).agg(F.min(F.struct(F.size("at"), "at", "number")).alias("m")).select(key, F.col("m.number").alias("found"))
     return rows.select(key).join(first, key, "left")
 

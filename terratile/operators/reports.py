@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terratile.functions.columns import normalised_difference
 from terratile.operators import scan
+from terratile.operators.listing import is_number, json_levels
 
 KM_LAT, KM_LON = 110.57, 111.32
 
@@ -315,21 +316,13 @@ def distinct_labels(clusters: DataFrame) -> DataFrame:
     return again.withColumn("label", F.when((F.col("_m") > 1) & ~F.endswith("label", own), F.concat("concept", own)).otherwise(F.col("label"))).drop("_n", "_m")
 
 
-def flat_numbers(rows: DataFrame, key: str, document: str, depth: int = 4, skip: tuple = ("meta",)) -> DataFrame:
-    """(key, path, value): numbers of nested JSON objects by dotted path; lists, texts, booleans and the sections ``skip`` are left out.
-
-    Levels beyond ``depth`` are not looked at.
-    """
-    level = rows.select(key, F.lit("").alias("path"), F.try_parse_json(document).alias("value"))
+def flat_numbers(rows: DataFrame, key: str, document: str, skip: tuple = ("meta",)) -> DataFrame:
+    """(key, path, value): numbers of nested JSON objects by dotted path, at any depth; lists, texts, booleans and the top sections ``skip`` are left out."""
+    start = rows.select(key, F.lit("").alias("path"), F.try_parse_json(document).alias("value"))
+    step = f"""SELECT {key}, CASE WHEN path = '' THEN key ELSE path || '.' || key END AS path, item AS value FROM
+    (SELECT {key}, path, e.* FROM {{level}}, LATERAL variant_explode(value) AS e(pos, key, item)) WHERE key IS NOT NULL AND NOT (path = '' AND key IN ({", ".join(repr(s) for s in skip) or "NULL"}))"""
     found = None
-    for step in range(depth):
-        level.createOrReplaceTempView("_flat")
-        inner = rows.sparkSession.sql(f"SELECT {key}, CASE WHEN path = '' THEN key ELSE path || '.' || key END AS path, item AS value FROM (SELECT {key}, path, e.* FROM _flat, LATERAL variant_explode(value) AS e(pos, key, item)) WHERE key IS NOT NULL")
-        if step == 0:
-            inner = inner.where(~F.col("path").isin(*skip))
-        kind = F.schema_of_variant("value")
-        number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
-        here = inner.where(number).select(key, "path", F.try_variant_get("value", "$", "double").alias("value"))
+    for inner in json_levels(start, step):
+        here = inner.where(is_number("value")).select(key, "path", F.try_variant_get("value", "$", "double").alias("value"))
         found = here if found is None else found.union(here)
-        level = inner.where(kind.startswith("OBJECT"))
     return found

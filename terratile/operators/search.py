@@ -2,23 +2,97 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terratile.functions.columns import inner_product
 from terratile.operators import scan
+from terratile.storage import stage_table
+
+SEED_BYTES = 32 << 20  # of a block of seeds and of the best rows kept for it
 
 
 def top_k(vectors: DataFrame, seeds: DataFrame, k: int, keep_self: bool = False) -> DataFrame:
-    """Per seed (query_id, query) the k vectors of largest inner product; ties by vec_id.
+    """Per seed (query_id, query) the k vectors of largest inner product, with ``rank``; ties by vec_id.
 
-    The stated seeds are met with all vectors; Spark ranks within each partition
-    before the shuffle, so at most k rows a seed leave a partition.
+    Seeds go out in blocks of ``SEED_BYTES`` at most, one matrix per block;
+    a task multiplies it with its vectors, a batch of them at a time, and keeps
+    k rows a seed, so no pair of rows is ever formed as a row of a join.
+    Scores are summed in element order for the rows that can be among the k.
+    Rows without a vector, and seeds that have another length, have no score.
     """
-    scored = vectors.join(seeds, F.lit(True) if keep_self else F.col("vec_id") != F.col("query_id"))
-    scored = scored.select("query_id", "vec_id", "label", inner_product(F.col("embedding"), F.col("query")).alias("score"))
+    width = seeds.agg(F.max(F.size("query"))).first()[0] or 0
+    rows = max(1, SEED_BYTES // (8 * max(width, 1) + 32 * k))
+    count = seeds.count()
+    blocks = max(1, -(-count // rows))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    found = [_best_of_block(vectors, seeds.where(block == i).collect(), k, keep_self) for i in range(blocks)]
+    if blocks > 1:
+        found = [stage_table(f, "nearest") for f in found]
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _best_of_block(vectors: DataFrame, seeds: list, k: int, keep_self: bool) -> DataFrame:
+    """(query_id, vec_id, label, score): for each task the k best rows of each seed of one block, and what may tie with them."""
+    usable = [s for s in seeds if s.query is not None and None not in s.query]
+    by_width = {n: [s for s in usable if len(s.query) == n] for n in {len(s.query) for s in usable}}
+    packed = {n: (np.array([s.query_id for s in of], np.int64), np.array([s.query for s in of], float).reshape(len(of), n)) for n, of in by_width.items()}
+    shared = vectors.sparkSession.sparkContext.broadcast(packed)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple] = {}
+        for batch in batches:
+            lists = batch.column("embedding")
+            sizes = np.diff(lists.offsets.to_numpy())
+            for n, (ids, queries) in shared.value.items():
+                at = np.flatnonzero(sizes == n)
+                for a in range(0, len(at), step := max(1, (1 << 22) // max(len(ids), n, 1))):
+                    part = batch.take(pa.array(at[a : a + step]))
+                    x = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, n)
+                    best[n] = _merged(best.get(n), part.select(["vec_id", "label"]), x, ids, queries, k, keep_self)
+        for n, (seed, score, rows, _) in best.items():
+            ids = shared.value[n][0]
+            yield pa.record_batch([pa.array(ids[seed]), rows.column("vec_id"), rows.column("label"), pa.array(score)], names=["query_id", "vec_id", "label", "score"])
+
+    whole = ~F.exists("embedding", lambda x: x.isNull())
+    plain = vectors.where(whole).select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
+    return plain.mapInArrow(search, f"query_id long, vec_id long, label {plain.schema['label'].dataType.simpleString()}, score double")
+
+
+def _merged(old: tuple | None, rows: pa.RecordBatch, x: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int, keep_self: bool) -> tuple:
+    """(seed number, score, rows, least score to be kept per seed) of the k best so far and a new batch of vectors ``x``."""
+    seed, score, kept, least = old or (np.zeros(0, np.int64), np.zeros(0), rows.slice(0, 0), np.full(len(ids), -np.inf))
+    product = queries @ x.T
+    slack = 1e-12 * np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(x, axis=1)  # a sum in another order differs by less
+    open_ = product + slack >= least[:, None]
+    vec_id = rows.column("vec_id").to_numpy(zero_copy_only=False)
+    if not keep_self:
+        open_ &= vec_id != ids[:, None]
+    if product.shape[1] > k:  # of many, only what can be among the batch's own k best
+        low = np.where(open_, product - slack, -np.inf)
+        open_ &= product + slack >= np.partition(low, -k, axis=1)[:, -k][:, None]
+    row, col = np.nonzero(open_)
+    exact = np.zeros(len(row))
+    for d in range(x.shape[1]):  # in element order
+        exact += queries[row, d] * x[col, d]
+    seed, score = np.append(seed, row), np.append(score, exact)
+    kept = pa.concat_batches([kept, rows.take(pa.array(col))])
+    order = np.lexsort((kept.column("vec_id").to_numpy(zero_copy_only=False), -score, seed))
+    seed = seed[order]
+    order = order[np.arange(len(seed)) - np.searchsorted(seed, seed) < k]
+    kept, score = kept.take(pa.array(order)), score[order]
+    seed = seed[np.arange(len(seed)) - np.searchsorted(seed, seed) < k]
+    full = np.bincount(seed, minlength=len(ids)) == k
+    least = np.full(len(ids), -np.inf)
+    np.minimum.at(lowest := np.full(len(ids), np.inf), seed, score)
+    least[full] = lowest[full]
+    return seed, score, kept, least
 
 
 def similar_to(vectors: DataFrame, seeds: DataFrame, k: int) -> DataFrame:

@@ -172,13 +172,14 @@ def _(b):
 
 @query(
     "b19_first_number",
-    "SELECT decision_id, CASE decision_id % 4 WHEN 0 THEN decision_id * 1e0 WHEN 1 THEN decision_id + 0.5e0 WHEN 2 THEN decision_id + 1e0 END AS found FROM {decisions}",
+    "SELECT decision_id, CASE decision_id % 4 WHEN 0 THEN decision_id * 1e0 WHEN 1 THEN decision_id + 0.5e0 WHEN 2 THEN decision_id + 1e0 ELSE decision_id * 1e0 END AS found FROM {decisions}",
 )
 def _(b):
     n = F.col("decision_id").cast("string")
     kinds = [
         F.concat(F.lit('{"meta": {"View:Sun-Elevation": '), n, F.lit("}}")), F.concat(F.lit('{"a": [{"sun_elevation": '), n, F.lit('.5}], "sun_elevation": "none"}')),
-        F.concat(F.lit('{"x": {"sun_elevation": 3}, "sun_elevation": '), (F.col("decision_id") + 1).cast("string"), F.lit("}")), F.lit('{"sun_elevation": true, "b": 4}'),
+        F.concat(F.lit('{"x": {"sun_elevation": 3}, "sun_elevation": '), (F.col("decision_id") + 1).cast("string"), F.lit("}")),
+        F.concat(F.lit('{"sun_elevation": true, "b": [[{"c": {"d": [0, {"e": {"f": {"Sun-Elevation": '), n, F.lit("}}}]}}]]}")),
     ]
     text = F.element_at(F.array(*kinds), (F.col("decision_id") % 4 + 1).cast("int"))
     return listing.first_number(b("decisions").select("decision_id", text.alias("doc")), "decision_id", "doc", "sun_elevation")
@@ -311,8 +312,10 @@ _ROLES = """SELECT candidate_id, lon, lat, 'before' AS role, pair_id + 1 AS obse
 
 @query(
     "c13_candidate_provenance",
-    f"""WITH a AS ({_ROLES}), t AS (SELECT a.candidate_id, a.role, min(tile_id) AS tile_id FROM a JOIN {{tiles}} t ON t.observation_id = a.observation_id AND lon BETWEEN west - 2 AND east + 2 AND lat BETWEEN south - 2 AND north + 2 GROUP BY ALL)
-    SELECT candidate_id, role, observation_id, scene_id, collection_id, platform, tile_id FROM a JOIN {{observations}} USING (observation_id) JOIN {{scenes}} USING (scene_id) LEFT JOIN t USING (candidate_id, role)""",
+    f"""WITH a AS ({_ROLES}), o AS MATERIALIZED (SELECT observation_id, scene_id, collection_id, platform FROM {{observations}} JOIN {{scenes}} USING (scene_id) WHERE observation_id BETWEEN 1 AND 9),
+    t AS MATERIALIZED (SELECT observation_id, list([tile_id, west - 2, east + 2, south - 2, north + 2]::DOUBLE[]) AS boxes FROM {{tiles}} WHERE observation_id BETWEEN 1 AND 9 GROUP BY observation_id)
+    SELECT candidate_id, role, a.observation_id, scene_id, collection_id, platform,
+    CAST(list_min(list_transform(list_filter(boxes, lambda x: lon BETWEEN x[2] AND x[3] AND lat BETWEEN x[4] AND x[5]), lambda x: x[1])) AS BIGINT) AS tile_id FROM a JOIN o USING (observation_id) LEFT JOIN t USING (observation_id)""",
 )
 def _(b):
     asked = b("findings").withColumns({"earlier": F.col("pair_id") + 1, "later": F.col("pair_id") + 2})

@@ -250,10 +250,8 @@ def _(b):
     WHEN later THEN 'recent' ELSE 'transient' END AS persistence FROM g""",
 )
 def _(b):
-    rows = b("decisions").groupBy("candidate_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("decision_id", (F.col("value") > 10).alias("f")))), lambda x: x["f"]).alias("flags"), (F.max("value") > 40).alias("span")
-    )
-    return rows.select("candidate_id", change.persistence_class(F.col("flags"), F.col("span")).alias("persistence"))
+    flagged = b("decisions").select("candidate_id", F.col("decision_id").alias("at"), (F.col("value") > 10).alias("flag"), "value")
+    return change.persistence_classes(flagged, F.max("value") > 40).select("candidate_id", "persistence")
 
 
 @query("h12_confidence_bands", "SELECT CASE WHEN confidence >= 0.85 THEN 'High' WHEN confidence >= 0.6 THEN 'Medium' ELSE 'Low' END AS band, count(*) AS n FROM {candidates} GROUP BY 1")

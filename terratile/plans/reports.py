@@ -315,10 +315,10 @@ def _(b):
 
 @query(
     "h17_flat_numbers",
-    """SELECT decision_id, 'a.n' AS path, decision_id * 1e0 AS value FROM {decisions} UNION ALL SELECT decision_id, 'a.b.c', 1.5e0 FROM {decisions} WHERE decision_id % 2 = 0 UNION ALL SELECT decision_id, 'top', 3e0 FROM {decisions}""",
+    """SELECT decision_id, 'a.n' AS path, decision_id * 1e0 AS value FROM {decisions} UNION ALL SELECT decision_id, 'a.b.c', 1.5e0 FROM {decisions} WHERE decision_id % 2 = 0 UNION ALL SELECT decision_id, 'top', 3e0 FROM {decisions} UNION ALL SELECT decision_id, 'p.q.r.s.t.u', decision_id + 0.25e0 FROM {decisions}""",
 )
 def _(b):
     n = F.col("decision_id").cast("string")
     inner = F.when(F.col("decision_id") % 2 == 0, '{"c": 1.5}').otherwise('"text"')
-    doc = F.concat(F.lit('{"meta": {"x": 1}, "top": 3, "list": [1, 2], "ok": true, "a": {"n": '), n, F.lit(', "b": '), inner, F.lit("}}"))
+    doc = F.concat(F.lit('{"meta": {"x": 1}, "top": 3, "list": [1, 2], "ok": true, "p": {"q": {"r": {"s": {"t": {"u": '), n, F.lit('.25}}}}}, "a": {"n": '), n, F.lit(', "b": '), inner, F.lit("}}"))
     return reports.flat_numbers(b("decisions").select("decision_id", doc.alias("doc")), "decision_id", "doc")
