@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terratile.operators import clusters, evaluation, search
+from terratile.operators import clusters, density, evaluation, search
 from terratile.plans.analyst import _TOP, top
 from terratile.plans.imagery import _round
 from terratile.plans.registry import query
@@ -196,3 +196,22 @@ def _(b):
     coarse = search.top_k(v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 10)
     met = top(b).select("query_id", "vec_id").join(coarse.select("query_id", "vec_id", F.lit(1).alias("both")), ["query_id", "vec_id"], "left")
     return met.groupBy("query_id").agg(F.count("both").alias("shared"), (F.count("both") / F.count("*")).alias("overlap"))
+
+
+# ---- density clusters
+
+_NEAR3 = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
+
+
+@query(
+    "k6_density_clusters",
+    f"""WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM {{vectors}}),
+    c AS MATERIALIZED (SELECT vec_id, d AS core FROM (SELECT a.vec_id, {_NEAR3} AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_NEAR3}) AS rk FROM v a JOIN v b ON a.vec_id <> b.vec_id) WHERE rk = 5 AND d <= 0.055),
+    e AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND {_NEAR3} <= 0.055 AND a.vec_id IN (SELECT vec_id FROM c) AND b.vec_id IN (SELECT vec_id FROM c)),
+    r AS (SELECT vec_id AS n, vec_id AS root FROM c UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.n),
+    k AS (SELECT n, min(root) AS root FROM r GROUP BY n), s AS (SELECT root, row_number() OVER (ORDER BY count(*) DESC, root) - 1 AS cluster FROM k GROUP BY root HAVING count(*) >= 8)
+    SELECT v.vec_id, CAST(coalesce(s.cluster, -1) AS INT) AS cluster, round(c.core, 6) AS core FROM v LEFT JOIN c ON c.vec_id = v.vec_id LEFT JOIN k ON k.n = v.vec_id LEFT JOIN s ON s.root = k.root""",
+)
+def _(b):
+    v = b("vectors").select("vec_id", F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("embedding"))
+    return _round(density.density_clusters(v, 5, 0.055, 8), 6, "core")
