@@ -16,9 +16,12 @@ starts a phrase where that block's own parse starts one, from where both are
 the same.  So the phrases are those of the whole text parsed from its start, however long
 a phrase is.
 
-The sample takes the whole texts of ``DOCS`` documents of each label, by a hash
-of the id, of the folds that are not held out (of rows that share an id, the
-least text).  Text is the only input of a prediction.
+The sample takes ``DOCS`` documents of each label, by a hash of the id, of the
+folds that are not held out (of rows that share an id, the least text): the
+whole text of a document of up to ``MOST`` letters, and of a longer one as many
+letters, in runs of ``RUN`` spread evenly over all of it.  So an automaton has a
+bound, whatever the texts.  It is built once, by the task of its label, and goes
+to the workers as arrays.  Text is the only input of a prediction.
 
 Nulls: a null text or one without a letter gives ``und`` and score 0; so does
 every text if nothing is labelled.  A null id is not held out and never learned
@@ -40,6 +43,8 @@ from terratile.llm.sampling import held_out, sample_ids
 from terratile.llm.token_files import slices
 
 DOCS, PARSE, SYMBOLS = 32, 1024, 1 << 22
+MOST, RUN = 1 << 14, 1 << 10
+PIECE = 1 << 20  # characters looked up at a time
 BLANK = 32
 
 
@@ -50,14 +55,27 @@ def _is_letter() -> np.ndarray:
 
 def letters(text: str | None) -> np.ndarray:
     """Code points of the lower-cased letters, with one blank for each run of anything else between them."""
-    points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    is_letter = _is_letter()[points]
-    keep = is_letter.copy()
-    keep[1:] |= is_letter[:-1]  # the first of a run of others stays, as a blank
-    points = np.where(is_letter, points, BLANK)[keep]
+    low, parts, after = (text or "").lower(), [], False
+    for at in range(0, len(low), PIECE):
+        points = np.frombuffer(low[at : at + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
+        is_letter = _is_letter()[points]
+        keep = is_letter.copy()
+        keep[1:] |= is_letter[:-1]  # the first of a run of others stays, as a blank
+        keep[0] |= after
+        after = is_letter[-1]
+        parts.append(np.where(is_letter, points, BLANK)[keep].astype(np.uint32))
+    points = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
     return points[:-1] if len(points) and points[-1] == BLANK else points
 
 
+def share(points: np.ndarray) -> np.ndarray:
+    """Of many letters ``MOST``, in runs spread over all of them."""
+    if len(points) <= MOST:
+        return points
+    starts = np.linspace(0, len(points) - RUN, MOST // RUN).astype(np.int64)
+    return np.concatenate([points[a : a + RUN] for a in starts])
+
+
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     """Transitions of each state of the automaton of all substrings; state 0 is the start."""
     moves: list[dict[int, int]] = [{}]
@@ -88,14 +106,26 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return moves
 
 
+Arrays = tuple[np.ndarray, np.ndarray, np.ndarray, int]
+
+
+def automaton_arrays(texts: list[np.ndarray]) -> Arrays:
+    """(states, code points, next states, number of symbols) of the automaton of some texts' letters, parted by blanks."""
+    points = np.concatenate([x for t in texts for x in (t, [BLANK])] or [np.zeros(0)]).astype(np.int64)
+    moves = suffix_automaton(points.tolist())
+    size = np.array([len(out) for out in moves], np.int64)
+    flat = np.array([x for out in moves for pair in out.items() for x in pair], np.int32).reshape(-1, 2)
+    return np.repeat(np.arange(len(moves), dtype=np.int32), size), flat[:, 0].copy(), flat[:, 1].copy(), len(points)
+
+
 class Moves:
     """(state, symbol) -> state, -1 where there is none, of any number of symbols: an open hash table looked up by arrays."""
 
-    def __init__(self, moves: list[dict[int, int]], n_symbols: int):
-        self.n_symbols, self.low = np.int64(n_symbols), np.int64(len(moves).bit_length())
-        key = np.array([s * n_symbols + c for s, out in enumerate(moves) for c in out], np.int64)
-        slot_of = (key << self.low) | np.array([t for out in moves for t in out.values()], np.int64)
-        bits = max(4, (6 * len(key)).bit_length())  # few keys meet, so few are looked up twice
+    def __init__(self, state: np.ndarray, symbol: np.ndarray, to: np.ndarray, n_symbols: int):
+        self.n_symbols, self.low = np.int64(n_symbols), np.int64(max(int(to.max(initial=0)), int(state.max(initial=0)), 1).bit_length())
+        key = state.astype(np.int64) * n_symbols + symbol
+        slot_of = (key << self.low) | to.astype(np.int64)
+        bits = max(4, (3 * len(key)).bit_length())  # few keys meet, so few are looked up twice
         self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
         self.table = np.full(1 << bits, -1, np.int64)  # key, then the state it leads to in the low bits
         slot, left = self._slot(key), np.arange(len(key))
@@ -138,14 +168,14 @@ class Moves:
 class Model:
     """One automaton for each label, and the symbols of characters."""
 
-    def __init__(self, samples: dict[str, list[str]]):
-        self.labels = sorted(samples)
-        texts = {k: np.concatenate([x for t in samples[k] for x in (letters(t), [BLANK])] or [np.zeros(0)]).astype(np.int64) for k in self.labels}
-        known = np.unique(np.concatenate([*texts.values(), [BLANK]]).astype(np.int64))
+    def __init__(self, samples: dict[str, list[str]] | None = None, arrays: dict[str, Arrays] | None = None):
+        arrays = {k: automaton_arrays([letters(t) for t in texts]) for k, texts in samples.items()} if arrays is None else arrays
+        self.labels = sorted(arrays)
+        known = np.unique(np.concatenate([*(np.unique(a[1]) for a in arrays.values()), [BLANK]]).astype(np.int64))
         self.symbol = np.zeros(0x110000, np.int32)
         self.symbol[known] = np.arange(1, len(known) + 1)
-        self.moves = [Moves(suffix_automaton(self.symbol[texts[k]].tolist()), len(known) + 1) for k in self.labels]
-        self.bits = np.array([np.log2(max(len(texts[k]), 2)) for k in self.labels])
+        self.moves = [Moves(state, self.symbol[points], to, len(known) + 1) for state, points, to, _ in (arrays[k] for k in self.labels)]
+        self.bits = np.array([np.log2(max(arrays[k][3], 2)) for k in self.labels])
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text (code points of ``letters``) under each label: [text, label]."""
@@ -218,27 +248,41 @@ class Model:
 _models: dict[str, Model] = {}
 
 
-def language_sample(docs: DataFrame, per_label: int = DOCS) -> dict[str, list[str]]:
-    """Label -> the whole texts of at most ``per_label`` documents of it."""
+def automata(docs: DataFrame, per_label: int = DOCS) -> dict[str, Arrays]:
+    """Label -> the arrays of the automaton of at most ``per_label`` documents of it."""
     chosen = sample_ids(docs.select("doc_id", F.col("lang").alias("label")), per_label)
     texts = docs.select("doc_id", "text", "lang").dropna().join(F.broadcast(chosen), "doc_id").where("lang = label")
-    rows = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()  # per_label rows a label
-    samples: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r.label, r.doc_id)):
-        samples.setdefault(r.label, []).append(r.text)
-    return samples
+    texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # per_label rows a label
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield rows[["doc_id", "label"]].assign(points=[share(letters(t)).astype("<u4").tobytes() for t in rows["text"]])
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("doc_id")
+        state, points, to, n = automaton_arrays([np.frombuffer(p, "<u4") for p in rows["points"]])
+        return pd.DataFrame([(rows["label"].iloc[0], state.tobytes(), points.tobytes(), to.tobytes(), n)], columns=["label", "state", "points", "to", "n"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    short = texts.mapInPandas(cut, f"doc_id {kind}, label string, points binary")
+    built = short.groupBy("label").applyInPandas(build, "label string, state binary, points binary, to binary, n long").collect()  # of bounded size a label
+    return {r.label: (*(np.frombuffer(r[c], np.int32) for c in ("state", "points", "to")), r.n) for r in sorted(built, key=lambda r: r.label)}
 
 
 def languages(docs: DataFrame, per_label: int = DOCS) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row of ``docs``."""
-    sample = language_sample(docs, per_label)
-    name = hashlib.sha1(repr(sorted(sample.items())).encode()).hexdigest()
-    samples = docs.sparkSession.sparkContext.broadcast(sample)
+    arrays = automata(docs, per_label)
+    digest = hashlib.sha1()
+    for label, (state, points, to, n) in arrays.items():
+        for part in (label.encode(), state, points, to, str(n).encode()):
+            digest.update(part)
+    name = digest.hexdigest()
+    shared = docs.sparkSession.sparkContext.broadcast(arrays)
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if name not in _models:
             _models.clear()
-            _models[name] = Model(samples.value)
+            _models[name] = Model(arrays=shared.value)
         model = _models[name]
         for rows in batches:
             for a, b in slices(rows["text"].str.len().fillna(0).to_numpy(np.int64), SYMBOLS):

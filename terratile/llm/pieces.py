@@ -3,15 +3,16 @@
 A text is prefixed by a blank, blanks become the piece mark, and it falls into
 units (at marks and line feeds) whose borders no piece crosses.  In a unit's lattice an edge is a piece, or the bytes of a
 character that is no piece.  The model's ranks give the weights: a piece with
-id i has log probability -alpha * ln(i).  Forward filtering sums the weight of
+id i has log probability -alpha * ln(i + 1).  Forward filtering sums the weight of
 all paths to each place; backward sampling then draws the last edge, the one
 before it, and so on, each with its exact conditional probability.  Draws come
 from a hash of row key, seed, unit and step, so a row is cut the same way
 wherever and whenever it runs.
 
 Forward sums are made once for each distinct unit and kept within a task (which
-starts anew at ``UNITS`` units).  Sampling steps all units of many
-texts at once.  Decoding joins the bytes of the pieces and drops the leading
+starts anew at ``UNITS`` units).  Sampling steps all units of many texts at
+once, ``CHARS`` characters of them at most; a longer text is drawn by runs of
+its units, and a draw does not depend on where the runs end.  Decoding joins the bytes of the pieces and drops the leading
 blank; it gives back every text exactly, also those with piece marks, control
 characters or runs of blanks.
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -34,10 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terratile.llm.text import give_back
+from terratile.llm.token_files import slices
 
 MARK, HIDDEN = "▁", "\udc81"  # a literal mark is hidden, so that it is spelled in bytes
 UNIT = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 UNITS, SHORT, SOME = 60_000, 48, 4096
+CHARS, ROWS = 1 << 20, 250
 ALPHA, SEED = 1.0, 1
 
 
@@ -77,7 +81,7 @@ class Lattice:
         self.clear()
 
     def _trie(self) -> None:
-        """Dense moves over ASCII and Latin-1 letters that are pieces themselves; units with others take the plain way."""
+        """Moves over the prefixes of pieces: dense for ASCII and Latin-1 letters that are pieces themselves, sorted keys for all characters."""
         chars = [c for c in [MARK, *map(chr, range(33, 127)), *map(chr, range(0xC0, 0x100))] if c in self.piece]
         self.plain = re.compile(f"[{re.escape(''.join(chars))}]{{1,{SHORT}}}")
         self.symbol = np.zeros(0x110000, np.uint8)
@@ -94,6 +98,18 @@ class Lattice:
             if prefix:
                 self.move[node[prefix[:-1]], self.symbol[ord(prefix[-1])]] = k
             self.ends[k] = self.piece.get(prefix, -1)
+        letters = sorted(set(chain.from_iterable(self.piece)))
+        self.any_symbol = np.zeros(0x110000, np.int32)
+        self.any_symbol[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.n_symbols, number, keys = len(letters) + 1, {"": 0}, {}
+        for p in self.piece:
+            for k in range(1, len(p) + 1):
+                if p[:k] not in number:
+                    number[p[:k]] = len(number)
+                    keys[number[p[: k - 1]] * self.n_symbols + int(self.any_symbol[ord(p[k - 1])])] = number[p[:k]]
+        self.any_key = np.array(sorted(keys), np.int64)
+        self.any_to = np.array([keys[k] for k in self.any_key.tolist()], np.int64)
+        self.any_ends = np.array([self.piece.get(p, -1) for p in number], np.int32)
 
     def clear(self) -> None:
         self.unit: dict[str, int] = {}  # -> its number
@@ -151,26 +167,51 @@ class Lattice:
             to_come[to] += 1
         self._add(units, first, size, node, back, what, up_to)
 
+    def _edges_of(self, u: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(from, to, piece) of the edges of one unit of any length and any characters, by the node they enter, longest first."""
+        n = len(u)
+        symbol = self.any_symbol[np.frombuffer(u.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+        live, state, found = np.arange(n), np.zeros(n, np.int64), []
+        for k in range(self.longest):
+            inside = live + k < n
+            live, state = live[inside], state[inside]
+            key = state * self.n_symbols + symbol[live + k]
+            at = np.minimum(np.searchsorted(self.any_key, key), len(self.any_key) - 1)
+            on = self.any_key[at] == key
+            live, state = live[on], self.any_to[at[on]]
+            piece = self.any_ends[state]
+            found.append((live[piece >= 0], live[piece >= 0] + k + 1, piece[piece >= 0]))
+        single = np.zeros(n, bool)
+        single[found[0][0]] = True
+        odd = np.flatnonzero(~single)
+        for c in {u[j] for j in odd.tolist()} - self.spelled.keys():
+            self.spelled[c] = len(self.spelling)
+            self.spelling.append([self.byte_id[b] for b in (MARK if c == HIDDEN else c).encode()])
+        found.append((odd, odd + 1, np.array([-1 - self.spelled[u[j]] for j in odd.tolist()], np.int64)))
+        back, node, what = (np.concatenate([f[i] for f in found]) for i in range(3))
+        order = np.lexsort((back, node))
+        return back[order], node[order], what[order]
+
     def _filter_one(self, u: str) -> None:
-        """The same for one unit of any length and any characters, in logarithms."""
+        """The same for one unit of any length and any characters; only the last few nodes count, and are scaled up when they get small."""
         n = len(u)
-        total, node, back, what, run = np.zeros(n + 1), [], [], [], []
-        for j in range(1, n + 1):
-            edges = [(i, p) for i in range(max(0, j - self.longest), j) if (p := self.piece.get(u[i:j])) is not None]
-            if u[j - 1] not in self.piece:
-                c = u[j - 1]
-                if c not in self.spelled:
-                    self.spelled[c] = len(self.spelling)
-                    self.spelling.append([self.byte_id[b] for b in (MARK if c == HIDDEN else c).encode()])
-                edges.append((j - 1, -1 - self.spelled[c]))
-            logs = np.array([total[i] + (self.weight[p] if p >= 0 else self.weight[self.spelling[-1 - p]].sum()) for i, p in edges])
-            parts = np.exp(logs - logs.max())
-            total[j] = logs.max() + np.log(parts.sum())
-            node += [j] * len(edges)
-            back += [i for i, _ in edges]
-            what += [p for _, p in edges]
-            run += (np.cumsum(parts) / parts.sum()).tolist()
-        self._add([u], np.zeros(1, np.int64), np.array([n]), np.array(node), np.array(back), np.array(what), np.array(run))
+        back, node, what = self._edges_of(u)
+        spelled = np.array([self.weight[x].sum() for x in self.spelling])
+        weight = np.exp(np.where(what >= 0, self.weight[np.maximum(what, 0)], spelled[np.maximum(-1 - what, 0)] if len(spelled) else 0.0))
+        forward, total, run, at, ends = array("d", [1.0]), array("d", [1.0]), array("d"), 0, np.searchsorted(node, np.arange(1, n + 1), "right")
+        for stop in ends.tolist():
+            sum_ = 0.0
+            for i, w in zip(back[at:stop].tolist(), weight[at:stop].tolist(), strict=True):
+                sum_ += forward[i] * w
+                run.append(sum_)
+            total.append(sum_)
+            forward.append(sum_)
+            at = stop
+            if sum_ < 1e-150:
+                for j in range(max(0, len(forward) - self.longest - 1), len(forward)):
+                    forward[j] *= 1e150
+        up_to = np.frombuffer(run) / np.frombuffer(total)[node]
+        self._add([u], np.zeros(1, np.int64), np.array([n]), node, back, what, up_to)
 
     def _add(self, units, first, size, node, back, what, up_to) -> None:
         """Edges sorted by the node they enter; each has the chance of itself and those before it."""
@@ -194,15 +235,40 @@ class Lattice:
 
     def sample(self, texts: list[str], row_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids of each text)."""
-        parts = [UNIT.findall((" " + t).replace(MARK, HIDDEN).replace(" ", MARK)) if t else [] for t in texts]
-        units = list(chain.from_iterable(parts))
+        parts = [UNIT.findall(self._marked(t)) for t in texts]
+        count = np.array([len(p) for p in parts], np.int64)
+        return self._drawn(list(chain.from_iterable(parts)), count, row_keys, np.zeros(len(count), np.int64))
+
+    def sample_long(self, text: str, row_key: int, most: int = CHARS) -> tuple[np.ndarray, str]:
+        """(ids, decoded text) of one text, drawn by runs of units of about ``most`` characters."""
+        key, held, size, before, ids, raw = np.array([row_key], np.uint64), [], 0, 0, [], []
+
+        def draw() -> None:
+            ids.append(self._drawn(held, np.array([len(held)]), key, np.array([before]))[0].astype(np.int32))
+            raw.append(self._bytes(ids[-1])[0].tobytes())
+
+        for m in UNIT.finditer(self._marked(text)):
+            held.append(m[0])
+            size += len(m[0])
+            if size >= most:
+                draw()
+                before, held, size = before + len(held), [], 0
+        if held:
+            draw()
+        return np.concatenate(ids) if ids else np.zeros(0, np.int32), b"".join(raw).decode()[1:]
+
+    @staticmethod
+    def _marked(text: str) -> str:
+        return (" " + text).replace(MARK, HIDDEN).replace(" ", MARK) if text else ""
+
+    def _drawn(self, units: list[str], count: np.ndarray, row_keys: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, ids of each text) of texts with ``count`` units here and ``before`` units earlier."""
         if len(self.unit) > UNITS:
             self.clear()
         self.learn([u for u in dict.fromkeys(units) if u not in self.unit])
-        count = np.array([len(p) for p in parts], np.int64)
         number = np.fromiter(map(self.unit.__getitem__, units), np.int64, len(units))
         first, node = self.first[number], self.last[number]
-        ordinal = _ranges(np.zeros(len(count), np.int64), count).astype(np.uint64)
+        ordinal = _ranges(before, count).astype(np.uint64)
         stream = _mixed(np.repeat(row_keys, count) + self.seed) + ordinal * np.uint64(0xD1342543DE82EF95)
         open_, steps, drawn = np.arange(len(units)), 0, []
         length = np.zeros(len(units), np.int64)
@@ -234,9 +300,14 @@ class Lattice:
         by_unit = by_edge[np.concatenate([[0], end])]
         return ids, np.diff(by_unit[np.concatenate([[0], np.cumsum(count)])])
 
-    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+    def _bytes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of the pieces, how many each has)."""
         size = self.raw_size[ids]
-        data = self.raw[_ranges(self.raw_at[ids], size)].tobytes()
+        return self.raw[_ranges(self.raw_at[ids], size)], size
+
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+        raw, size = self._bytes(ids)
+        data = raw.tobytes()
         ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
         return [data[a:b].decode()[1:] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
@@ -251,16 +322,20 @@ def sampled_pieces(docs: DataFrame, model_path: str, alpha: float = ALPHA, seed:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice = Lattice(model_path, alpha, seed)  # gone with the task, so that idle workers hold nothing
         for rows in batches:
-            for at in range(0, len(rows), 250):
-                part = rows.iloc[at : at + 250]
+            for at, to in slices(np.maximum(rows["text"].str.len().to_numpy(np.int64), CHARS // ROWS), CHARS):
+                part = rows.iloc[at:to]
                 keys = [None if pd.isna(k) else k for k in part["doc_id"]]
-                texts = part["text"].tolist()
-                ids, sizes = lattice.sample(texts, np.array([row_key(k) for k in keys], np.uint64))
-                back = lattice.decode(ids, sizes)
-                runs = np.split(ids.astype(np.int32), np.cumsum(sizes)[:-1])
+                texts, hashed = part["text"].tolist(), [row_key(k) for k in keys]
+                if len(texts) == 1 and len(texts[0]) > CHARS:
+                    ids, text = lattice.sample_long(texts[0], hashed[0])
+                    runs, back = [ids], [text]
+                else:
+                    ids, sizes = lattice.sample(texts, np.array(hashed, np.uint64))
+                    back = lattice.decode(ids, sizes)
+                    runs = np.split(ids.astype(np.int32), np.cumsum(sizes)[:-1])
                 yield pd.DataFrame(
                     {
-                        "doc_id": keys, "n_pieces": sizes, "ids": runs, "ids_crc32": [zlib.crc32(r.astype("<u4").tobytes()) for r in runs],
+                        "doc_id": keys, "n_pieces": [len(r) for r in runs], "ids": runs, "ids_crc32": [zlib.crc32(r.astype("<u4").tobytes()) for r in runs],
                         "text": back, "lossless": [a == b for a, b in zip(texts, back, strict=True)],
                     }
                 )

@@ -17,8 +17,12 @@ columns this operator adds replace any of the same name.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +30,9 @@ from pyspark.sql import types as T
 from terratile.llm.text import give_back
 
 WINDOW = 5
+LONG = 1 << 20  # bytes of a text from which its words are hashed, not held
 SPACE = b" \t\n\x0b\x0c\r"
+_GAP = re.compile(rb"[ \t\n\x0b\x0c\r]")
 SYMBOLS = b"#*$%&|<>"
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -48,21 +54,55 @@ def repeat_words(words: list[bytes]) -> int:
     return int((np.cumsum(edge) > 0).sum())
 
 
+def _space_cut(data: bytes, size: int) -> Iterator[bytes]:
+    """``data`` in pieces of about ``size`` bytes that end before white space."""
+    at = 0
+    while at < len(data):
+        gap = _GAP.search(data, at + size)
+        to = gap.start() if gap else len(data)
+        yield data[at:to]
+        at = to
+
+
+def long_repeat_words(data: bytes) -> tuple[int, int]:
+    """(words, ``repeat_words``) of a long text, by 64-bit hashes of its words and windows held as arrays."""
+    words = np.concatenate([np.fromiter(map(xxhash.xxh3_64_intdigest, part.split()), np.uint64) for part in _space_cut(data, LONG)])
+    n = len(words) - WINDOW + 1
+    if n < 2:
+        return len(words), 0
+    window = np.zeros(n, np.uint64)
+    for k in range(WINDOW):
+        window = (window ^ words[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        window ^= window >> np.uint64(29)
+    order = np.argsort(window, kind="stable")
+    same = window[order[1:]] == window[order[:-1]]
+    twice = np.zeros(n, bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    edge = np.zeros(len(words) + 1, np.int32)
+    edge[:n][twice] += 1
+    edge[WINDOW:][twice] -= 1
+    return len(words), int((np.cumsum(edge) > 0).sum())
+
+
 def counts(text: str | None) -> tuple[int, ...]:
     """The values of COUNTS and MORE for one text."""
     text = text or ""
     data = text.encode()
-    words = data.split()
+    if len(data) > LONG:
+        n_words, repeats = long_repeat_words(data)
+    else:
+        words = data.split()
+        n_words, repeats = len(words), repeat_words(words)
     bare = data.translate(None, SPACE)
     lines = [x for x in data.split(b"\n") if x.strip(SPACE)]
     lower = bare.lower()
     letters = len(lower) - len(lower.translate(None, b"abcdefghijklmnopqrstuvwxyz"))
     return (
-        len(words),
+        n_words,
         len(text) - (len(data) - len(bare)),
         len(data) - len(data.translate(None, SYMBOLS)),
         len(lines) - len(set(lines)),
-        repeat_words(words),
+        repeats,
         len(lines),
         len(bare) - len(bare.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")),
         letters,

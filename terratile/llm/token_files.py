@@ -9,8 +9,8 @@ values start, so a reader can go to any block (``read_blocks``).
 
 Documents are sorted by doc_id over all files (nulls first, equal ids by a hash
 of the text), each file is written by one task in the shared folder under an
-attempt's name and moved into place, and a manifest counts what each file
-holds.  Texts are parted at blanks and line feeds, which never lie inside a
+attempt's name and moved into place, and a manifest counts what each segment
+holds and where it starts, so that a file may be read by several tasks.  Texts are parted at blanks and line feeds, which never lie inside a
 token of this vocabulary's pre-tokeniser; each distinct part is encoded once by
 the tokenizers library and then looked up.  The lookup table of a worker starts
 anew at ``WORDS`` entries.
@@ -32,7 +32,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terratile.storage import AtomicFile, open_fs, shared_dir, stage_table
@@ -42,6 +42,7 @@ MAGIC = b"PFOR0001"
 HEAD = struct.Struct("<QQQQQ")  # documents, values, blocks, exceptions, packed bytes
 SEGMENT = 1 << 20
 SLICE = 4 << 20  # bytes of text encoded at a time
+FILE_BYTES = 64 << 20  # of text in a file, so that files grow in number with the table, not in size
 WORDS = 1_000_000
 END_ID = 1
 
@@ -105,14 +106,24 @@ def read_segments(data) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np
     if data.read(len(MAGIC)) != MAGIC:
         raise ValueError("not a token file")
     while head := data.read(HEAD.size):
-        n_docs, n_values, n_blocks, n_over, n_packed = HEAD.unpack(head)
+        yield _segment(data, head)
 
-        def take(kind: str, n: int) -> np.ndarray:
-            return np.frombuffer(data.read(np.dtype(kind).itemsize * n), kind)
 
-        ids, known, sizes = take("<i8", n_docs), take("u1", n_docs), take("<u4", n_docs)
-        length = dict.fromkeys(ORDER, n_blocks) | {"over_at": n_over, "over": n_over, "packed": n_packed}
-        yield ids, known, sizes, unpack({k: take(kind, length[k]) for k, kind in ORDER.items()}, n_values)
+def read_segment(data, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same of the one segment at byte ``at`` of an open, seekable file."""
+    data.seek(at)
+    return _segment(data, data.read(HEAD.size))
+
+
+def _segment(data, head: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n_docs, n_values, n_blocks, n_over, n_packed = HEAD.unpack(head)
+
+    def take(kind: str, n: int) -> np.ndarray:
+        return np.frombuffer(data.read(np.dtype(kind).itemsize * n), kind)
+
+    ids, known, sizes = take("<i8", n_docs), take("u1", n_docs), take("<u4", n_docs)
+    length = dict.fromkeys(ORDER, n_blocks) | {"over_at": n_over, "over": n_over, "packed": n_packed}
+    return ids, known, sizes, unpack({k: take(kind, length[k]) for k, kind in ORDER.items()}, n_values)
 
 
 def read_blocks(data, at: int, first: int, last: int) -> np.ndarray:
@@ -241,62 +252,72 @@ def _encoder(path: str) -> Encoder:
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, n_files: int | None = None) -> DataFrame:
-    """Write ``docs`` as token files; one row (part, path, n_tokens) for each file, read from the manifest."""
+    """Write ``docs`` as token files of about ``FILE_BYTES`` of text each; one row (part, at, path, n_tokens) for each segment, read from the manifest."""
     spark = docs.sparkSession
-    n_files = n_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not n_files:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        n_files = max(1, -(-size // FILE_BYTES))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        path, encoder, total = f"{folder}/part-{part:06d}.pfor", _encoder(tokenizer_path), 0
+        path, encoder = f"{folder}/part-{part:06d}.pfor", _encoder(tokenizer_path)
         rows = next(batches, None)
         if rows is None:
             return
+        starts, totals = [], []
         with AtomicFile(path) as out:
             out.write(MAGIC)
             held: list = []
+
+            def close_segment() -> None:
+                starts.append(out.tell())
+                totals.append(sum(len(x[3]) for x in held))
+                write_segment(out, *map(np.concatenate, zip(*held, strict=True)))
+                held.clear()
+
             while rows is not None:
                 texts = rows["text"].cast(pa.large_string())
                 for a, b in slices(pc.binary_length(texts).to_numpy(zero_copy_only=False), SLICE):
                     values, sizes = encoder.encode(texts.slice(a, b - a))
                     mine = (rows[c].slice(a, b - a).to_numpy(zero_copy_only=False) for c in ("id", "known"))
                     held.append((*mine, sizes, values))
-                    total += len(values)
                     if sum(len(x[3]) for x in held) >= SEGMENT:
-                        write_segment(out, *map(np.concatenate, zip(*held, strict=True)))
-                        held = []
+                        close_segment()
                 rows = next(batches, None)
             if held:
-                write_segment(out, *map(np.concatenate, zip(*held, strict=True)))
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "n_tokens": pa.array([total], pa.int64())})
+                close_segment()
+        n = len(starts)
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part] * n, pa.int32()), "at": pa.array(starts, pa.int64()), "path": [path] * n, "n_tokens": pa.array(totals, pa.int64())})
 
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.repartitionByRange(n_files, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     keyed = keyed.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     rows = keyed.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNotNull().alias("known"), "text")
-    return stage_table(rows.mapInArrow(write, "part int, path string, n_tokens long"), "manifest")
+    return stage_table(rows.mapInArrow(write, "part int, at long, path string, n_tokens long"), "manifest")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
-    """Per document of the files: doc_id, start, n_tokens, ids_crc32."""
-    from pyspark.sql import Window
+    """Per document of the files: doc_id, start, n_tokens, ids_crc32.  A task reads some segments, of any file."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for path, start in zip(rows["path"], rows["start"], strict=True):
+            for path, at, start in zip(rows["path"], rows["at"].tolist(), rows["start"].tolist(), strict=True):
                 fs, name = open_fs(path)
-                with fs.open_input_stream(name) as data:
-                    for ids, known, sizes, values in read_segments(data):
-                        raw, ends = memoryview(values.astype("<u4").tobytes()), np.cumsum(sizes.astype(np.int64))
-                        crc = [zlib.crc32(raw[4 * (b - n) : 4 * b]) for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                        doc = pd.array(ids, dtype="Int64")
-                        doc[~known.astype(bool)] = pd.NA
-                        yield pd.DataFrame({"doc_id": doc, "start": start + ends - sizes, "n_tokens": sizes.astype(np.int64), "ids_crc32": np.array(crc, np.int64)})
-                        start += int(ends[-1]) if len(ends) else 0
-
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
-    placed = manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    placed = placed.repartition(max(1, manifest.count()), "part")
-    return placed.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+                with fs.open_input_file(name) as data:
+                    ids, known, sizes, values = read_segment(data, at)
+                raw, ends = memoryview(values.astype("<u4").tobytes()), np.cumsum(sizes.astype(np.int64))
+                crc = [zlib.crc32(raw[4 * (b - n) : 4 * b]) for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                doc = pd.array(ids, dtype="Int64")
+                doc[~known.astype(bool)] = pd.NA
+                yield pd.DataFrame({"doc_id": doc, "start": start + ends - sizes, "n_tokens": sizes.astype(np.int64), "ids_crc32": np.array(crc, np.int64)})
+
+    earlier = (Window.unboundedPreceding, -1)
+    files = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    files = files.select("part", F.sum("n").over(Window.orderBy("part").rowsBetween(*earlier)).alias("before"))  # one row for each file
+    within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("at").rowsBetween(*earlier))
+    start = F.coalesce(F.col("before"), F.lit(0)) + F.coalesce(F.col("within"), F.lit(0))
+    placed = manifest.withColumn("within", within).join(F.broadcast(files), "part").select("path", "at", start.alias("start"))
+    return placed.repartition(max(1, manifest.count()), "path", "at").mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
