@@ -38,7 +38,7 @@ from terratile.storage import broadcast_if_small, stage_table
 LEAST_DOCS, TOP = 30, 50
 SCALE, PRIOR = 1_000_000_000, 5
 BUCKET, BLOCK = 2048, 32
-HELD = 200_000  # terms whose counts a task holds before it hands them on
+HELD = 400_000  # terms whose counts a task holds before it hands them on
 SLICE = 1 << 20  # bytes of one text parted at a time
 
 #: What is no letter becomes a blank, capitals their small letters; all bytes of characters beyond ASCII stay.
