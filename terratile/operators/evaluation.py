@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,7 +128,7 @@ def best_matches(boxes: DataFrame, truths: DataFrame) -> DataFrame:
     return boxes.select("box_id").join(best, "box_id", "left").select("box_id", "truth_id", F.coalesce("iou", F.lit(0.0)).alias("iou"))
 
 
-def merge_across_chips(boxes: DataFrame, least: float = 0.5) -> DataFrame:
+def merge_across_chips(boxes: DataFrame, least: float = 0.5, pairs: Callable[[DataFrame, DataFrame], DataFrame] = overlaps) -> DataFrame:
     """Boxes that survive when, best score first, a kept box removes overlapping ones of the same image and class from other chips.
 
     Ties in score go to the smaller id; a box of an unknown chip (negative number) removes none.  Instead of a walk through each list, a
@@ -134,7 +136,7 @@ def merge_across_chips(boxes: DataFrame, least: float = 0.5) -> DataFrame:
     all of those are gone, gone when one of them is kept.  Rounds follow the
     longest chain of overlaps, not the length of a list; all lists at once.
     """
-    met = overlaps(boxes, boxes).where((F.col("iou") > least) & (F.col("l.chip_id") != F.col("r.chip_id")) & (F.col("l.chip_id") >= 0))
+    met = pairs(boxes, boxes).where((F.col("iou") > least) & (F.col("l.chip_id") != F.col("r.chip_id")) & (F.col("l.chip_id") >= 0))
     before = (F.col("l.score") > F.col("r.score")) | ((F.col("l.score") == F.col("r.score")) & (F.col("l.box_id") < F.col("r.box_id")))
     open_ = stage_table(met.where(before).select(F.col("l.box_id").alias("a"), F.col("r.box_id").alias("b")).distinct(), "removes")
     gone = None
