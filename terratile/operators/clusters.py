@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +69,66 @@ def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
     return out.withColumn("v_measure", F.when(h + c > 0, 2 * h * c / (h + c)).otherwise(0.0))
 
 
+def expected_information(a: int, sizes: np.ndarray, total: int) -> np.ndarray:
+    """For a cluster of ``a`` members and each of the other labelling's ``sizes``: the expected part of the mutual information by chance.
+
+    The chances of the possible overlaps (hypergeometric) follow from one
+    another; those beyond 40 deviations are below the precision of doubles.
+    """
+    out = np.zeros(len(sizes))
+    for i, b in enumerate(sizes.tolist()):
+        mean = a * b / total
+        spread = 40 * (np.sqrt(mean * (1 - a / total) * (1 - b / total)) + 1)
+        low, high = max(0, a + b - total, int(mean - spread)), min(a, b, int(mean + spread) + 1)
+        n = np.arange(low, high + 1, dtype=float)
+        step = np.log((a - n[:-1]) * (b - n[:-1])) - np.log((n[1:]) * (total - a - b + n[1:]))
+        logs = np.concatenate([[0.0], np.cumsum(step)])
+        weight = np.exp(logs - logs.max())
+        part = np.where(n > 0, n / total * np.log(np.maximum(n, 1) * total / (a * b)), 0.0)
+        out[i] = (weight * part).sum() / weight.sum()
+    return out
+
+
+def adjusted_information(rows: DataFrame, a: str, b: str, most: int = 100_000) -> DataFrame:
+    """One row: adjusted mutual information of two labellings (mean of the entropies), 1 if both are constant.
+
+    Only the distinct sizes of clusters and how often each occurs are needed:
+    those of ``b`` go to every task (more than ``most`` raise an error), those
+    of ``a`` are dealt over tasks.
+    """
+    cells = rows.groupBy(a, b).agg(F.count("*").alias("n"))
+    side = lambda c: cells.groupBy(c).agg(F.sum("n").alias("n")).groupBy("n").agg(F.count("*").alias("k"))
+    other = side(b).limit(most + 1).collect()
+    if len(other) > most:
+        raise ValueError(f"more than {most} different cluster sizes")
+    sizes, often = np.array([r.n for r in other], np.int64), np.array([r.k for r in other], float)
+    total = int((sizes * often).sum())
+
+    def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            yield pd.DataFrame({"e": [float(k * (often * expected_information(n, sizes, total)).sum()) for n, k in zip(part["n"].tolist(), part["k"].tolist(), strict=True)]})
+
+    chance = side(a).mapInPandas(expect, "e double").agg(F.coalesce(F.sum("e"), F.lit(0.0)).alias("e"))
+    entropy = lambda df, weight: df.agg((F.ln(F.lit(float(max(total, 1)))) - F.sum(weight * F.col("n") * F.ln("n")) / max(total, 1)).alias("h"))
+    one = entropy(side(a), F.col("k")).toDF("ha").crossJoin(entropy(side(b), F.col("k")).toDF("hb")).crossJoin(entropy(cells, F.lit(1)).toDF("hj")).crossJoin(chance)  # one row each
+    information, mean = F.col("ha") + F.col("hb") - F.col("hj"), (F.col("ha") + F.col("hb")) / 2
+    below = mean - F.col("e")
+    return one.select(F.lit(total).cast("long").alias("n"), F.when((F.col("ha") <= 1e-12) & (F.col("hb") <= 1e-12), 1.0).otherwise((information - F.col("e")) / F.when(F.abs(below) > 1e-15, below).otherwise(1e-15)).alias("adjusted_information"))
+
+
+def abstention_sweep(rows: DataFrame, reference: str, assigned: str, similarity: str, thresholds: list[float]) -> DataFrame:
+    """Per threshold the agreement with ``reference`` of labels that become -1 where the similarity is below it: share of -1, adjusted Rand index, V measure, adjusted information."""
+    out = None
+    for tau in thresholds:
+        label = F.when(F.col(similarity) < tau, F.lit(-1)).otherwise(F.col(assigned))
+        cut = rows.select(F.col(reference).alias("a"), label.alias("b"))
+        noise = cut.agg(F.avg((F.col("b") == -1).cast("double")).alias("noise_share"))
+        both = agreement(cut, "a", "b").select("adjusted_rand", "v_measure").crossJoin(adjusted_information(cut, "a", "b").select("adjusted_information")).crossJoin(noise)  # one row each
+        one = both.select(F.lit(tau).alias("threshold"), "noise_share", "adjusted_rand", "v_measure", "adjusted_information")
+        out = one if out is None else out.union(one)
+    return out
+
+
 def purity(rows: DataFrame, cluster: str, region: str) -> DataFrame:
     """Per cluster: size, the region with most members (first by name on a tie) and its share, 4 digits."""
     counts = rows.groupBy(cluster, region).agg(F.count("*").alias("m"))

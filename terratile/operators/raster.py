@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terratile.functions import polygons
 from terratile.functions.columns import clip, normalised_difference
 from terratile.operators import scan
 from terratile.operators.graph import connected_components
+from terratile.storage import broadcast_if_small, stage_table
 
 #: Scene classes that count as clear ground (fixed values).
 CLEAR = [4, 5, 6, 7]
@@ -44,21 +48,60 @@ def window_mean(pixels: DataFrame, value: str) -> DataFrame:
     return pixels.select("observation_id", "y", "x").join(sums, ["observation_id", "y", "x"]).select("observation_id", "y", "x", "n", (F.col("total") / F.col("n")).alias("mean"))
 
 
-def components(mask: DataFrame) -> DataFrame:
+def local_components(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each of the distinct pixels, sorted by (y, x), the place of the first pixel of its 8-connected component."""
+    width = int(x.max()) + 2 if len(x) else 1
+    key = y * width + x
+    ends = []
+    for step in (1, width - 1, width, width + 1):
+        at = np.searchsorted(key, key + step)
+        met = np.flatnonzero(np.append(key, -1)[at] == key + step)
+        ends.append((met, at[met]))
+    a, b = (np.concatenate(e) for e in zip(*ends, strict=True))
+    label = np.arange(len(key))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)  # roots hook to the least root next to them
+        np.minimum.at(new, label[b], low)
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def components(mask: DataFrame, side: int = 256) -> DataFrame:
     """8-connected components of (observation_id, y, x): label_y, label_x is the component's first pixel by (y, x).
 
-    Pixels are known by their three numbers, of any size.
+    Two levels: the pixels of a square of ``side`` are labelled in one task, and
+    only pixels on the squares' borders make edges between labels, which are
+    contracted; so what is written grows with the borders.
     """
-    place = F.struct("observation_id", "y", "x")
-    cells = mask.select("observation_id", "y", "x").distinct()
+    cells = mask.select("observation_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).distinct()
+    square = {"ty": F.floor(F.col("y") / side), "tx": F.floor(F.col("x") / side)}
+
+    def label(pixels: pd.DataFrame) -> pd.DataFrame:
+        pixels = pixels.sort_values(["y", "x"], ignore_index=True)
+        y, x = pixels["y"].to_numpy(), pixels["x"].to_numpy()
+        first = local_components(y - y.min(), x - x.min())
+        return pixels[["observation_id", "y", "x"]].assign(ry=y[first], rx=x[first])
+
+    kind = cells.schema["observation_id"].dataType.simpleString()
+    local = cells.withColumns(square).groupBy("observation_id", "ty", "tx").applyInPandas(label, f"observation_id {kind}, y long, x long, ry long, rx long")
+    local = stage_table(local, "local_labels")
+    at_y, at_x = F.pmod("y", F.lit(side)), F.pmod("x", F.lit(side))
+    border = local.where((at_y == 0) | (at_y == side - 1) | (at_x == 0) | (at_x == side - 1))
+    root = F.struct("observation_id", "ry", "rx")
     ahead = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))]))
-    near = cells.select(place.alias("a"), "observation_id", "y", "x", ahead.alias("s"))
+    near = border.select(root.alias("a"), "observation_id", "y", "x", ahead.alias("s"))
     near = near.select("a", "observation_id", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"))
-    edges = near.join(cells, ["observation_id", "y", "x"]).select("a", place.alias("b"))
-    roots = connected_components(edges).toDF("a", "root")
-    rooted = cells.withColumn("a", place).join(roots, "a", "left").withColumn("root", F.coalesce("root", "a"))
-    first = rooted.groupBy("root").agg(F.min("a").alias("label"))
-    return rooted.join(first, "root").select("observation_id", "y", "x", F.col("label.y").alias("label_y"), F.col("label.x").alias("label_x"))
+    edges = near.join(border.select("observation_id", "y", "x", root.alias("b")), ["observation_id", "y", "x"]).select("a", "b").where("a <> b")
+    roots = stage_table(connected_components(edges).toDF("a", "root"), "border_roots")
+    best = roots.groupBy("root").agg(F.min("a").alias("label"))  # the least first pixel of any square is that of the whole
+    moved = roots.join(best, "root").select(F.col("a.observation_id").alias("observation_id"), F.col("a.ry").alias("ry"), F.col("a.rx").alias("rx"), "label")
+    out = local.join(broadcast_if_small(stage_table(moved, "labels"), 64), ["observation_id", "ry", "rx"], "left")
+    return out.select("observation_id", "y", "x", F.coalesce("label.ry", "ry").alias("label_y"), F.coalesce("label.rx", "rx").alias("label_x"))
 
 
 def component_shapes(labelled: DataFrame, min_px: int = 1) -> DataFrame:
@@ -127,3 +170,39 @@ def window_plan(images: DataFrame, size: int = 1024, stride: int = 824) -> DataF
     )
     rows = images.select("image_id", F.explode(origins(F.col("height"))).alias("y0"), origins(F.col("width")).alias("xs"))
     return rows.select("image_id", F.explode("xs").alias("x0"), "y0")
+
+
+def window_boxes(images: DataFrame, boxes: DataFrame, size: int = 1024, stride: int = 824) -> DataFrame:
+    """(image_id, x0, y0, box_id, class_id, kept, visible, cover): the windows of an image that a box (image_id, box_id, class_id, kept, ring) reaches into.
+
+    ``visible``: share of the ring's area inside the window; ``cover``: the same of
+    its extent.  Which windows they are follows from the numbers of the origins,
+    so a box meets only its own.  Rings without area reach into none.
+    """
+    placed = boxes.withColumns(polygons.extent(F.col("ring"))).withColumnsRenamed({"x0": "bx0", "y0": "by0", "x1": "bx1", "y1": "by1"})
+    rows = placed.join(images.select("image_id", "width", "height"), "image_id")
+
+    def origins(low: str, high: str, length: str) -> Column:
+        last = F.greatest(F.col(length) - size, F.lit(0)).cast("long")
+        first = F.greatest(F.floor((F.col(low) - size) / stride) + 1, F.lit(0))
+        stop = F.least(F.ceil(F.col(high) / stride) - 1, F.floor(last / stride))
+        inner = F.when(first <= stop, F.transform(F.sequence(first, F.greatest(first, stop)), lambda k: k * stride)).otherwise(F.array().cast("array<bigint>"))
+        return F.filter(F.array_union(inner, F.array(last)), lambda o: (o < F.col(high)) & (o + size > F.col(low)))
+
+    rows = rows.select("*", F.explode(origins("bx0", "bx1", "width")).alias("x0")).select("*", F.explode(origins("by0", "by1", "height")).alias("y0"))
+    window = polygons.upright(F.col("x0"), F.col("y0"), F.col("x0") + size, F.col("y0") + size)
+    whole = polygons.area(F.col("ring"))
+    inside = (F.col("bx0") >= F.col("x0")) & (F.col("bx1") <= F.col("x0") + size) & (F.col("by0") >= F.col("y0")) & (F.col("by1") <= F.col("y0") + size)
+    visible = F.when(whole > 1e-6, F.when(inside, 1.0).otherwise(polygons.common_area(F.col("ring"), window) / whole))
+    along = lambda low, high, o: F.least(F.col(high), F.col(o) + size) - F.greatest(F.col(low), F.col(o))
+    cover = along("bx0", "bx1", "x0") * along("by0", "by1", "y0") / F.greatest((F.col("bx1") - F.col("bx0")) * (F.col("by1") - F.col("by0")), F.lit(1e-6))
+    return rows.select("image_id", "x0", "y0", "box_id", "class_id", "kept", F.explode(F.array(visible)).alias("visible"), cover.alias("cover")).where("visible > 0")
+
+
+def window_labels(images: DataFrame, boxes: DataFrame, size: int = 1024, stride: int = 824, least: float = 0.6, distractor: float = 0.5) -> DataFrame:
+    """Every window (image_id, x0, y0) with ``n_boxes``, the kept boxes visible by ``least`` or more, and ``n_distractors``, the others whose extent is covered by ``distractor``."""
+    met = window_boxes(images, boxes, size, stride)
+    counts = met.groupBy("image_id", "x0", "y0").agg(
+        F.count_if(F.col("kept") & (F.col("visible") >= least - 1e-9)).alias("n_boxes"), F.count_if(~F.col("kept") & (F.col("cover") >= distractor - 1e-9)).alias("n_distractors")
+    )
+    return window_plan(images, size, stride).join(counts, ["image_id", "x0", "y0"], "left").na.fill(0, ["n_boxes", "n_distractors"])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terratile.functions import polygons
-from terratile.operators import detection
+from terratile.operators import detection, raster, rings
 from terratile.plans.imagery import _round
 from terratile.plans.registry import query
 
@@ -124,3 +124,78 @@ def _(b):
 def _(b):
     found = detection.best_scores(detection.curve(*matches(b), sizes=list(detection.SIZES)))
     return _round(found, 6, "f1", "score")
+
+
+# ---- windows of training images
+
+_IMAGES = "SELECT image_id, width, height FROM {images}"
+_SPREAD = f"SELECT *, class_id < 3 AS kept, {_turned('', _ANGLE)} AS ring FROM (SELECT DISTINCT box_id, image_id, class_id, x0 * 25 AS x0, y0 * 20 AS y0, x0 * 25 + (x1 - x0) * 8 AS x1, y0 * 20 + (y1 - y0) * 8 AS y1 FROM {{boxes}})"
+_STARTS = "CASE WHEN {d} <= 1024 THEN [0] ELSE list_distinct(list_append(range(0, {d} - 1024 + 1, 824), {d} - 1024)) END"
+_WINDOWS = f"""WITH im AS ({_IMAGES}), sx AS ({_SPREAD}), w AS MATERIALIZED (SELECT image_id, x0::BIGINT AS x0, unnest({_STARTS.format(d="height")})::BIGINT AS y0 FROM (SELECT *, unnest({_STARTS.format(d="width")}) AS x0 FROM im)),
+    se AS MATERIALIZED (SELECT *, list_min(list_transform(ring, lambda p: p.x)) AS ex0, list_max(list_transform(ring, lambda p: p.x)) AS ex1, list_min(list_transform(ring, lambda p: p.y)) AS ey0, list_max(list_transform(ring, lambda p: p.y)) AS ey1, (x1 - x0) * (y1 - y0) AS size FROM sx),
+    {_common("SELECT {'box': s.box_id, 'x': w.x0, 'y': w.y0} AS a, w.image_id AS b, s.ring AS ra, [{'x': w.x0::DOUBLE, 'y': w.y0::DOUBLE}, {'x': w.x0 + 1024e0, 'y': w.y0::DOUBLE}, {'x': w.x0 + 1024e0, 'y': w.y0 + 1024e0}, {'x': w.x0::DOUBLE, 'y': w.y0 + 1024e0}] AS rb, s.size AS aa, 0e0 AS ab FROM w JOIN se s ON s.image_id = w.image_id AND ex0 < w.x0 + 1024 AND ex1 > w.x0 AND ey0 < w.y0 + 1024 AND ey1 > w.y0")},
+    vs AS MATERIALIZED (SELECT ar.b AS image_id, ar.a.x AS x0, ar.a.y AS y0, ar.a.box AS box_id, se.class_id, kept, common / se.size AS visible,
+     (least(ex1, ar.a.x + 1024) - greatest(ex0, ar.a.x)) * (least(ey1, ar.a.y + 1024) - greatest(ey0, ar.a.y)) / ((ex1 - ex0) * (ey1 - ey0)) AS cover FROM ar JOIN se ON se.box_id = ar.a.box WHERE common > 1e-6)"""
+
+
+def _training(b):
+    d = b("boxes").select("box_id", "image_id", "class_id", F.expr("x0 * 25").alias("x0"), F.expr("y0 * 20").alias("y0"), F.expr("x0 * 25 + (x1 - x0) * 8").alias("x1"), F.expr("y0 * 20 + (y1 - y0) * 8").alias("y1")).distinct()
+    ring = polygons.rotated((F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2, F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.expr(_ANGLE))
+    return b("images"), d.select("box_id", "image_id", "class_id", (F.col("class_id") < 3).alias("kept"), ring.alias("ring"))
+
+
+@query("m1_window_boxes", f"{_WINDOWS} SELECT image_id, x0, y0, box_id, round(visible, 5) AS visible FROM vs WHERE visible > 1e-5")
+def _(b):
+    found = raster.window_boxes(*_training(b)).where("visible > 1e-5")
+    return _round(found, 5, "visible").select("image_id", "x0", "y0", "box_id", "visible")
+
+
+@query("m1_window_labels", f"{_WINDOWS} SELECT w.image_id, w.x0, w.y0, count(*) FILTER (kept AND visible >= 0.6 - 1e-9) AS n_boxes, count(*) FILTER (NOT kept AND cover >= 0.5 - 1e-9) AS n_distractors FROM w LEFT JOIN vs USING (image_id, x0, y0) GROUP BY ALL")
+def _(b):
+    return raster.window_labels(*_training(b))
+
+
+# ---- rings
+
+_CUT = 12
+_SHAPES = "SELECT watch_id AS ring_id, west AS w, south AS s, east AS e, north AS n FROM {watches}"
+_ZONES = "SELECT zone AS box_id, west AS bw, south AS bs, east AS be, north AS bn FROM {zones}"
+
+
+def shapes(b) -> DataFrame:
+    w, s, e, n = (F.col(c) for c in ("west", "south", "east", "north"))
+    return b("watches").select(F.col("watch_id").alias("ring_id"), F.array(polygons.point(w, s), polygons.point(e, s), polygons.point(e, s + 2), polygons.point(w + 2, n), polygons.point(w, n)).alias("ring"))
+
+
+@query("h19_rings_meet_boxes", f"SELECT ring_id, box_id FROM ({_SHAPES}) JOIN ({_ZONES}) ON w <= be AND bw <= e AND s <= bn AND bs <= n AND greatest(w, bw) - w + greatest(s, bs) - s <= {_CUT}")
+def _(b):
+    return rings.rings_meeting_boxes(shapes(b), b("zones").withColumnRenamed("zone", "box_id"))
+
+
+@query(
+    "h19_overlap_shares",
+    f"""SELECT ring_id AS left_id, box_id AS right_id, round(common / least(98.0, big - greatest(0, 0)), 5) AS share FROM (SELECT *, (be - bw) * (bn - bs) AS big, (pow(greatest(c, 0), 2) - pow(greatest(c - p, 0), 2) - pow(greatest(c - q, 0), 2) + pow(greatest(c - p - q, 0), 2)) / 2 AS common
+    FROM (SELECT *, {_CUT} - (greatest(w, bw) - w) - (greatest(s, bs) - s) AS c, least(e, be) - greatest(w, bw) AS p, least(n, bn) - greatest(s, bs) AS q FROM ({_SHAPES}) JOIN ({_ZONES}) ON w < be AND bw < e AND s < bn AND bs < n)) WHERE common > 1e-9""".replace("98.0", "68.0"),
+)
+def _(b):
+    z = b("zones")
+    boxes = z.select(F.col("zone").alias("ring_id"), polygons.upright(F.col("west"), F.col("south"), F.col("east"), F.col("north")).alias("ring"))
+    return _round(rings.overlap_shares(shapes(b), boxes).where("share > 1e-10"), 5, "share")
+
+
+_SEGMENTS = "[[w, s, e, s], [e, s, e, s + 2], [e, s + 2, w + 2, n], [w + 2, n, w, n], [w, n, w, s]]"
+_RAD = "(pi() / 180 * 6371000.0)"
+
+
+@query(
+    "h19_ring_distances",
+    f"""WITH f AS (SELECT customer_at AS point_id, lon, lat FROM (SELECT o_orderkey AS customer_at, (o_orderkey * 37 % 3600) / 10e0 - 180e0 AS lon, (o_orderkey * 53 % 1400) / 10e0 - 70e0 AS lat FROM orders)), r AS ({_SHAPES}),
+    g AS (SELECT point_id, ring_id, lon > w AND lon < e AND lat > s AND lat < n AND (lon - w) + (lat - s) < {_CUT} AS inside,
+     list_transform({_SEGMENTS}, lambda t: [(t[1] - lon) * cos(radians(lat)) * {_RAD}, (t[2] - lat) * {_RAD}, (t[3] - lon) * cos(radians(lat)) * {_RAD}, (t[4] - lat) * {_RAD}]) AS seg FROM f JOIN r ON lon BETWEEN w - 10 AND e + 10 AND lat BETWEEN s - 2 AND n + 2),
+    d AS (SELECT point_id, ring_id, CASE WHEN inside THEN 0e0 ELSE list_min(list_transform(seg, lambda t: sqrt(pow(t[1] + greatest(0, least(1, -(t[1] * (t[3] - t[1]) + t[2] * (t[4] - t[2])) / (pow(t[3] - t[1], 2) + pow(t[4] - t[2], 2)))) * (t[3] - t[1]), 2)
+     + pow(t[2] + greatest(0, least(1, -(t[1] * (t[3] - t[1]) + t[2] * (t[4] - t[2])) / (pow(t[3] - t[1], 2) + pow(t[4] - t[2], 2)))) * (t[4] - t[2]), 2)))) END AS m FROM g)
+    SELECT point_id, ring_id, round(m, 1) AS distance_m FROM d WHERE m <= 100000""",
+)
+def _(b):
+    at = b("tiles").select(F.col("tile_id").alias("point_id"), F.expr("(tile_id * 37 % 3600) / 10e0 - 180e0").alias("lon"), F.expr("(tile_id * 53 % 1400) / 10e0 - 70e0").alias("lat"))
+    return _round(rings.nearest_rings(at, shapes(b), 100_000), 1, "distance_m")

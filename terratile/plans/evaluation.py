@@ -42,6 +42,32 @@ def _(b):
     return _round(clusters.agreement(labelled(b), "label", "assigned"), 6, "adjusted_rand", "homogeneity", "completeness", "v_measure")
 
 
+_AMI = """WITH c AS (SELECT label, assigned, count(*)::DOUBLE AS n FROM ({src}) GROUP BY ALL), t AS (SELECT sum(n) AS n, sum(n * ln(n)) AS l FROM c), a AS (SELECT sum(n) AS n FROM c GROUP BY label), b AS (SELECT sum(n) AS n FROM c GROUP BY assigned),
+    h AS (SELECT ln(n) - (SELECT sum(n * ln(n)) FROM a) / n AS ha, ln(n) - (SELECT sum(n * ln(n)) FROM b) / n AS hb, ln(n) - l / n AS hj, n FROM t),
+    m AS (SELECT a.n AS x, b.n AS y, h.n AS s, unnest(range(CAST(greatest(1, a.n + b.n - h.n) AS BIGINT), CAST(least(a.n, b.n) AS BIGINT) + 1))::DOUBLE AS k FROM a, b, h),
+    e AS (SELECT sum(k / s * ln(s * k / (x * y)) * exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(s - x + 1) + lgamma(s - y + 1) - lgamma(s + 1) - lgamma(k + 1) - lgamma(x - k + 1) - lgamma(y - k + 1) - lgamma(s - x - y + k + 1))) AS e FROM m)
+    SELECT CAST(n AS BIGINT) AS n, (ha + hb - hj - e) / ((ha + hb) / 2 - e) AS v FROM h, e"""
+
+
+@query("k11_adjusted_information", f"SELECT n, round(v, 6) AS adjusted_information FROM ({_AMI.format(src=_LABELS)})")
+def _(b):
+    return _round(clusters.adjusted_information(labelled(b), "label", "assigned"), 6, "adjusted_information")
+
+
+_SWEEP = [0.1, 0.3, 0.35]
+_ABSTAINED = f"SELECT v.label, CASE WHEN n.s < {{tau}} THEN -1 ELSE n.label END AS assigned FROM {{{{vectors}}}} v JOIN ({_NEAR}) n ON n.vec_id = v.vec_id AND rk = 1".replace("{{vectors}}", "{vectors}")
+
+
+@query(
+    "k11_abstention_sweep",
+    " UNION ALL ".join(f"SELECT {tau}::DOUBLE AS threshold, (SELECT round(avg((assigned = -1)::INT), 6) FROM ({_ABSTAINED.replace('{tau}', str(tau))})) AS noise_share, round(v, 6) AS adjusted_information FROM ({_AMI.replace('{src}', _ABSTAINED.replace('{tau}', str(tau)))})" for tau in _SWEEP),
+)
+def _(b):
+    v = b("vectors")
+    rows = v.select("vec_id", "label").join(clusters.assign_nearest(v, clusters.unit_centroids(v)).select("vec_id", "assigned", "similarity"), "vec_id")
+    return _round(clusters.abstention_sweep(rows, "label", "assigned", "similarity", _SWEEP), 6, "noise_share", "adjusted_information").select("threshold", "noise_share", "adjusted_information")
+
+
 @query(
     "d15_region_purity",
     """SELECT label, CAST(sum(m) AS BIGINT) AS size, arg_min(region, (-m, region)) AS dominant, round(max(m) / sum(m), 4) AS purity, count(*) AS n_regions FROM (SELECT label, concat('r', vec_id % 5) AS region, count(*) AS m FROM {vectors} GROUP BY ALL) GROUP BY label""",
