@@ -149,3 +149,10 @@ def compare_embeddings(old: DataFrame, new: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.avg("same").alias("identical"), F.max("most").alias("max_diff"), (F.sum("total") / F.sum("dim")).alias("mean_diff"),
         F.min("cosine").alias("min_cosine"), F.avg("cosine").alias("mean_cosine"),
     )
+
+
+def observation_clusters(assigned: DataFrame, tiles: DataFrame) -> DataFrame:
+    """(observation_id, cluster, n, share): how the embedded tiles (tile_id, observation_id, vec_id) of an observation fall over clusters (vec_id, cluster); tiles without one are left out."""
+    counts = tiles.where("vec_id IS NOT NULL").join(assigned, "vec_id").groupBy("observation_id", "cluster").agg(F.count("*").alias("n"))
+    whole = counts.groupBy("observation_id").agg(F.sum("n").alias("all"))
+    return counts.join(whole, "observation_id").select("observation_id", "cluster", "n", (F.col("n") / F.col("all")).alias("share"))

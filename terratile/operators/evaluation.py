@@ -44,6 +44,24 @@ def snapshot_diff(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     return both.select("path", "base", "cand", delta.alias("delta"), relative.alias("relative"), band.alias("band"), verdict.alias("verdict"))
 
 
+def with_paired(diff: DataFrame, intervals: DataFrame) -> DataFrame:
+    """A ``snapshot_diff`` with ``low`` and ``high`` of the paired difference (path, low, high) where there is one.
+
+    Where the bands tell nothing (within_noise, no_band) an interval that leaves
+    out 0 does: improved_paired, regressed_paired, or changed_paired without a direction.
+    """
+    rows = diff.join(intervals.select("path", "low", "high"), "path", "left")
+    lower, open_ = lower_is_better(F.col("path")), F.col("verdict").isin("within_noise", "no_band")
+    apart = F.coalesce((F.col("low") > 0) | (F.col("high") < 0), F.lit(False))
+    paired = F.when(lower.isNull(), "changed_paired").when(F.when(lower, F.col("high") < 0).otherwise(F.col("low") > 0), "improved_paired").otherwise("regressed_paired")
+    return rows.withColumn("verdict", F.when(open_ & apart, paired).otherwise(F.col("verdict")))
+
+
+def verdict_counts(diff: DataFrame) -> DataFrame:
+    """(verdict, n), and the row ``total``."""
+    return diff.groupBy("verdict").agg(F.count("*").alias("n")).union(diff.agg(F.count("*").alias("n")).select(F.lit("total").alias("verdict"), "n"))
+
+
 def judged_metrics(ranked: DataFrame, k: int) -> DataFrame:
     """Per query over its whole candidate set (query_id, rank, grade): precision, recall, recall capped at k, gain, strict precision, prevalence, lift."""
     ideal = Window.partitionBy("query_id").orderBy(F.desc("grade"), "rank")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terratile.functions.columns import haversine
+from terratile.storage import stage_table
 
 #: Endings of area names, and tokens that name no region (fixed values).
 SUFFIXES = ["_scaled_82km", "-82km", "_diverse", "_scaled"]
@@ -99,3 +100,45 @@ def box_size_m(ring: Column) -> tuple[Column, Column]:
     kx = 111412.84 * F.cos(phi) - 93.5 * F.cos(3 * phi)
     edge = lambda i: F.hypot((ring[i + 1]["x"] - ring[i]["x"]) * kx, (ring[i + 1]["y"] - ring[i]["y"]) * ky)
     return F.greatest(edge(0), edge(1)), F.least(edge(0), edge(1))
+
+
+# ---- medoids
+
+
+def medoids(points: DataFrame, group: str, cells: int = 16) -> DataFrame:
+    """(group, point_id, lon, lat, total_m) of each group's medoid: the point with the least summed great-circle distance to the others, the smallest id on a tie.
+
+    Points (group, point_id, lon, lat) of one place count as one with a weight.
+    A grid of ``cells`` by ``cells`` over a group's extent has a centre, a
+    weight and a radius for each cell that holds points; with them the sum of a
+    place lies between two bounds.  Only places whose lower bound does not pass
+    the least upper bound are summed exactly.  Points without a place are left out.
+    """
+    known = points.where("lon IS NOT NULL AND lat IS NOT NULL")
+    spots = known.groupBy(group, "lon", "lat").agg(F.count("*").alias("w"), F.min("point_id").alias("point_id"))
+    box = known.groupBy(group).agg(F.min("lon").alias("x0"), F.max("lon").alias("x1"), F.min("lat").alias("y0"), F.max("lat").alias("y1"))
+    part = lambda c, low, high: F.least(F.floor((F.col(c) - F.col(low)) / F.greatest(F.col(high) - F.col(low), F.lit(1e-9)) * cells), F.lit(cells - 1))
+    placed = spots.join(box, group).select(group, "lon", "lat", "w", "point_id", part("lon", "x0", "x1").alias("cx"), part("lat", "y0", "y1").alias("cy"))
+    placed = stage_table(placed, "medoid_places")
+    centre = placed.groupBy(group, "cx", "cy").agg((F.sum(F.col("lon") * F.col("w")) / F.sum("w")).alias("clon"), (F.sum(F.col("lat") * F.col("w")) / F.sum("w")).alias("clat"), F.sum("w").alias("cw"))
+    away = haversine(F.col("lon"), F.col("lat"), F.col("clon"), F.col("clat"))
+    round_ = placed.join(centre, [group, "cx", "cy"]).groupBy(group, "cx", "cy").agg(F.max(away).alias("radius"), F.first("clon").alias("clon"), F.first("clat").alias("clat"), F.first("cw").alias("cw"))
+    grids = round_.groupBy(group).agg(F.collect_list(F.struct("clon", "clat", "cw", "radius")).alias("grid"))  # cells * cells at most
+    fold = lambda sign: F.aggregate("grid", F.lit(0.0), lambda s, c: s + c["cw"] * F.greatest(F.lit(0.0), haversine(F.col("lon"), F.col("lat"), c["clon"], c["clat"]) + sign * c["radius"]))
+    bounded = stage_table(placed.join(grids, group).select(group, "lon", "lat", "w", "point_id", fold(-1).alias("low"), fold(1).alias("high")), "medoid_bounds")
+    least = bounded.groupBy(group).agg(F.min("high").alias("least"))
+    asked = bounded.join(least, group).where(F.col("low") <= F.col("least") * (1 + 1e-12) + 1e-6).select(group, "point_id", "lon", "lat")
+    others = placed.select(group, F.col("lon").alias("olon"), F.col("lat").alias("olat"), F.col("w").alias("ow"))
+    sums = asked.join(others, group).groupBy(group, "point_id", "lon", "lat").agg(F.sum(F.col("ow") * haversine(F.col("lon"), F.col("lat"), F.col("olon"), F.col("olat"))).alias("total_m"))
+    return sums.groupBy(group).agg(F.min(F.struct(F.round("total_m", 3).alias("total_m"), "point_id", "lon", "lat")).alias("m")).select(group, "m.point_id", "m.lon", "m.lat", "m.total_m")
+
+
+def framed(points: DataFrame, group: str, outlier_m: float = 2_500_000.0, pad: float = 0.12, least_pad: float = 0.02) -> DataFrame:
+    """Per group the padded box round the points within ``outlier_m`` of its medoid, and how many are kept and left outside."""
+    centre = medoids(points, group).select(group, F.col("lon").alias("mlon"), F.col("lat").alias("mlat"))
+    rows = points.where("lon IS NOT NULL AND lat IS NOT NULL").join(centre, group)
+    near = haversine(F.col("lon"), F.col("lat"), F.col("mlon"), F.col("mlat")) <= outlier_m
+    ends = {"w": F.min(F.when(near, F.col("lon"))), "s": F.min(F.when(near, F.col("lat"))), "e": F.max(F.when(near, F.col("lon"))), "n": F.max(F.when(near, F.col("lat")))}
+    out = rows.groupBy(group).agg(*[v.alias(k) for k, v in ends.items()], F.count_if(near).alias("n_kept"), F.count_if(~near).alias("n_outside"))
+    px, py = F.greatest(F.lit(least_pad), (F.col("e") - F.col("w")) * pad), F.greatest(F.lit(least_pad), (F.col("n") - F.col("s")) * pad)
+    return out.select(group, (F.col("w") - px).alias("west"), (F.col("s") - py).alias("south"), (F.col("e") + px).alias("east"), (F.col("n") + py).alias("north"), "n_kept", "n_outside")

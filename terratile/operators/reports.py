@@ -228,6 +228,18 @@ def common_footprint(files: DataFrame) -> DataFrame:
     return folded.select("place", "ids", F.explode("items").alias("i")).select("place", F.col("i.file_id").alias("file_id"), F.array_contains("ids", F.col("i.file_id")).alias("kept"))
 
 
+def footprint_reasons(files: DataFrame) -> DataFrame:
+    """(place, file_id, kept, reason): ``common_footprint``, and why a file is left out: ``no_box``, ``empty_box`` or ``apart_from_common``."""
+    sides = [F.col(c) for c in ("west", "south", "east", "north")]
+    none, empty = F.greatest(*[c.isNull() for c in sides]), (F.col("west") >= F.col("east")) | (F.col("south") >= F.col("north"))
+    own = F.when(none, "no_box").when(empty, "empty_box")
+    marked = files.select("place", "file_id", own.alias("own"))
+    judged = common_footprint(files.where(own.isNull()))
+    out = marked.join(judged, ["place", "file_id"], "left")
+    kept = F.coalesce("kept", F.lit(False))
+    return out.select("place", "file_id", kept.alias("kept"), F.coalesce("own", F.when(~kept, "apart_from_common")).alias("reason"))
+
+
 # ---- names, dates and text
 
 

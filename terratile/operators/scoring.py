@@ -430,3 +430,15 @@ def split_report(chips: DataFrame) -> DataFrame:
         F.sum("n_labels").alias("n_labels"), F.sum("n_original").alias("n_original"), F.min("gsd").alias("least_gsd"), F.max("gsd").alias("most_gsd"),
     )
     return rows.withColumns({"retained_pct": F.round(100 * F.col("n_labels") / F.col("n_original"), 2), "density": F.round(F.col("n_labels") / F.col("n_positive"), 4)})
+
+
+def split_quantiles(chips: DataFrame) -> DataFrame:
+    """Per split the 10th, 50th and 90th percentile of the ground sample distance of its chips."""
+    return scan.quantiles(chips, ["split"], "gsd", {"gsd_p10": 0.1, "gsd_p50": 0.5, "gsd_p90": 0.9})
+
+
+def collapse_recovery(precisions: DataFrame) -> DataFrame:
+    """Per condition (condition, query_id, raw, full, filtered): mean precisions, ``collapse`` = filtered - raw, ``recovered`` = full - raw, and the share of the collapse recovered (null if there is none)."""
+    out = precisions.groupBy("condition").agg(*[F.avg(c).alias(c) for c in ("raw", "full", "filtered")])
+    fall, back = F.col("filtered") - F.col("raw"), F.col("full") - F.col("raw")
+    return out.select("*", fall.alias("collapse"), back.alias("recovered"), F.when(fall != 0, back / fall).alias("share_recovered"))

@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terratile.functions.columns import inner_product
@@ -114,7 +114,7 @@ def stratified_sample(rows: DataFrame, group: str, key: str, n: int, floor: int)
     spare = F.greatest(F.lit(n) - F.lit(floor) * F.col("groups"), F.lit(0))
     take = F.least("size", F.lit(floor) + F.floor(spare * F.col("size") / F.col("total")))
     alloc = sizes.crossJoin(F.broadcast(total)).select(group, take.alias("take"))  # total is one row
-    order = Window.partitionBy(group).orderBy(F.crc32(F.col(key).cast("string").cast("binary")), key)
+    order = Window.partitionBy(group).orderBy(F.md5(F.col(key).cast("string")), key)
     # no group gives more than this, so Spark cuts each partition's rows before the shuffle
     ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(n, floor))
     return ranked.join(alloc, group).where(F.col("rank") <= F.col("take")).select(group, key, "rank")
@@ -131,6 +131,51 @@ def ranking_metrics(ranked: DataFrame, k: int) -> DataFrame:
     return out.select("query_id", "precision", F.when(F.col("idcg") > 0, F.round(F.col("dcg") / F.col("idcg"), 6)).otherwise(0.0).alias("ndcg"))
 
 
+def ranking_metrics_at(ranked: DataFrame, ks: list[int]) -> DataFrame:
+    """Per query and k of ``ks``, over its graded list (query_id, rank, grade): precision, recall of all graded above 0 (0 if none is), discounted gain against the ideal order."""
+    ideal = Window.partitionBy("query_id").orderBy(F.desc("grade"), "rank")
+    marked = ranked.withColumn("best", F.row_number().over(ideal)).select("query_id", "rank", "best", "grade", F.explode(F.array(*map(F.lit, ks))).alias("k"))
+    hit, top = F.col("grade") > 0, F.col("rank") <= F.col("k")
+    gain = lambda at: F.sum(F.when(F.col(at) <= F.col("k"), F.col("grade") / F.log2(F.col(at) + 1)))
+    out = marked.groupBy("query_id", "k").agg(F.count_if(hit & top).alias("hits"), F.count_if(hit).alias("n_relevant"), gain("rank").alias("dcg"), gain("best").alias("idcg"))
+    return out.select(
+        "query_id", "k", (F.col("hits") / F.col("k")).alias("precision"), F.when(F.col("n_relevant") > 0, F.col("hits") / F.col("n_relevant")).otherwise(0.0).alias("recall"),
+        F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0).alias("ndcg"),
+    )
+
+
+def neighbour_overlap(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """Per query of two lists (query_id, vec_id, rank): how many of the first k they share, that share of k, and whether their first is the same."""
+    left, right = (x.where(F.col("rank") <= k).select("query_id", "vec_id", F.col("rank").alias(n)) for x, n in ((a, "rank_a"), (b, "rank_b")))
+    both = left.join(right, ["query_id", "vec_id"], "full")
+    out = both.groupBy("query_id").agg(F.count_if(F.col("rank_a").isNotNull() & F.col("rank_b").isNotNull()).alias("shared"), F.max((F.coalesce("rank_a", F.lit(0)) == 1) & (F.coalesce("rank_b", F.lit(0)) == 1)).alias("same_first"))
+    return out.select("query_id", "shared", (F.col("shared") / k).alias("overlap"), "same_first")
+
+
+def index_check(vectors: DataFrame, catalogue: DataFrame, earlier: DataFrame, dim: int) -> DataFrame:
+    """One row: size of the index (vec_id, embedding) and of the catalogue (vec_id, tile_id), whether they agree, vectors of another length, whether ids run from 0 without gaps or repeats, catalogue ids without a vector, earlier (vec_id, tile_id) pairs that are gone."""
+    index = vectors.agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.size("embedding"), F.lit(-1)) != dim).alias("n_other_length"), F.min("vec_id").alias("first"), F.max("vec_id").alias("last"))
+    ids = vectors.select("vec_id").distinct().agg(F.count("*").alias("n_ids"))
+    known = catalogue.where("vec_id IS NOT NULL")
+    lost = earlier.join(known.select("vec_id", "tile_id").distinct(), ["vec_id", "tile_id"], "left_anti").agg(F.count("*").alias("n_lost_pairs"))
+    bare = known.join(vectors.select("vec_id"), "vec_id", "left_anti").agg(F.count("*").alias("n_without_vector"))
+    one = index.crossJoin(ids).crossJoin(known.agg(F.count("*").alias("n_catalogue"))).crossJoin(lost).crossJoin(bare)  # one row each
+    whole = (F.col("first") == 0) & (F.col("last") == F.col("n") - 1) & (F.col("n_ids") == F.col("n"))
+    return one.select("n", "n_catalogue", (F.col("n") == F.col("n_catalogue")).alias("agrees"), "n_other_length", F.coalesce(whole, F.lit(True)).alias("contiguous"), "n_without_vector", "n_lost_pairs")
+
+
+def ranked_precision(rows: DataFrame, orders: dict[str, Column], key: str, ks: list[int]) -> DataFrame:
+    """Per order (name -> score, best first) of rows with ``hit``: n, n_true, average precision over the hits, and ``at_<k>``, the share of hits among the first k (null if there are fewer)."""
+    out = None
+    for name, score in orders.items():
+        hit = F.col("hit").cast("int")
+        run = scan.running(rows.select(key, "hit", score.alias("_score")), [], [F.desc("_score"), F.col(key)], {"tp": hit, "at": F.lit(1)})
+        tops = [F.when(F.max("at") >= k, F.max(F.when(F.col("at") == k, F.col("tp"))) / k).alias(f"at_{k}") for k in ks]
+        one = run.agg(F.count("*").alias("n"), F.sum(hit).alias("n_true"), F.avg(F.when(F.col("hit"), F.col("tp") / F.col("at"))).alias("ap"), *tops).select(F.lit(name).alias("ordered_by"), "*")
+        out = one if out is None else out.union(one)
+    return out
+
+
 def confusion(rows: DataFrame, truth: str, guess: str) -> DataFrame:
     """Counts, precision, recall, F1, IoU and Cohen's kappa of two 0/1 columns."""
     t, g = F.col(truth) == 1, F.col(guess) == 1
