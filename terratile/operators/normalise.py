@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terratile.functions.columns import clip, normalised_difference
 from terratile.operators import raster, scan
+from terratile.storage import stage_table
 
 #: Scene classes that are no ground: no data, saturated, shadow, cloud and snow; and water (fixed values).
 BAD_CLASSES, WATER_CLASS = [0, 1, 3, 8, 9, 10, 11], 6
@@ -162,6 +163,7 @@ def spaced_pick(tiles: DataFrame, n: int = 5) -> list:
     """
     best = F.max(F.struct("likeness", -F.col("row_no"), -F.col("col_no")))
     picks: list = []
+    tiles = stage_table(tiles.select("row_no", "col_no", "likeness", "tier"), "tiles_to_pick")  # worked out once, not for each pick
     for tier in range(len(TIERS)):
         pool, picks = tiles.where(F.col("tier") <= tier), []
         for apart in (6, 3, 1):

@@ -129,8 +129,8 @@ def band_reliability(rows: DataFrame, pairs: list[tuple[str, str]], *group: str)
 
 def stretched_difference(rows: DataFrame, a: str, b: str, *group: str, least: float = 0.1) -> DataFrame:
     """Per group, of two bands each stretched between its 2nd and 98th percentile: mean absolute difference, share above ``least``, correlation."""
-    cut = rows.groupBy(*group).agg(*[F.percentile(c, q).alias(f"_{c}_{n}") for c in (a, b) for n, q in (("low", 0.02), ("high", 0.98))])
-    met = rows.join(cut, list(group))
+    one, two = (scan.quantiles(rows, list(group), c, {f"_{c}_low": 0.02, f"_{c}_high": 0.98}) for c in (a, b))
+    met = rows.join(stage_table(one.join(two, list(group)), "stretch"), list(group))
     low, high = (lambda c, n=n: F.col(f"_{c}_{n}") for n in ("low", "high"))
     stretch = lambda c: F.when(high(c) > low(c), clip((F.col(c) - low(c)) / (high(c) - low(c)), 0.0, 1.0)).otherwise(0.0)
     met = met.select(*group, stretch(a).alias("a"), stretch(b).alias("b"))

@@ -73,7 +73,9 @@ def detection_totals(detections: DataFrame) -> DataFrame:
 def radar_agreement(findings: DataFrame, scene_db: float, drop: float = -1.0) -> DataFrame:
     """Of water gains: how many, with radar cover, agreeing (anomaly against the scene at ``drop`` dB or less) and the median anomaly."""
     rows = findings.where("change_type = 'water_gain'").withColumn("anomaly", F.when(F.col("sar_available"), F.col("vv_db") - scene_db))
-    out = rows.agg(F.count("*").alias("n_gains"), F.count("anomaly").alias("n_covered"), F.count_if(F.col("anomaly") <= drop).alias("n_agree"), F.percentile("anomaly", 0.5).alias("median_anomaly"))
+    out = rows.agg(F.count("*").alias("n_gains"), F.count("anomaly").alias("n_covered"), F.count_if(F.col("anomaly") <= drop).alias("n_agree"))
+    middle = scan.quantiles(rows.withColumn("_all", F.lit(1)), ["_all"], "anomaly", {"median_anomaly": 0.5}).drop("_all")
+    out = out.join(F.broadcast(middle), F.lit(True), "left")  # one row each
     return out.withColumn("agreement", F.when(F.col("n_covered") > 0, F.col("n_agree") / F.col("n_covered")))
 
 

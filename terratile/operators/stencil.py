@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terratile.functions.columns import clip
+from terratile.operators import scan
 
 AT = ["observation_id", "y", "x"]
 #: Derivative kernels, row by row from the top left (fixed values).
@@ -103,7 +104,6 @@ def backscatter_change(pixels: DataFrame, earlier: str, later: str, speckle: boo
 
 def change_summary(rows: DataFrame, *group: str, least: int = 10) -> DataFrame:
     """Per group: pixels with data, median, mean, 16th and 84th percentile of ``db``, and whether there are enough of them."""
-    cut = {"median_db": 0.5, "p16_db": 0.16, "p84_db": 0.84}
-    return rows.groupBy(*group).agg(
-        F.count("db").alias("n_px"), F.avg("db").alias("mean_db"), *[F.percentile("db", q).alias(k) for k, q in cut.items()], (F.count("db") >= least).alias("available")
-    )
+    counts = rows.groupBy(*group).agg(F.count("db").alias("n_px"), F.avg("db").alias("mean_db"), (F.count("db") >= least).alias("available"))
+    cut = scan.quantiles(rows, list(group), "db", {"median_db": 0.5, "p16_db": 0.16, "p84_db": 0.84})
+    return counts.join(cut, list(group), "left") if group else counts.crossJoin(F.broadcast(cut))  # one row

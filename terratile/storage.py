@@ -10,6 +10,7 @@ not see the driver's folder.
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import posixpath
 import re
 import tempfile
@@ -20,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-_scopes: list[list[str]] = []
+#: The open blocks of ``staged_tables``, of each thread its own.
+_scopes: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scopes", default=())
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -32,7 +34,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(CHECKPOINT_DIR, base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    for scope in _scopes:
+    for scope in _scopes.get():
         scope.append(path)
     return path
 
@@ -54,13 +56,13 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = 32 << 20) ->
 
 @contextlib.contextmanager
 def staged_tables(spark: SparkSession) -> Iterator[None]:
-    """Tables and files staged inside go when the block ends; write what is to stay before that."""
+    """Tables and files that this thread stages inside go when the block ends; write what is to stay before that."""
     mine: list[str] = []
-    _scopes.append(mine)
+    token = _scopes.set((*_scopes.get(), mine))
     try:
         yield
     finally:
-        _scopes.remove(mine)
+        _scopes.reset(token)
         jvm = spark.sparkContext._jvm
         for path in mine:
             at = jvm.org.apache.hadoop.fs.Path(path)
