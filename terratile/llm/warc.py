@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terratile.storage import AtomicFile, open_fs, shared_dir, stage_table
+from terratile.storage import AtomicFile, broadcast_if_small, open_fs, shared_dir, stage_table
 
 MAGIC = b"\x1f\x8b\x08"
 STEP = 1 << 16
@@ -179,6 +179,8 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 1000) -> DataFram
     large = rows.where(F.octet_length("payload") >= min_bytes)
     shared = large.groupBy("sha1").agg(F.max(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n")).where("n > 1")
     shared = shared.select("sha1", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"), F.lit(True).alias("shared"))
+    # counted: the payloads stay where they are unless the shared digests are too many for a broadcast
+    shared = broadcast_if_small(stage_table(shared, "shared_digests"), 200)
     joined = rows.join(shared, "sha1", "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
     joined = joined.withColumn("revisit", F.col("shared") & ~F.col("page_id").eqNullSafe(F.col("first_id")))
     as_text = joined.withColumns({c: F.col(c).cast("string") for c in ("page_id", "first_id")})
