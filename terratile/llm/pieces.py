@@ -40,8 +40,8 @@ from terratile.llm.token_files import slices
 
 MARK, HIDDEN = "▁", "\udc81"  # a literal mark is hidden, so that it is spelled in bytes
 UNIT = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
-UNITS, SHORT, SOME = 60_000, 48, 4096
-CHARS, ROWS = 1 << 20, 250
+UNITS, SHORT, SOME = 40_000, 48, 4096
+CHARS, ROWS = 1 << 18, 80
 ALPHA, SEED = 1.0, 1
 
 
