@@ -35,9 +35,10 @@ def invariant_pixels(pairs: DataFrame, bands: list[str], max_ndvi: float = 0.25,
         rows = rows.where(t)
     if stable >= 1:
         return rows
-    for b in bands:
-        for d in ("ref_", "sub_"):
-            rows = rows.join(scan.quantiles(rows, [group], f"{d}{b}", {f"_{d}{b}": 0.5}), group)
+    columns = [f"{d}{b}" for b in bands for d in ("ref_", "sub_")]
+    single = rows.select(group, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select(group, "x.*")
+    middle = scan.quantiles(single, [group, "column"], "v", {"middle": 0.5})  # of all bands and dates at once
+    rows = rows.join(middle.groupBy(group).agg(*[F.max(F.when(F.col("column") == c, F.col("middle"))).alias(f"_{c}") for c in columns]), group)
     gap = sum((F.abs(F.col(f"ref_{b}") - F.col(f"_ref_{b}") / F.greatest(f"_sub_{b}", F.lit(1e-6)) * F.col(f"sub_{b}")) / (F.col(f"ref_{b}") + 1.0) for b in bands), F.lit(0.0))
     rows = rows.withColumn("_gap", gap)
     cut = scan.quantiles(rows, [group], "_gap", {"_cut": stable})

@@ -81,31 +81,48 @@ def selected(rows: DataFrame, group: list[str], value: str, ranks: DataFrame) ->
     they are put in order at once.  Each round reads ``rows`` anew and writes a
     row for each wanted rank.
     """
-    known = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*group, F.col(value).cast("double").alias("_v"))
-    names = {c: f"_of_{c}" for c in group}
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(o)) for c, o in names.items()], F.lit(True))
-    ends = known.groupBy(*group).agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")).withColumnsRenamed(names)
-    todo = ranks.join(ends, same).select(*group, "name", "rank", "_n", "_low", "_high") if group else ranks.crossJoin(F.broadcast(ends))  # one row
-    todo = stage_table(todo, "ranks_wanted")
+    known = _known(rows, group, value)
+    ends = known.groupBy(*group).agg(*_ends()).withColumnsRenamed({c: f"_of_{c}" for c in group})
+    todo = ranks.join(ends, _same(group)).select(*group, "name", "rank", "_n", "_low", "_high") if group else ranks.crossJoin(F.broadcast(ends))  # one row
+    return _looked_up(known, group, stage_table(todo, "ranks_wanted"))
+
+
+def _ends() -> list[Column]:
+    return [F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")]
+
+
+def _known(rows: DataFrame, group: list[str], value: str) -> DataFrame:
+    return rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*group, F.col(value).cast("double").alias("_v"))
+
+
+def _same(group: list[str]) -> Column:
+    return reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group], F.lit(True))
+
+
+def _looked_up(known: DataFrame, group: list[str], todo: DataFrame) -> DataFrame:
+    """The rounds of ``selected``, from wanted ranks (group, name, rank) among the ``_n`` values from ``_low`` to ``_high``; ``todo`` is written."""
+    names, same = {c: f"_of_{c}" for c in group}, _same(group)
+    span = reduce(and_, [F.col(c).eqNullSafe(F.col(o)) for c, o in {**names, "_low": "_l", "_high": "_h"}.items()])
+    exact = F.when(F.col("rank") <= 1, F.col("_low")).when(F.col("rank") >= F.col("_n"), F.col("_high")).when(F.col("_low") == F.col("_high"), F.col("_low"))
     done = []
     while True:
-        exact = F.when(F.col("rank") <= 1, F.col("_low")).when(F.col("rank") >= F.col("_n"), F.col("_high")).when(F.col("_low") == F.col("_high"), F.col("_low"))
         done.append(todo.withColumn("found", exact).where("found IS NOT NULL").select(*group, "name", "found"))
         todo = todo.where(exact.isNull())
-        spans = todo.select(*group, "_n", "_low", "_high").distinct()
-        if todo.isEmpty():
+        most = todo.agg(F.max("_n")).first()[0]
+        if most is None:
             return reduce(DataFrame.union, done)
-        within = F.col("_v").between(F.col("_low"), F.col("_high"))
-        met = known.join(broadcast_if_small(spans.withColumnsRenamed(names), 64), same & within)
+        spans = todo.select(*group, "_n", "_low", "_high").distinct()
+        met = known.join(broadcast_if_small(spans.withColumnsRenamed(names), 64), same & F.col("_v").between(F.col("_low"), F.col("_high")))
         by = [*names.values(), "_low", "_high"]
         short = met.where(F.col("_n") <= FEW).groupBy(*by).agg(F.array_sort(F.collect_list("_v")).alias("all"))  # FEW values at most
+        ordered = todo.join(short.withColumnsRenamed({"_low": "_l", "_high": "_h"}), span).select(*group, "name", F.get("all", (F.col("rank") - 1).cast("int")).alias("found"))
+        if most <= FEW:
+            return reduce(DataFrame.union, [*done, ordered])
+        done.append(stage_table(ordered, "ranks_found"))
         width = (F.col("_high") - F.col("_low")) / BINS
         bin_ = F.least(F.floor((F.col("_v") - F.col("_low")) / width), F.lit(BINS - 1))
         counts = met.where(F.col("_n") > FEW).groupBy(*by, bin_.alias("bin")).agg(F.count("*").alias("m"), F.min("_v").alias("least"), F.max("_v").alias("most"))
         counts = counts.withColumn("so_far", F.sum("m").over(Window.partitionBy(*by).orderBy("bin")))  # BINS rows a span
-        span = reduce(and_, [F.col(c).eqNullSafe(F.col(o)) for c, o in {**names, "_low": "_l", "_high": "_h"}.items()])
-        ordered = todo.join(short.withColumnsRenamed({"_low": "_l", "_high": "_h"}), span)
-        done.append(stage_table(ordered.select(*group, "name", F.get("all", (F.col("rank") - 1).cast("int")).alias("found")), "ranks_found"))
         holds = (F.col("rank") <= F.col("so_far")) & (F.col("rank") > F.col("so_far") - F.col("m"))
         closer = todo.join(counts.withColumnsRenamed({"_low": "_l", "_high": "_h"}), span & holds)
         closer = closer.select(*group, "name", (F.col("rank") - F.col("so_far") + F.col("m")).alias("rank"), F.col("m").alias("_n"), F.col("least").alias("_low"), F.col("most").alias("_high"))
@@ -114,15 +131,16 @@ def selected(rows: DataFrame, group: list[str], value: str, ranks: DataFrame) ->
 
 def quantiles(rows: DataFrame, group: list[str], value: str, cuts: dict[str, float]) -> DataFrame:
     """Per group the quantiles of a value, linear between neighbours, by counting (``selected``): no task holds a group.  Nulls and NaN are left out."""
-    known = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    sizes = stage_table(known.groupBy(*group).agg(F.count("*").alias("_n")), "group_sizes")
+    known = _known(rows, group, value)
+    sizes = stage_table(known.groupBy(*group).agg(*_ends()), "group_sizes")
     spots = F.explode(F.array(*[F.struct(F.lit(f"{name}_{side}").alias("name"), f((F.col("_n") - 1) * q + 1).cast("long").alias("rank")) for name, q in cuts.items() for side, f in (("low", F.floor), ("high", F.ceil))]))
-    found = selected(rows, group, value, sizes.where("_n > 0").select(*group, spots.alias("s")).select(*group, "s.*"))
+    wanted = sizes.where("_n > 0").select("*", spots.alias("s")).select(*group, "s.*", "_n", "_low", "_high")
+    found = _looked_up(known, group, wanted)
     wide = found.groupBy(*group).agg(*[F.max(F.when(F.col("name") == f"{name}_{side}", F.col("found"))).alias(f"_{name}_{side}") for name in cuts for side in ("low", "high")])
     if group:
-        names = {c: f"_of_{c}" for c in group}
-        out = sizes.join(wide.withColumnsRenamed(names), reduce(and_, [F.col(c).eqNullSafe(F.col(o)) for c, o in names.items()]), "left")
+        out = sizes.join(wide.withColumnsRenamed({c: f"_of_{c}" for c in group}), _same(group), "left")
     else:
         out = sizes.crossJoin(F.broadcast(wide))  # one row each
     at = {name: (F.col("_n") - 1) * q - F.floor((F.col("_n") - 1) * q) for name, q in cuts.items()}
-    return out.select(*group, *[(F.col(f"_{name}_low") + (F.col(f"_{name}_high") - F.col(f"_{name}_low")) * at[name]).alias(name) for name in cuts])
+    out = out.select(*group, *[(F.col(f"_{name}_low") + (F.col(f"_{name}_high") - F.col(f"_{name}_low")) * at[name]).alias(name) for name in cuts])
+    return stage_table(out, "quantiles")  # a row a group, that callers may use more than once
