@@ -43,7 +43,7 @@ HEAD = struct.Struct("<QQQQQ")  # documents, values, blocks, exceptions, packed
 SEGMENT = 1 << 20
 SLICE = 4 << 20  # bytes of text encoded at a time
 FILE_BYTES = 24 << 20  # of text in a file, so that files grow in number with the table, not in size
-WORDS = 750_000
+WORDS = 1_000_000
 END_ID = 1
 
 # ---- blocks
