@@ -27,7 +27,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -40,7 +40,7 @@ from terratile.llm.token_files import slices
 
 MARK, HIDDEN = "▁", "\udc81"  # a literal mark is hidden, so that it is spelled in bytes
 UNIT = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
-UNITS, SHORT, SOME = 40_000, 48, 4096
+UNITS, SHORT, SOME = 40_000, 48, 1 << 14
 CHARS, ROWS = 1 << 18, 80
 ALPHA, SEED = 1.0, 1
 
@@ -123,49 +123,58 @@ class Lattice:
 
     def learn(self, units: list[str]) -> None:
         """Forward filtering of new units; short ones of common characters all at once."""
-        plain = [u for u in units if self.plain.fullmatch(u)]
-        some = set(plain)
+        plain, others, match = [], [], self.plain.fullmatch
+        for u in units:
+            (plain if match(u) else others).append(u)
         for at in range(0, len(plain), SOME):
             self._filter(plain[at : at + SOME])
-        for u in units:
-            if u not in some:
-                self._filter_one(u)
+        for u in others:
+            self._filter_one(u)
         self._join()
 
     def _filter(self, units: list[str]) -> None:
-        """Place by place over all units; rows of ``piece`` and ``odds`` are edge lengths, columns the nodes they leave."""
+        """All units at once: edges by length from walks that end where no piece goes on, sums by the place they enter."""
         size = np.array([len(u) for u in units], np.int64)
         n_nodes = int((size + 1).sum())
         first = np.cumsum(size + 1) - size - 1
         symbol = np.zeros(n_nodes + self.longest, np.uint8)  # a zero behind each unit ends every walk
         symbol[_ranges(first, size)] = self.symbol[np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)]
-        piece, odds, state = [], [], np.zeros(n_nodes, np.int32)
-        by_piece = np.append(np.exp(self.weight), 0.0)  # piece -1, none, weighs nothing
+        moves, dead, width = self.move.ravel(), len(self.move) - 1, self.move.shape[1]
+        live, state, edges = np.arange(n_nodes), np.zeros(n_nodes, np.int64), []
         for k in range(self.longest):
-            state = self.move[state, symbol[k : k + n_nodes]]
-            piece.append(self.ends[state])
-            odds.append(by_piece[piece[-1]])
+            state = moves.take(state * width + symbol.take(live + k))
+            on = np.flatnonzero(state != dead)
+            live, state = live.take(on), state.take(on)
+            ids = self.ends.take(state)
+            whole = np.flatnonzero(ids >= 0)
+            edges.append((live.take(whole), ids.take(whole)))
+        # Sums: edges by the place they enter and their length; no two of one such run enter the same node.
+        place = (np.arange(n_nodes) - np.repeat(first, size + 1)).astype(np.uint8)  # SHORT at most
+        back, what = (np.concatenate([e[i] for e in edges]) for i in (0, 1))
+        length = np.repeat(np.arange(1, self.longest + 1, dtype=np.uint8), [len(e[0]) for e in edges])
+        enters, odds = back + length, np.exp(self.weight).take(what)
+        order = np.argsort(place.take(enters), kind="stable")
+        at, to, odds_at, lengths = (x.take(order) for x in (back, enters, odds, length))
+        places = place.take(to)
         forward = np.zeros(n_nodes)
         forward[first] = 1.0
-        order = np.argsort(-size, kind="stable")
-        start, left = first[order], np.searchsorted(-size[order], -np.arange(int(size.max()) + 2), "right")
-        for j in range(1, int(size.max()) + 1):
-            to = start[: left[j]] + j
-            forward[to] = sum(forward[to - k] * odds[k - 1][to - k] for k in range(1, min(j, self.longest) + 1))
+        bounds = [0, *(np.flatnonzero((lengths[1:] != lengths[:-1]) | (places[1:] != places[:-1])) + 1).tolist(), len(to)]
+        for a, b in pairwise(bounds):
+            forward[to[a:b]] += forward.take(at[a:b]) * odds_at[a:b]
         # Edges by the node they enter, longest first: counted, then put in their places.
-        here = [np.flatnonzero(p >= 0) for p in piece]
-        count = np.zeros(n_nodes, np.int64)
-        for k, at in enumerate(here, 1):
-            count[at + k] += 1
-        to_come, total = np.cumsum(count) - count, int(count.sum())
-        node, back, what, up_to, run = np.repeat(np.arange(n_nodes), count), *(np.zeros(total, t) for t in (np.int64, np.int64, float)), np.zeros(n_nodes)
-        for k in range(self.longest, 0, -1):
-            at = here[k - 1]
-            to, spot = at + k, to_come[at + k]
-            run[to] += forward[at] * odds[k - 1][at]
-            back[spot], what[spot], up_to[spot] = at, piece[k - 1][at], run[to] / forward[to]
+        count = np.bincount(enters, minlength=n_nodes)
+        to_come, total, ends = np.cumsum(count) - count, len(back), len(back)
+        node, run = np.repeat(np.arange(n_nodes), count), np.zeros(n_nodes)
+        back_of, what_of, up_to = np.zeros(total, np.int64), np.zeros(total, np.int64), np.zeros(total)
+        for found, _ in reversed(edges):
+            part = slice(ends - len(found), ends)
+            ends = part.start
+            to = enters[part]
+            spot = to_come[to]
+            run[to] = so_far = run.take(to) + forward.take(found) * odds[part]
+            back_of[spot], what_of[spot], up_to[spot] = found, what[part], so_far / forward.take(to)
             to_come[to] += 1
-        self._add(units, first, size, node, back, what, up_to)
+        self._add(units, first, size, node, back_of, what_of, up_to)
 
     def _edges_of(self, u: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(from, to, piece) of the edges of one unit of any length and any characters, by the node they enter, longest first."""
