@@ -203,8 +203,8 @@ def _(b):
 
 @query("s5_split_leaks", "SELECT source_id, count(DISTINCT split) AS n_splits FROM (SELECT l_partkey AS source_id, l_linenumber % 3 AS split FROM lineitem WHERE l_partkey % 2 = 0 UNION ALL SELECT l_partkey, 0 FROM lineitem WHERE l_partkey % 2 = 1) GROUP BY 1 HAVING n_splits > 1")
 def _(b):
-    rows = b("detections").select(F.col("det_id"), (F.floor(F.col("det_id") / 10000) % 100000).alias("source_id"), (F.floor(F.col("det_id") / 1000000000) % 10).alias("line"))
-    return reports.leaked(rows.select("source_id", F.when(F.col("source_id") % 2 == 0, F.col("line") % 3).otherwise(0).alias("split")))
+    source = F.col("part_no")
+    return reports.leaked(b("lines").select(source.alias("source_id"), F.when(source % 2 == 0, F.col("line_no") % 3).otherwise(0).alias("split")))
 
 
 @query(
@@ -306,8 +306,7 @@ def _(b):
     SELECT run, cluster, CASE WHEN count(*) OVER (PARTITION BY run, label) > 1 AND NOT ends_with(label, '(c' || CAST(cluster AS STRING) || ')') THEN concept || ' (c' || CAST(cluster AS STRING) || ')' ELSE label END AS label FROM f""",
 )
 def _(b):
-    at = F.col("det_id")
-    keys = b("detections").select((F.floor(at / 1000000000) % 10).alias("run"), (at % 10000).alias("cluster")).distinct()
+    keys = b("lines").select(F.col("line_no").alias("run"), F.col("supplier_no").alias("cluster")).distinct()
     text = lambda c: c.cast("string")
     rows = keys.select("run", "cluster", F.concat(F.lit("concept "), text(F.col("cluster") % 7)).alias("concept"), F.when(F.col("cluster") % 5 != 0, F.concat(F.lit("r"), text(F.col("cluster") % 4))).alias("region"))
     return reports.distinct_labels(rows).select("run", "cluster", "label")
