@@ -30,7 +30,8 @@ from collections.abc import Iterator
 from itertools import chain, pairwise
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ from terratile.llm.token_files import slices
 
 MARK, HIDDEN = "▁", "\udc81"  # a literal mark is hidden, so that it is spelled in bytes
 UNIT = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
-UNITS, SHORT, SOME = 40_000, 48, 1 << 14
+UNITS, SHORT, SOME = 40_000, 48, 1 << 13
 CHARS, ROWS = 1 << 18, 80
 ALPHA, SEED = 1.0, 1
 
@@ -325,31 +326,37 @@ def row_key(key: str | None) -> int:
     return xxhash.xxh64_intdigest(b"\0" if key is None else key.encode())
 
 
+def _cut(lattice: Lattice, part: pa.RecordBatch) -> pa.RecordBatch:
+    keys, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
+    hashed = [row_key(k) for k in keys]
+    if len(texts) == 1 and len(texts[0]) > CHARS:
+        ids, text = lattice.sample_long(texts[0], hashed[0])
+        sizes, back = np.array([len(ids)]), [text]
+    else:
+        ids, sizes = lattice.sample(texts, np.array(hashed, np.uint64))
+        back = lattice.decode(ids, sizes)
+    ids = ids.astype("<i4")
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    columns = {
+        "doc_id": pa.array(keys, pa.string()), "n_pieces": pa.array(sizes, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32())),
+        "ids_crc32": pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in pairwise(ends.tolist())], pa.int64()),
+        "text": pa.array(back, pa.string()), "lossless": pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_()),
+    }
+    return pa.RecordBatch.from_pydict(columns)
+
+
 def sampled_pieces(docs: DataFrame, model_path: str, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     """doc_id, n_pieces, ids, ids_crc32, decoded text and whether it equals the text, of each row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(model_path, alpha, seed)  # gone with the task, so that idle workers hold nothing
+        give_back()
         for rows in batches:
-            for at, to in slices(np.maximum(rows["text"].str.len().to_numpy(np.int64), CHARS // ROWS), CHARS):
-                part = rows.iloc[at:to]
-                keys = [None if pd.isna(k) else k for k in part["doc_id"]]
-                texts, hashed = part["text"].tolist(), [row_key(k) for k in keys]
-                if len(texts) == 1 and len(texts[0]) > CHARS:
-                    ids, text = lattice.sample_long(texts[0], hashed[0])
-                    runs, back = [ids], [text]
-                else:
-                    ids, sizes = lattice.sample(texts, np.array(hashed, np.uint64))
-                    back = lattice.decode(ids, sizes)
-                    runs = np.split(ids.astype(np.int32), np.cumsum(sizes)[:-1])
-                yield pd.DataFrame(
-                    {
-                        "doc_id": keys, "n_pieces": [len(r) for r in runs], "ids": runs, "ids_crc32": [zlib.crc32(r.astype("<u4").tobytes()) for r in runs],
-                        "text": back, "lossless": [a == b for a, b in zip(texts, back, strict=True)],
-                    }
-                )
+            for at, to in slices(np.maximum(pc.utf8_length(rows.column("text")).to_numpy(zero_copy_only=False).astype(np.int64), CHARS // ROWS), CHARS):
+                yield _cut(lattice, rows.slice(at, to - at))  # only a slice is ever held as Python objects
+            del rows  # before the next comes
             give_back()
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    out = rows.mapInPandas(run, "doc_id string, n_pieces long, ids array<int>, ids_crc32 long, text string, lossless boolean")
+    out = rows.mapInArrow(run, "doc_id string, n_pieces long, ids array<int>, ids_crc32 long, text string, lossless boolean")
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
