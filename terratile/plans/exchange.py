@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terratile.operators import catalog, watch
+from terratile.operators import catalog
 from terratile.plans.bindings import BINDINGS, bind, sql
 from terratile.plans.registry import QUERIES, SQL, query
 from terratile.sources import features
@@ -125,8 +125,8 @@ SQL["n1_incremental_rollup"] = sql(
 
 
 def n5_once_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matches = watch.watch_matches(bind(spark, sf_dir, "watches"), _stream(spark, sf_dir, "candidates"))
-    return logs.once_only(matches)
+    columns = ["candidate_id", "lon", "lat", "confidence"]
+    return logs.watch_once(_stream(spark, sf_dir, "candidates").select(*columns), bind(spark, sf_dir, "watches"))
 
 
 QUERIES["n5_once_only"] = n5_once_only
