@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from terratile.functions import polygons
 from terratile.operators import detection, raster, rings
-from terratile.plans.imagery import _round
+from terratile.plans.imagery import _round, _round_product
 from terratile.plans.registry import query
 
 
@@ -147,7 +147,7 @@ def _training(b):
 @query("m1_window_boxes", f"{_WINDOWS} SELECT image_id, x0, y0, box_id, round(visible, 5) AS visible FROM vs WHERE visible > 1e-5")
 def _(b):
     found = raster.window_boxes(*_training(b)).where("visible > 1e-5")
-    return _round(found, 5, "visible").select("image_id", "x0", "y0", "box_id", "visible")
+    return _round_product(found, 5, "visible").select("image_id", "x0", "y0", "box_id", "visible")
 
 
 @query("m1_window_labels", f"{_WINDOWS} SELECT w.image_id, w.x0, w.y0, count(*) FILTER (kept AND visible >= 0.6 - 1e-9) AS n_boxes, count(*) FILTER (NOT kept AND cover >= 0.5 - 1e-9) AS n_distractors FROM w LEFT JOIN vs USING (image_id, x0, y0) GROUP BY ALL")
