@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-POINTS = "array<struct<x:double,y:double>>"
+from terratile.functions.ringcut import common_area, iou  # noqa: F401  (of rings as here)
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -54,45 +54,6 @@ def area(ring: Column) -> Column:
     return F.abs(signed_area(ring))
 
 
-def clipped(ring: Column, window: Column) -> Column:
-    """The part of ``ring`` inside ``window``, a convex anticlockwise ring: one half-plane after the other cuts what is left.
-
-    A ring that is not convex may come back with parts joined by edges that
-    cover each other; its area is right.
-    """
-    edges = let(window, lambda w: F.transform(w, lambda p, i: F.struct(p.alias("a"), next_point(w, i).alias("b"))))
-
-    def cut(left: Column, edge: Column) -> Column:
-        a, b = edge["a"], edge["b"]
-        side = lambda p: (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
-        seen = F.transform(left, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), side(p).alias("s")))
-
-        def pieces(of: Column) -> Column:
-            def kept(p: Column, i: Column) -> Column:
-                def ends(q: Column) -> Column:
-                    t = p["s"] / (p["s"] - q["s"])
-                    here, crossing = F.array(point(p["x"], p["y"])), F.array(point(p["x"] + t * (q["x"] - p["x"]), p["y"] + t * (q["y"] - p["y"])))
-                    none = F.array().cast(POINTS)
-                    return F.concat(F.when(p["s"] >= 0, here).otherwise(none), F.when((p["s"] >= 0) != (q["s"] >= 0), crossing).otherwise(none))
-
-                return let(next_point(of, i), ends)
-
-            return F.flatten(F.transform(of, kept))
-
-        return let(seen, pieces)
-
-    return F.aggregate(edges, ring.cast(POINTS), cut)
-
-
-def anticlockwise(ring: Column) -> Column:
-    return let(ring, lambda r: F.when(signed_area(r) < 0, F.reverse(r)).otherwise(r))
-
-
-def common_area(ring: Column, window: Column) -> Column:
-    """Area of what a ring and a convex ring of any direction have in common."""
-    return area(clipped(ring, anticlockwise(window)))
-
-
 def long_side(ring: Column) -> Column:
     """Length of the longest edge."""
     return let(ring, lambda r: F.array_max(F.transform(r, lambda p, i: F.hypot(next_point(r, i)["x"] - p["x"], next_point(r, i)["y"] - p["y"]))))

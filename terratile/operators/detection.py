@@ -2,7 +2,7 @@
 
 A box is a row with a ring of four points (``ring``), an image and a class.
 Spark works on candidate pairs of boxes whose extents meet (spread over grid
-cells), cuts one ring by the other in column expressions, and keeps the best
+cells), cuts many pairs of rings at once in Arrow batches, and keeps the best
 truth of each detection.  Everything after that counts rows in order of score
 with totals of earlier parts (``scan``), so a class may hold any share of them.
 """
@@ -30,10 +30,7 @@ def with_extent(boxes: DataFrame) -> DataFrame:
 def ring_overlaps(left: DataFrame, right: DataFrame, cell: float = 64.0) -> DataFrame:
     """Pairs (l, r structs) of one image and class whose rings have an area in common, with ``iou``; rings are convex."""
     met = evaluation.overlaps(with_extent(left), with_extent(right), cell)
-    both = polygons.area(F.col("l.ring")) + polygons.area(F.col("r.ring"))
-    iou = polygons.let(polygons.common_area(F.col("l.ring"), F.col("r.ring")), lambda c: F.when(c > 0, F.try_divide(c, both - c)))
-    # exploded, so that the filter is not worked out apart from the value
-    return met.select("image_id", "class_id", "l", "r", F.explode(F.filter(F.array(iou), lambda v: v > 0)).alias("iou"))
+    return met.select("image_id", "class_id", "l", "r", polygons.iou(F.col("l.ring"), F.col("r.ring")).alias("iou")).where("iou > 0")
 
 
 def matched(detections: DataFrame, truths: DataFrame) -> DataFrame:

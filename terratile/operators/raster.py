@@ -179,7 +179,7 @@ def window_boxes(images: DataFrame, boxes: DataFrame, size: int = 1024, stride:
     its extent.  Which windows they are follows from the numbers of the origins,
     so a box meets only its own.  Rings without area reach into none.
     """
-    placed = boxes.withColumns(polygons.extent(F.col("ring"))).withColumnsRenamed({"x0": "bx0", "y0": "by0", "x1": "bx1", "y1": "by1"})
+    placed = boxes.withColumns({**polygons.extent(F.col("ring")), "_whole": polygons.area(F.col("ring"))}).withColumnsRenamed({"x0": "bx0", "y0": "by0", "x1": "bx1", "y1": "by1"})
     rows = placed.join(images.select("image_id", "width", "height"), "image_id")
 
     def origins(low: str, high: str, length: str) -> Column:
@@ -191,12 +191,13 @@ def window_boxes(images: DataFrame, boxes: DataFrame, size: int = 1024, stride:
 
     rows = rows.select("*", F.explode(origins("bx0", "bx1", "width")).alias("x0")).select("*", F.explode(origins("by0", "by1", "height")).alias("y0"))
     window = polygons.upright(F.col("x0"), F.col("y0"), F.col("x0") + size, F.col("y0") + size)
-    whole = polygons.area(F.col("ring"))
     inside = (F.col("bx0") >= F.col("x0")) & (F.col("bx1") <= F.col("x0") + size) & (F.col("by0") >= F.col("y0")) & (F.col("by1") <= F.col("y0") + size)
-    visible = F.when(whole > 1e-6, F.when(inside, 1.0).otherwise(polygons.common_area(F.col("ring"), window) / whole))
+    # rings that lie inside go without their points
+    rows = rows.withColumn("_inside", inside).withColumn("_common", polygons.common_area(F.when(~F.col("_inside"), F.col("ring")), window))
+    visible = F.when(F.col("_whole") > 1e-6, F.when(F.col("_inside"), 1.0).otherwise(F.col("_common") / F.col("_whole")))
     along = lambda low, high, o: F.least(F.col(high), F.col(o) + size) - F.greatest(F.col(low), F.col(o))
     cover = along("bx0", "bx1", "x0") * along("by0", "by1", "y0") / F.greatest((F.col("bx1") - F.col("bx0")) * (F.col("by1") - F.col("by0")), F.lit(1e-6))
-    return rows.select("image_id", "x0", "y0", "box_id", "class_id", "kept", F.explode(F.array(visible)).alias("visible"), cover.alias("cover")).where("visible > 0")
+    return rows.select("image_id", "x0", "y0", "box_id", "class_id", "kept", visible.alias("visible"), cover.alias("cover")).where("visible > 0")
 
 
 def window_labels(images: DataFrame, boxes: DataFrame, size: int = 1024, stride: int = 824, least: float = 0.6, distractor: float = 0.5) -> DataFrame:

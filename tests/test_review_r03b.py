@@ -1,13 +1,66 @@
 """Small cases of the second part of the third review."""
 
+import math
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
+from terratile.functions import polygons
+from terratile.operators import raster
 from terratile.plans.imagery import _round_product
 
+POINTS = "array<struct<x:double,y:double>>"
+
 
 def test_halves_are_rounded_as_in_sql(spark):
     values = [0.271875, 0.653125, 0.515625, 0.84375, 0.0, 1.0]
     got = [r.v for r in _round_product(spark.createDataFrame([(v,) for v in values], "v double"), 5, "v").collect()]
     assert got == [duckdb.execute("SELECT round(?::DOUBLE, 5)", [v]).fetchone()[0] for v in values]
     assert got[:2] == [0.27187, 0.65312]
+
+
+def _cut_area(ring, window):
+    """Common area, one point after the other."""
+    turn = sum(window[i][0] * window[(i + 1) % len(window)][1] - window[(i + 1) % len(window)][0] * window[i][1] for i in range(len(window)))
+    window = window[::-1] if turn < 0 else window
+    for i in range(len(window)):
+        (ax, ay), (bx, by) = window[i], window[(i + 1) % len(window)]
+        side, out = [(bx - ax) * (y - ay) - (by - ay) * (x - ax) for x, y in ring], []
+        for j, (x, y) in enumerate(ring):
+            k = (j + 1) % len(ring)
+            if side[j] >= 0:
+                out.append((x, y))
+            if (side[j] >= 0) != (side[k] >= 0):
+                t = side[j] / (side[j] - side[k])
+                out.append((x + t * (ring[k][0] - x), y + t * (ring[k][1] - y)))
+        ring = out
+    return abs(sum(ring[i][0] * ring[(i + 1) % len(ring)][1] - ring[(i + 1) % len(ring)][0] * ring[i][1] for i in range(len(ring)))) / 2
+
+
+def test_rings_of_any_size_are_cut_in_one_batch(spark):
+    rng = random.Random(3)
+
+    def round_ring(n):
+        at = sorted(rng.uniform(0, 6.28) for _ in range(n))
+        x, y, r = rng.uniform(0, 4), rng.uniform(0, 4), rng.uniform(1, 4)
+        ring = [(x + r * math.cos(a), y + r * math.sin(a)) for a in at]
+        return ring[::-1] if rng.random() < 0.5 else ring
+
+    data = [(i, [] if i % 17 == 0 else round_ring(rng.randint(3, 7)), round_ring(rng.randint(3, 6))) for i in range(300)]
+    df = spark.createDataFrame([*data, (300, None, round_ring(4))], f"i int, a {POINTS}, b {POINTS}").repartition(2)
+    common = polygons.common_area(F.col("a"), F.col("b"))
+    got = {r.i: r.v for r in df.select("i", common.alias("v")).collect()}
+    assert got.pop(300) is None
+    assert all(math.isclose(got[i], _cut_area(a, b), abs_tol=1e-9) for i, a, b in data) and sum(v > 0 for v in got.values()) > 100
+    plan = df.select("i", common.alias("v")).where("v > 0")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "lambda" not in plan
+
+
+def test_windows_get_only_rings_that_they_cut(spark):
+    images = spark.createDataFrame([(1, 2000, 500)], "image_id long, width long, height long")
+    square = lambda x, y: [(x, y), (x + 10.0, y), (x + 10.0, y + 10.0), (x, y + 10.0)]
+    boxes = spark.createDataFrame([(1, 1, 0, True, square(5.0, 5.0)), (1, 2, 0, True, square(1020.0, 5.0)), (1, 3, 0, True, [(3.0, 3.0)] * 4)], f"image_id long, box_id long, class_id long, kept boolean, ring {POINTS}")
+    found = raster.window_boxes(images, boxes)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted((r.box_id, r.x0, round(r.visible, 9)) for r in found.collect()) == [(1, 0, 1.0), (2, 0, 0.4), (2, 824, 1.0), (2, 976, 1.0)]
