@@ -122,7 +122,7 @@ def _(b):
 
 @query("l16_best_scores_by_size", f"{_CURVE} SELECT class_id, overlap, size, round(f1, 6) AS f1, round(score, 6) AS score FROM (SELECT *, round(2 * tp_so_far / (n + n_true), 9) AS f1 FROM cv) WHERE overlap = 0.5 AND n_true > 0 QUALIFY row_number() OVER (PARTITION BY class_id, overlap, size ORDER BY f1 DESC, score DESC) = 1")
 def _(b):
-    found = detection.best_scores(detection.curve(*matches(b), sizes=list(detection.SIZES)))
+    found = detection.best_scores_at(*matches(b), sizes=list(detection.SIZES))
     return _round(found, 6, "f1", "score")
 
 
