@@ -122,15 +122,19 @@ def _spread(boxes: DataFrame, cell: float) -> DataFrame:
     return boxes
 
 
-def overlaps(left: DataFrame, right: DataFrame, cell: float = 64.0) -> DataFrame:
-    """Pairs of boxes (l, r structs) of one image and class that overlap, with ``iou``.
+def overlaps(left: DataFrame, right: DataFrame, cell: float = 256.0, asked: Column | None = None) -> DataFrame:
+    """Pairs of boxes (l, r structs) of one image and class that overlap, with ``iou``; only those for which ``asked`` holds, if it is given.
 
     Boxes are spread over grid cells; a pair is formed in the cell of its
-    intersection's first corner only.
+    intersection's first corner only.  Cells are wide against common boxes, so
+    that few boxes are sent to more than one.  A table that meets itself is
+    shuffled once, if ``asked`` has no condition on one side alone.
     """
     a = _spread(left, cell).select("image_id", "class_id", "gx", "gy", F.struct(*left.columns).alias("l"))
     b = _spread(right, cell).select("image_id", "class_id", "gx", "gy", F.struct(*right.columns).alias("r"))
     met = a.join(b, ["image_id", "class_id", "gx", "gy"])
+    if asked is not None:
+        met = met.where(asked)
     x0, y0, x1, y1 = F.greatest("l.x0", "r.x0"), F.greatest("l.y0", "r.y0"), F.least("l.x1", "r.x1"), F.least("l.y1", "r.y1")
     met = met.where((x1 > x0) & (y1 > y0) & (F.floor(x0 / cell) == F.col("gx")) & (F.floor(y0 / cell) == F.col("gy")))
     area = lambda s: (F.col(f"{s}.x1") - F.col(f"{s}.x0")) * (F.col(f"{s}.y1") - F.col(f"{s}.y0"))
@@ -146,7 +150,7 @@ def best_matches(boxes: DataFrame, truths: DataFrame) -> DataFrame:
     return boxes.select("box_id").join(best, "box_id", "left").select("box_id", "truth_id", F.coalesce("iou", F.lit(0.0)).alias("iou"))
 
 
-def merge_across_chips(boxes: DataFrame, least: float = 0.5, pairs: Callable[[DataFrame, DataFrame], DataFrame] = overlaps) -> DataFrame:
+def merge_across_chips(boxes: DataFrame, least: float = 0.5, pairs: Callable[..., DataFrame] = overlaps) -> DataFrame:
     """Boxes that survive when, best score first, a kept box removes overlapping ones of the same image and class from other chips.
 
     Ties in score go to the smaller id; a box of an unknown chip (negative number) removes none.  Instead of a walk through each list, a
@@ -154,9 +158,10 @@ def merge_across_chips(boxes: DataFrame, least: float = 0.5, pairs: Callable[[Da
     all of those are gone, gone when one of them is kept.  Rounds follow the
     longest chain of overlaps, not the length of a list; all lists at once.
     """
-    met = pairs(boxes, boxes).where((F.col("iou") > least) & (F.col("l.chip_id") != F.col("r.chip_id")) & (F.col("l.chip_id") >= 0))
+    others = F.when(F.col("l.chip_id") != F.col("r.chip_id"), F.col("l.chip_id") >= 0)
     before = (F.col("l.score") > F.col("r.score")) | ((F.col("l.score") == F.col("r.score")) & (F.col("l.box_id") < F.col("r.box_id")))
-    open_ = stage_table(met.where(before).select(F.col("l.box_id").alias("a"), F.col("r.box_id").alias("b")).distinct(), "removes")
+    met = pairs(boxes, boxes, asked=others & before).where(F.col("iou") > least)
+    open_ = stage_table(met.select(F.col("l.box_id").alias("a"), F.col("r.box_id").alias("b")).distinct(), "removes")
     gone = None
     while not open_.isEmpty():
         # no open edge leads to it: kept, so all that it removes go, and so do the edges from and to them
