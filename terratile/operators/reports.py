@@ -139,13 +139,13 @@ def trajectory(lookups: DataFrame) -> DataFrame:
     """
     changed = F.col("covered") & F.col("changed")
     pair = F.struct("later_at", "earlier_at")
-    first = lookups.groupBy("candidate_id").agg(F.count_if("covered").alias("n_covered"), F.count_if(changed).alias("n_changed"), F.min(F.when(changed, pair)).alias("first"))
-    later = lookups.join(first.select("candidate_id", "first"), "candidate_id").where((pair > F.col("first")) & F.col("covered"))
-    after = later.groupBy("candidate_id").agg(F.count("*").alias("n_after"), F.count_if("changed").alias("n_still"))
-    rows = first.join(after, "candidate_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_after", "n_still")})
-    kind = (
-        F.when(F.col("n_covered") == 0, "unknown").when(F.col("n_changed") == 0, "none").when(F.col("n_after") == 0, "single")
-        .when(F.col("n_after") == F.col("n_still"), "persistent").otherwise("transient")
+    rows = lookups.groupBy("candidate_id").agg(
+        F.count_if("covered").alias("n_covered"), F.count_if(changed).alias("n_changed"), F.min(F.when(changed, pair)).alias("first"),
+        F.max(F.when(F.col("covered"), pair)).alias("last"), F.max(F.when(F.col("covered") & ~F.coalesce("changed", F.lit(False)), pair)).alias("last_same"),
+    )
+    kind = (  # what follows the first change shows in the last pair, and in the last one that did not change
+        F.when(F.col("n_covered") == 0, "unknown").when(F.col("n_changed") == 0, "none").when(F.col("last") <= F.col("first"), "single")
+        .when(F.col("last_same") > F.col("first"), "transient").otherwise("persistent")
     )
     return rows.select("candidate_id", "n_covered", "n_changed", F.col("first.earlier_at").alias("first_earlier"), F.col("first.later_at").alias("first_later"), kind.alias("trajectory"))
 

@@ -7,7 +7,8 @@ import duckdb
 from pyspark.sql import functions as F
 
 from terratile.functions import polygons
-from terratile.operators import detection, evaluation, raster
+from terratile.llm import divergence
+from terratile.operators import detection, evaluation, raster, reports
 from terratile.plans.imagery import _round_product
 
 POINTS = "array<struct<x:double,y:double>>"
@@ -140,3 +141,32 @@ def test_boxes_that_meet_themselves_are_shuffled_once(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
     all_ = boxes.collect()
     assert got == {(a.box_id, b.box_id) for a in all_ for b in all_ if a.image_id == b.image_id and a.box_id < b.box_id and a.chip_id != b.chip_id and a.chip_id >= 0 and a.x0 < b.x1 and b.x0 < a.x1}
+
+
+def test_trajectories_from_the_last_pairs(spark):
+    rng = random.Random(9)
+    data = [(c, f"20{k:02}", f"20{k + rng.randint(1, 2):02}", rng.random() < 0.7, rng.choice([True, False, False, None])) for c in range(200) for k in range(rng.randint(1, 5))]
+    df = spark.createDataFrame(data, "candidate_id long, earlier_at string, later_at string, covered boolean, changed boolean")
+    found = reports.trajectory(df)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    for r in found.collect():
+        own = [(x[2], x[1], x[4]) for x in data if x[0] == r.candidate_id and x[3]]
+        changed = sorted(p[:2] for p in own if p[2])
+        after = [p[2] for p in own if changed and p[:2] > changed[0]]
+        want = "unknown" if not own else "none" if not changed else "single" if not after else "persistent" if all(after) else "transient"
+        assert (r.n_covered, r.n_changed, r.trajectory) == (len(own), len(changed), want) and (r.first_later, r.first_earlier) == (changed[0] if changed else (None, None))
+
+
+def test_window_sends_a_pixel_to_three_places_at_a_time(spark):
+    rng = random.Random(2)
+    at = {(y, x): rng.randint(-2, 9) for y in range(8) for x in range(9) if rng.random() < 0.8}
+    got = raster.window_mean(spark.createDataFrame([(1, y, x, v) for (y, x), v in at.items()], "observation_id int, y int, x int, v long"), "v")
+    near = {p: [at[q] for q in at if abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1 and at[q] > 0] for p in at}
+    assert {(r.y, r.x): (r.n, r["mean"]) for r in got.collect()} == {p: (len(v), sum(v) / len(v)) for p, v in near.items() if v}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 2
+
+
+def test_counting_of_terms_without_any(spark):
+    docs = spark.createDataFrame([("a", "s", ""), ("a", "s", None), ("a", "t", "1 2"), (None, "t", "b B c")], "lang string, source string, text string").repartition(1)
+    assert sorted(tuple(r) for r in divergence.term_counts(docs).collect()) == [("", "t", "b", 2, 1), ("", "t", "c", 1, 1)]
+    assert divergence.term_counts(docs.limit(0)).count() == 0
