@@ -40,11 +40,12 @@ def tile_statistics(pixels: DataFrame, side: int = 256) -> DataFrame:
 
 
 def window_mean(pixels: DataFrame, value: str) -> DataFrame:
-    """Mean of positive values in the 3 x 3 window round each pixel: each pixel sends itself to nine places."""
-    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    sent = pixels.where(F.col(value) > 0).select("observation_id", "y", "x", value, steps.alias("s"))
-    sums = sent.groupBy("observation_id", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"))
-    sums = sums.agg(F.sum(value).alias("total"), F.count("*").alias("n"))
+    """Mean of positive values in the 3 x 3 window round each pixel: sums of three along rows, then of three of these along columns."""
+    step = F.explode(F.array(*map(F.lit, (-1, 0, 1))))
+    sums = pixels.where(F.col(value) > 0).select("observation_id", "y", "x", F.col(value).alias("total"), F.lit(1).cast("long").alias("n"))
+    for axis in ("x", "y"):
+        sums = sums.select("*", step.alias("_step")).withColumn(axis, F.col(axis) + F.col("_step"))
+        sums = sums.groupBy("observation_id", "y", "x").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     return pixels.select("observation_id", "y", "x").join(sums, ["observation_id", "y", "x"]).select("observation_id", "y", "x", "n", (F.col("total") / F.col("n")).alias("mean"))
 
 
