@@ -14,7 +14,8 @@ from terratile.functions.columns import inner_product
 from terratile.operators import scan
 from terratile.storage import stage_table
 
-SEED_BYTES = 32 << 20  # of a block of seeds and of the best rows kept for it
+SEED_BYTES = 8 << 20  # of a block of seeds and of the best rows kept for it
+PRODUCTS = 1 << 20  # scores that a task works out at once
 
 
 def top_k(vectors: DataFrame, seeds: DataFrame, k: int, keep_self: bool = False) -> DataFrame:
@@ -52,7 +53,7 @@ def _best_of_block(vectors: DataFrame, seeds: list, k: int, keep_self: bool) ->
             sizes = np.diff(lists.offsets.to_numpy())
             for n, (ids, queries) in shared.value.items():
                 at = np.flatnonzero(sizes == n)
-                for a in range(0, len(at), step := max(1, (1 << 22) // max(len(ids), n, 1))):
+                for a in range(0, len(at), step := max(1, PRODUCTS // max(len(ids), n, 1))):
                     part = batch.take(pa.array(at[a : a + step]))
                     x = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, n)
                     best[n] = _merged(best.get(n), part.select(["vec_id", "label"]), x, ids, queries, k, keep_self)
