@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from terratile.functions.columns import clip
 from terratile.operators import change, scan, search
+from terratile.storage import stage_table
 
 # ---- relevance rules
 
@@ -147,15 +148,25 @@ def paired_interval(units: DataFrame, group: str, n: int = 2000, level: float =
 
 def resampled_ap(detections: DataFrame, n: int, level: float = 0.95) -> DataFrame:
     """Per class the percentile interval of average precision over replicates that draw whole images."""
-    drawn = replicates(detections, "image_id", n)
-    hit = F.col("hit").cast("int") * F.col("weight")
-    rows = scan.running(drawn, ["replicate", "class_id"], [F.desc("score"), F.col("det_id")], {"tp": hit, "n": F.col("weight")})
-    rows = rows.join(drawn.groupBy("replicate", "class_id").agg(F.sum(hit).alias("n_true")), ["replicate", "class_id"]).withColumn("precision", F.col("tp") / F.col("n"))
-    rows = scan.running(rows, ["replicate", "class_id"], [F.col("score"), F.desc("det_id")], maxima={"envelope": F.col("precision")}).where("hit")
-    ap = rows.groupBy("replicate", "class_id").agg(F.sum(F.col("envelope") * F.col("weight") / F.col("n_true")).alias("ap"))
+    kept = stage_table(detections.select("class_id", "det_id", "score", "image_id", F.col("hit").cast("int").alias("hit")), "detections")
+    ap = reduce(DataFrame.union, [_replicate_aps(kept, range(a, min(a + 16, n))) for a in range(0, n, 16)])
     return ap.groupBy("class_id").agg(F.count("*").alias("n_replicates"), F.percentile("ap", (1 - level) / 2).alias("low"), F.percentile("ap", (1 + level) / 2).alias("high"))
 
 
+def _replicate_aps(detections: DataFrame, numbers: range) -> DataFrame:
+    """(replicate, class_id, ap) of a few replicates, all counted along one order of the detections: a row a detection, and only hits, where the envelope rises, go back."""
+    weights = {f"_w{k}": resample_weight(F.col("image_id").cast("string"), F.lit(str(k)), 0) for k in numbers}
+    sums = {f"_{s}{k}": F.col(f"_w{k}") * v for k in numbers for s, v in (("n", F.lit(1)), ("t", F.coalesce("hit", F.lit(0))))}
+    rows = scan.running(detections.withColumns(weights).drop("image_id"), ["class_id"], [F.desc("score"), F.col("det_id")], sums).where("hit = 1")
+    precision = {f"_p{k}": F.when(F.col(f"_w{k}") > 0, F.col(f"_t{k}") / F.col(f"_n{k}")) for k in numbers}
+    points = stage_table(rows.select("class_id", "det_id", "score", *weights, *[p.alias(c) for c, p in precision.items()], *[f"_t{k}" for k in numbers]), "hit_points")
+    total = points.groupBy("class_id").agg(*[F.max(f"_t{k}").alias(f"_all{k}") for k in numbers])
+    back = scan.running(points.drop(*[f"_t{k}" for k in numbers]), ["class_id"], [F.col("score"), F.desc("det_id")], maxima={f"_e{k}": F.col(f"_p{k}") for k in numbers})
+    parts = back.groupBy("class_id").agg(*[F.sum(F.when(F.col(f"_w{k}") > 0, F.col(f"_e{k}") * F.col(f"_w{k}"))).alias(f"_s{k}") for k in numbers])
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("replicate"), F.try_divide(f"_s{k}", f"_all{k}").alias("ap")) for k in numbers]))
+    return parts.join(total, "class_id").select("class_id", each.alias("e")).select("e.replicate", "class_id", "e.ap").where("ap IS NOT NULL")
+
+
 # ---- curves, groups and thresholds
 
 
