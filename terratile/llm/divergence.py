@@ -38,7 +38,7 @@ from terratile.storage import broadcast_if_small, stage_table
 LEAST_DOCS, TOP = 30, 50
 SCALE, PRIOR = 1_000_000_000, 5
 BUCKET, BLOCK = 2048, 32
-HELD = 400_000  # terms whose counts a task holds before it hands them on
+HELD = 200_000  # terms whose counts a task holds before it hands them on
 SLICE = 1 << 20  # bytes of one text parted at a time
 
 #: What is no letter becomes a blank, capitals their small letters; all bytes of characters beyond ASCII stay.
@@ -64,7 +64,8 @@ def term_counts(docs: DataFrame) -> DataFrame:
         size = 0
 
         def hand_on() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (n, rows) in held.items():
+            while held:  # a group is gone before the next is handed on, and the last before memory is given back
+                (lang, source), (n, rows) = held.popitem()
                 names = list(n)
                 for a in range(0, len(names), 20_000):
                     part = names[a : a + 20_000]
@@ -72,7 +73,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
                         [pa.array([lang] * len(part)), pa.array([source] * len(part)), pa.array(part, pa.binary()).cast(pa.string()), pa.array([n[t] for t in part], pa.int64()), pa.array([rows[t] for t in part], pa.int64())],
                         names=["lang", "source", "term", "n", "docs"],
                     )
-            held.clear()
+                n = rows = names = part = None
             give_back()
 
         for batch in batches:
@@ -86,8 +87,10 @@ def term_counts(docs: DataFrame) -> DataFrame:
                 rows.update(seen)
                 size += len(n) - before
                 if size >= HELD:
+                    n = rows = seen = part = text = None
                     yield from hand_on()
                     size = 0
+        batch = lang = source = n = rows = seen = part = text = None
         yield from hand_on()
 
     plain = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
