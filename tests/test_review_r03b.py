@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from terratile.functions import polygons
 from terratile.llm import divergence
-from terratile.operators import detection, evaluation, raster, reports
+from terratile.operators import detection, evaluation, raster, reports, scoring
 from terratile.plans.imagery import _round_product
 
 POINTS = "array<struct<x:double,y:double>>"
@@ -170,3 +170,17 @@ def test_counting_of_terms_without_any(spark):
     docs = spark.createDataFrame([("a", "s", ""), ("a", "s", None), ("a", "t", "1 2"), (None, "t", "b B c")], "lang string, source string, text string").repartition(1)
     assert sorted(tuple(r) for r in divergence.term_counts(docs).collect()) == [("", "t", "b", 2, 1), ("", "t", "c", 1, 1)]
     assert divergence.term_counts(docs.limit(0)).count() == 0
+
+
+def test_replicates_are_columns_of_one_order(spark):
+    rng = random.Random(4)
+    data = [(d, rng.randint(0, 30), rng.randint(0, 1), rng.randint(0, 15) / 15, rng.random() < 0.4) for d in range(150)]
+    df = spark.createDataFrame(data, "det_id long, image_id long, class_id int, score double, hit boolean")
+    drawn = {(r.image_id, r.replicate): r.weight for r in scoring.replicates(df.select("image_id").distinct(), "image_id", 18).collect()}
+    got = {(r.replicate, r.class_id): r.ap for part in (range(16), range(16, 18)) for r in scoring._replicate_aps(df.withColumn("hit", F.col("hit").cast("int")), part).collect()}
+    for k in range(18):
+        for c in (0, 1):
+            rows = sorted(((-s, d, h, w) for d, i, cl, s, h in data if cl == c and (w := drawn.get((i, k), 0))), key=lambda r: r[:2])
+            tp = [sum(h * w for _, _, h, w in rows[: j + 1]) / sum(w for *_, w in rows[: j + 1]) for j in range(len(rows))]
+            total = sum(h * w for _, _, h, w in rows)
+            assert math.isclose(got[k, c], sum(max(tp[j:]) * w / total for j, (_, _, h, w) in enumerate(rows) if h))
