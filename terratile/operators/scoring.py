@@ -125,9 +125,14 @@ def resample_weight(unit: Column, replicate: Column, seed: int = 0) -> Column:
     for k, p in enumerate((0.36787944, 0.36787944, 0.18393972, 0.06131324, 0.01532831, 0.00306566, 0.00051094)):
         total += p
         cut.append((round(total, 8), k))
-    for level, k in reversed(cut):
-        out = F.when(u < level, k).otherwise(out)
-    return out
+
+    def number(u: Column) -> Column:
+        found = out
+        for level, k in reversed(cut):
+            found = F.when(u < level, k).otherwise(found)
+        return found
+
+    return F.get(F.transform(F.array(u), number), F.lit(0))  # the MD5 is made once, not for each level
 
 
 def replicates(rows: DataFrame, unit: str, n: int, seed: int = 0) -> DataFrame:
