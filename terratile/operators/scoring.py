@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import hashlib
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
+from itertools import accumulate
 from operator import and_, or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,17 +125,19 @@ def judge_coverage(tiles: DataFrame, judged: DataFrame) -> DataFrame:
 # ---- resampling
 
 
+#: A Poisson(1) number is the count of these that a draw from 0 to 1 reaches.
+LEVELS = tuple(round(t, 8) for t in accumulate((0.36787944, 0.36787944, 0.18393972, 0.06131324, 0.01532831, 0.00306566, 0.00051094)))
+#: Detections of a class that lie together in a row, and replicates that are counted at once.
+BLOCK, AT_ONCE = 1 << 13, 128
+
+
 def resample_weight(unit: Column, replicate: Column, seed: int = 0) -> Column:
     """How often a unit is drawn in a replicate: a Poisson(1) number from an MD5, so that any task can work it out by itself."""
     u = F.conv(F.substring(F.md5(F.concat_ws(":", unit, replicate, F.lit(str(seed)))), 1, 8), 16, 10).cast("long") / F.lit(4294967296)
-    cut, total, out = [], 0.0, F.lit(7)
-    for k, p in enumerate((0.36787944, 0.36787944, 0.18393972, 0.06131324, 0.01532831, 0.00306566, 0.00051094)):
-        total += p
-        cut.append((round(total, 8), k))
 
     def number(u: Column) -> Column:
-        found = out
-        for level, k in reversed(cut):
+        found = F.lit(len(LEVELS))
+        for k, level in reversed(list(enumerate(LEVELS))):
             found = F.when(u < level, k).otherwise(found)
         return found
 
@@ -151,25 +160,107 @@ def paired_interval(units: DataFrame, group: str, n: int = 2000, level: float =
     return rows.withColumns({"half_width": (F.col("high") - F.col("low")) / 2, "significant": (F.col("low") > 0) | (F.col("high") < 0)})
 
 
-def resampled_ap(detections: DataFrame, n: int, level: float = 0.95) -> DataFrame:
+@lru_cache(maxsize=1 << 15)
+def _draws(unit: str, start: int, stop: int) -> bytes:
+    """``resample_weight`` of a unit (its text and a colon) in each of some replicates, a byte each."""
+    u = np.frombuffer(b"".join(hashlib.md5(f"{unit}{k}:0".encode()).digest()[:4] for k in range(start, stop)), ">u4") / 4294967296
+    return np.searchsorted(LEVELS, u, side="right").astype(np.uint8).tobytes()
+
+
+def resampled_ap(detections: DataFrame, n: int = 100, level: float = 0.95) -> DataFrame:
     """Per class the percentile interval of average precision over replicates that draw whole images."""
     kept = stage_table(detections.select("class_id", "det_id", "score", "image_id", F.col("hit").cast("int").alias("hit")), "detections")
-    ap = reduce(DataFrame.union, [_replicate_aps(kept, range(a, min(a + 16, n))) for a in range(0, n, 16)])
+    ap = reduce(DataFrame.union, [_replicate_aps(kept, range(a, min(a + AT_ONCE, n))) for a in range(0, n, AT_ONCE)])
     return ap.groupBy("class_id").agg(F.count("*").alias("n_replicates"), F.percentile("ap", (1 - level) / 2).alias("low"), F.percentile("ap", (1 + level) / 2).alias("high"))
 
 
+def _detection_blocks(detections: DataFrame, numbers: range) -> DataFrame:
+    """Detections of a class along the falling score, ``BLOCK`` a row: (class_id, part, seq) in order, what each image weighs in the replicates, images and hits one by one, and the sums of the weights (n) and of those of hits (t); written."""
+    start, stop = numbers.start, numbers.stop
+
+    def block(rows: pa.Table, part: int, seq: int) -> pa.RecordBatch:
+        images = rows["unit"].combine_chunks().dictionary_encode()
+        drawn = b"".join(_draws(u, start, stop) for u in images.dictionary.to_pylist())
+        weights = np.frombuffer(drawn, np.uint8).reshape(-1, stop - start)
+        at, hit = images.indices.to_numpy(), rows["hit"].to_numpy() == 1
+        n, t = (np.bincount(x, minlength=len(weights)) @ weights for x in (at, at[hit]))
+        binary = [pa.array([x], pa.binary()) for x in (drawn, at.astype("<u2").tobytes(), hit.tobytes())]
+        return pa.record_batch([rows["class_id"].combine_chunks()[:1], pa.array([part], pa.int32()), pa.array([seq]), *binary, pa.array([n]), pa.array([t])], names=["class_id", "part", "seq", "weights", "images", "hits", "n", "t"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq, held = TaskContext.get().partitionId(), 0, None
+        for batch in batches:
+            begin = 0
+            for end in pc.run_end_encode(batch["class_id"]).run_ends.to_pylist():
+                rows, begin = pa.table(batch.slice(begin, end - begin).columns, names=batch.schema.names), end
+                if held is not None and held["class_id"][0].as_py() == rows["class_id"][0].as_py():
+                    rows, held = pa.concat_tables([held, rows]), None
+                if held is not None:
+                    yield block(held, part, seq)
+                    seq += 1
+                while rows.num_rows >= BLOCK:
+                    yield block(rows.slice(0, BLOCK), part, seq)
+                    seq, rows = seq + 1, rows.slice(BLOCK)
+                held = rows if rows.num_rows else None
+        if held is not None:
+            yield block(held, part, seq)
+
+    order = [F.col("class_id"), F.desc("score"), F.col("det_id")]
+    unit = F.coalesce(F.concat(F.col("image_id").cast("string"), F.lit(":")), F.lit(""))
+    placed = detections.select("class_id", "score", "det_id", unit.alias("unit"), F.coalesce("hit", F.lit(0)).cast("int").alias("hit"))
+    dealt = placed.repartitionByRange(*order).sortWithinPartitions(*order).select("class_id", "unit", "hit")
+    kind = detections.schema["class_id"].dataType.simpleString()
+    return stage_table(dealt.mapInArrow(cut, f"class_id {kind}, part int, seq long, weights binary, images binary, hits binary, n array<long>, t array<long>"), "blocks")
+
+
+def _along_blocks(blocks: DataFrame, found: Callable[[np.ndarray, np.ndarray, dict], np.ndarray], name: str, width: int) -> DataFrame:
+    """(part, seq, ``name``): what ``found`` makes of a block's hits: weights and precisions, a row a hit in order and a column a replicate, and the row."""
+
+    def act(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                weights = np.frombuffer(row["weights"], np.uint8).reshape(-1, width)[np.frombuffer(row["images"], "<u2")]
+                hit = np.frombuffer(row["hits"], bool)
+                mine = weights[hit]
+                n = np.asarray(row["n0"]) + np.cumsum(weights, axis=0, dtype=np.int64)[hit]
+                t = np.asarray(row["t0"]) + np.cumsum(mine, axis=0, dtype=np.int64)
+                out = found(mine, np.where(mine > 0, t / np.maximum(n, 1), 0.0), row)
+                yield pa.record_batch([pa.array([row["part"]], pa.int32()), pa.array([row["seq"]]), pa.array([out])], names=["part", "seq", name])
+
+    return blocks.drop("class_id", "n", "t").mapInArrow(act, f"part int, seq long, {name} array<double>")
+
+
 def _replicate_aps(detections: DataFrame, numbers: range) -> DataFrame:
-    """(replicate, class_id, ap) of a few replicates, all counted along one order of the detections: a row a detection, and only hits, where the envelope rises, go back."""
-    weights = {f"_w{k}": resample_weight(F.col("image_id").cast("string"), F.lit(str(k)), 0) for k in numbers}
-    sums = {f"_{s}{k}": F.col(f"_w{k}") * v for k in numbers for s, v in (("n", F.lit(1)), ("t", F.coalesce("hit", F.lit(0))))}
-    rows = scan.running(detections.withColumns(weights).drop("image_id"), ["class_id"], [F.desc("score"), F.col("det_id")], sums).where("hit = 1")
-    precision = {f"_p{k}": F.when(F.col(f"_w{k}") > 0, F.col(f"_t{k}") / F.col(f"_n{k}")) for k in numbers}
-    points = stage_table(rows.select("class_id", "det_id", "score", *weights, *[p.alias(c) for c, p in precision.items()], *[f"_t{k}" for k in numbers]), "hit_points")
-    total = points.groupBy("class_id").agg(*[F.max(f"_t{k}").alias(f"_all{k}") for k in numbers])
-    back = scan.running(points.drop(*[f"_t{k}" for k in numbers]), ["class_id"], [F.col("score"), F.desc("det_id")], maxima={f"_e{k}": F.col(f"_p{k}") for k in numbers})
-    parts = back.groupBy("class_id").agg(*[F.sum(F.when(F.col(f"_w{k}") > 0, F.col(f"_e{k}") * F.col(f"_w{k}"))).alias(f"_s{k}") for k in numbers])
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("replicate"), F.try_divide(f"_s{k}", f"_all{k}").alias("ap")) for k in numbers]))
-    return parts.join(total, "class_id").select("class_id", each.alias("e")).select("e.replicate", "class_id", "e.ap").where("ap IS NOT NULL")
+    """(replicate, class_id, ap) of some replicates, all counted along one order of the detections, block by block.
+
+    Before a block is looked at, the sums of the blocks before it are known, and
+    for the envelope the best precision of those after it: a row a block each.
+    """
+    width = len(numbers)
+    blocks = _detection_blocks(detections, numbers)
+    each = blocks.select("class_id", "part", "seq", F.posexplode(F.arrays_zip("n", "t")).alias("k", "s")).select("class_id", "part", "seq", "k", "s.*")
+    order = Window.partitionBy("class_id", "k").orderBy("part", "seq").rowsBetween(*scan.BEFORE)
+    ahead = Window.partitionBy("class_id", "k").orderBy(F.desc("part"), F.desc("seq")).rowsBetween(*scan.BEFORE)
+
+    def packed(rows: DataFrame, *names: str) -> DataFrame:
+        values = rows.groupBy("part", "seq").agg(F.array_sort(F.collect_list(F.struct("k", *names))).alias("all"))  # a value a replicate
+        return values.select("part", "seq", *[F.col(f"all.{c}").alias(c) for c in names])
+
+    sums = each.select("part", "seq", "k", *[F.coalesce(F.sum(c).over(order), F.lit(0)).alias(f"{c}0") for c in "nt"])
+    placed = stage_table(blocks.join(packed(sums, "n0", "t0"), ["part", "seq"]), "placed_blocks")
+    best = _along_blocks(placed, lambda w, p, row: p.max(axis=0, initial=0.0), "best", width)
+    best = placed.select("class_id", "part", "seq").join(stage_table(best, "best_of_blocks"), ["part", "seq"]).select("class_id", "part", "seq", F.posexplode("best").alias("k", "best"))
+    later = best.select("part", "seq", "k", F.coalesce(F.max("best").over(ahead), F.lit(0.0)).alias("later"))
+
+    def area(w: np.ndarray, p: np.ndarray, row: dict) -> np.ndarray:
+        rising = np.maximum.accumulate(p[::-1], axis=0)[::-1]
+        return (np.maximum(rising, np.asarray(row["later"])) * w).sum(axis=0)
+
+    parts = stage_table(_along_blocks(placed.join(packed(later, "later"), ["part", "seq"]), area, "area", width), "areas")
+    rows = placed.select("class_id", "part", "seq", "t").join(parts, ["part", "seq"]).select("class_id", F.posexplode(F.arrays_zip("area", "t")).alias("k", "s"))
+    sums = rows.groupBy("class_id", "k").agg(F.try_divide(F.sum("s.area"), F.sum("s.t")).alias("ap"))
+    return sums.where("ap IS NOT NULL").select((F.col("k") + numbers.start).alias("replicate"), "class_id", "ap")
 
 
 # ---- curves, groups and thresholds

@@ -105,13 +105,13 @@ def _(b):
 
 @query(
     "l17_resampled_ap",
-    f"""WITH w AS (SELECT * FROM (SELECT *, {_POISSON} AS w FROM (SELECT d.*, r, {_DRAW.format(unit='image_id')} AS u FROM (SELECT DISTINCT * FROM {{detections}}) d, range(6) t(r))) WHERE w > 0),
+    f"""WITH w AS (SELECT * FROM (SELECT *, {_POISSON} AS w FROM (SELECT d.*, r, {_DRAW.format(unit='image_id')} AS u FROM (SELECT DISTINCT * FROM {{detections}}) d, range(100) t(r))) WHERE w > 0),
     s AS (SELECT *, sum(hit::INT * w) OVER o AS tp, sum(w) OVER o AS n, sum(hit::INT * w) OVER (PARTITION BY r, class_id) AS n_true FROM w WINDOW o AS (PARTITION BY r, class_id ORDER BY score DESC, det_id)),
     e AS (SELECT *, max(tp / n) OVER (PARTITION BY r, class_id ORDER BY score, det_id DESC) AS env FROM s), a AS (SELECT r, class_id, sum(env * w / n_true) AS ap FROM e WHERE hit GROUP BY ALL)
     SELECT class_id, count(*) AS n_replicates, round(quantile_cont(ap, 0.025), 5) AS low, round(quantile_cont(ap, 0.975), 5) AS high FROM a GROUP BY class_id""",
 )
 def _(b):
-    return scoring.resampled_ap(b("detections").distinct(), 6).withColumns({c: F.round(c, 5) for c in ("low", "high")})
+    return scoring.resampled_ap(b("detections").distinct(), 100).withColumns({c: F.round(c, 5) for c in ("low", "high")})
 
 
 # ---- curves, groups and thresholds
