@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from terratile.operators import listing, rings, scoring, watch
+from terratile.streaming import logs
 
 BOX = "west double, south double, east double, north double"
 
@@ -90,3 +91,22 @@ def test_replicates_over_many_blocks(spark, monkeypatch):
 
 def test_intervals_of_a_hundred_replicates(spark):
     assert {r.n_replicates for r in entry.queries()["l17_resampled_ap"](spark, "/root/testdata/sf0.001").collect()} == {100}
+
+
+def test_told_matches_are_kept_by_kind(spark, tmp_path):
+    few, found = watched(spark)
+    source, folder, spot = (str(tmp_path / n) for n in ("in", "told", "spot"))
+    found.write.parquet(source)
+
+    def run(watches):
+        return {tuple(r) for r in logs.watch_once(spark.readStream.schema(found.schema).parquet(source), watches, folder, spot).collect()}
+
+    assert run(few) == {(i, k) for i in range(400) for k in range(300)}
+    kept = spark.read.option("recursiveFileLookup", "true").parquet(folder, f"{folder}.kinds").count()
+    assert kept == 10 * 300  # not 400 * 300
+    # candidate 7 again and a new one, with other watches: what was told before stays told, and is not told again
+    spark.createDataFrame([(7, 1.0, 1.0, 0.9), (900, 1.0, 1.0, 0.9)], found.schema).write.mode("append").parquet(source)
+    other = few.where("watch_id % 10 > 0").union(few.where("watch_id = 0").withColumn("watch_id", F.lit(1000).cast("long")))
+    ids = {i for i in range(400) if i % 10} | {1000}
+    assert run(other) == {(i, k) for i in range(400) for k in range(300)} | {(1000, 7)} | {(i, 900) for i in ids}
+    assert spark.read.parquet(f"{folder}/part=1").count() == 1
