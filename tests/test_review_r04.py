@@ -110,3 +110,15 @@ def test_told_matches_are_kept_by_kind(spark, tmp_path):
     ids = {i for i in range(400) if i % 10} | {1000}
     assert run(other) == {(i, k) for i in range(400) for k in range(300)} | {(1000, 7)} | {(i, 900) for i in ids}
     assert spark.read.parquet(f"{folder}/part=1").count() == 1
+
+
+def test_a_run_after_a_run_tells_what_changed(spark):
+    few, found = watched(spark)
+    before = found.where("candidate_id < 200").union(spark.createDataFrame([(299, 1.0, 1.0, 0.12), (298, 50.0, 1.0, 0.9), (297, None, 1.0, 0.9)], found.schema))
+    now = found.union(spark.createDataFrame([(5, 2.0, 2.0, 0.9), (600, None, 1.0, 0.9)], found.schema))
+    observed = F.col("candidate_id") % 4
+    told = watch.watch_matches(few, before.where("candidate_id <> 299 OR confidence < 0.5"))
+    want = {tuple(r) for r in watch.watch_matches(few, now).join(told, ["watch_id", "candidate_id"], "left_anti").distinct().collect()}
+    got = [tuple(r) for r in watch.notices_after_run(few, now, before, observed).collect()]
+    assert len(got) == len(set(got)) and {(w, c) for w, o, c in got if o == c % 4} == want
+    assert sum(c == 299 for _, c in want) == 400 - 3 * 40 and not any(c < 200 for _, c in want)
